@@ -2,16 +2,18 @@
 
 from __future__ import annotations
 
-from inkspark.llm import quality_rules, sharding, url_filter
+from inkspark.llm import near_dedup, quality_rules, sharding, url_filter
 
 QUERIES = {
     "op2_quality_rules": quality_rules.op2_quality_rules,
     "llm_base_statistics": quality_rules.llm_base_statistics,
     "op5_extendible_sharding": sharding.op5_extendible_sharding,
+    "op7_hyperminhash_near_dedup": near_dedup.op7_hyperminhash_near_dedup,
     "op10_url_filter": url_filter.op10_url_filter,
 }
 ORACLE = {
     "llm_base_statistics": quality_rules.BASE_SQL,
     "op5_extendible_sharding": sharding.ORACLE_SQL,
+    "op7_hyperminhash_near_dedup": near_dedup.ORACLE_SQL,
     "op10_url_filter": url_filter.ORACLE_SQL,
 }
