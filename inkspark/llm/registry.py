@@ -2,13 +2,14 @@
 
 from __future__ import annotations
 
-from inkspark.llm import near_dedup, quality_rules, sharding, url_filter
+from inkspark.llm import near_dedup, quality_rules, sharding, token_counts, url_filter
 
 QUERIES = {
     "op2_quality_rules": quality_rules.op2_quality_rules,
     "llm_base_statistics": quality_rules.llm_base_statistics,
     "op5_extendible_sharding": sharding.op5_extendible_sharding,
     "op7_hyperminhash_near_dedup": near_dedup.op7_hyperminhash_near_dedup,
+    "op8_transducer_token_counts": token_counts.op8_transducer_token_counts,
     "op10_url_filter": url_filter.op10_url_filter,
 }
 ORACLE = {
