@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from inkspark.llm import near_dedup, quality_rules, sharding, token_counts, toxicity, url_filter
+from inkspark.llm import html_text, near_dedup, quality_rules, sharding, token_counts, toxicity, url_filter
 
 QUERIES = {
     "op2_quality_rules": quality_rules.op2_quality_rules,
@@ -11,6 +11,7 @@ QUERIES = {
     "op7_hyperminhash_near_dedup": near_dedup.op7_hyperminhash_near_dedup,
     "op8_transducer_token_counts": token_counts.op8_transducer_token_counts,
     "op4_counterfactual_toxicity": toxicity.op4_counterfactual_toxicity,
+    "op9_lstm_html_text": html_text.op9_lstm_html_text,
     "op10_url_filter": url_filter.op10_url_filter,
 }
 ORACLE = {
