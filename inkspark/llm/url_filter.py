@@ -21,9 +21,7 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-BLOCK_LONGS = 8
-BITS_PER_URL = 16
-HASHES = 6
+from inkspark.llm.bloom import BLOCK_LONGS, block_count, bloom_blocks, masks
 
 #: Fixed values of the contract: verdict, host, path.
 RULES = (
@@ -80,34 +78,6 @@ def rule_columns(host: Column, path: Column, rules: list[Rule]) -> tuple[Column,
     return text, verdict
 
 
-def _bits(key: Column) -> list[Column]:
-    """Positions 0..511 inside the block: nine bits each of a second hash."""
-    h = F.xxhash64(key, F.lit(0x5BD1E995))
-    return [F.shiftrightunsigned(h, 9 * i).bitwiseAND(511) for i in range(HASHES)]
-
-
-def _masks(key: Column) -> list[Column]:
-    """The eight longs with the key's bits set."""
-    bits = _bits(key)
-    words = []
-    for w in range(BLOCK_LONGS):
-        parts = [
-            F.when(F.shiftright(b, 6) == w, F.call_function("shiftleft", F.lit(1).cast("long"), b.bitwiseAND(63).cast("int"))).otherwise(F.lit(0).cast("long"))
-            for b in bits
-        ]
-        words.append(reduce(lambda a, b: a.bitwiseOR(b), parts))
-    return words
-
-
-def bloom_blocks(listed: DataFrame, n_blocks: int) -> DataFrame:
-    """(block, w0..w7) of the blocks that hold a listed key; ``listed`` has the column ``key``."""
-    masks = _masks(F.col("key"))
-    rows = listed.select(
-        F.pmod(F.xxhash64("key"), F.lit(n_blocks)).alias("block"), *[m.alias(f"w{i}") for i, m in enumerate(masks)]
-    )
-    return rows.groupBy("block").agg(*[F.bit_or(f"w{i}").alias(f"w{i}") for i in range(BLOCK_LONGS)])
-
-
 def filter_urls(
     pages: DataFrame,
     listed_urls: DataFrame,
@@ -127,8 +97,7 @@ def filter_urls(
         .where("key IS NOT NULL")
         .distinct()
     )
-    n_listed = keys.count()
-    n_blocks = max(1, -(-n_listed * BITS_PER_URL // 512))
+    n_blocks = block_count(keys.count())
     blocks = bloom_blocks(keys, n_blocks)
     if n_blocks * (BLOCK_LONGS + 1) * 8 <= broadcast_bytes:
         blocks = F.broadcast(blocks)
@@ -142,7 +111,7 @@ def filter_urls(
     block = F.coalesce(F.pmod(F.xxhash64("key"), F.lit(n_blocks)), -1 - F.pmod(F.xxhash64("page_id"), F.lit(4096)))
     hit = reduce(
         lambda a, b: a & b,
-        [F.coalesce(F.col(f"w{i}").bitwiseAND(m) == m, F.lit(False)) for i, m in enumerate(_masks(F.col("key")))],
+        [F.coalesce(F.col(f"w{i}").bitwiseAND(m) == m, F.lit(False)) for i, m in enumerate(masks(F.col("key")))],
     )
     tested = (
         base.withColumn("block", block)
