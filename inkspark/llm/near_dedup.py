@@ -28,21 +28,22 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from inkspark.llm.bloom import with_keys_of
 from inkspark.llm.components import components
 from inkspark.llm.store import written
 from inkspark.llm.words import mix, shingles, signed, slices, word_hashes
 
-BANDS = 40
+BANDS = 24
 MANTISSA = 10
 EMPTY = np.uint16(0xFFFF)
 PROBES = 512
-BLOCK = 512
+BLOCK, BLOCK_TOKENS = 256, 200_000
 
 
 def band_rows(threshold: float) -> int:
-    """Registers to a band: the most that leave a pair at the threshold unseen less than once in 10 million times."""
+    """Registers to a band: the most that leave a pair at the threshold unseen less than 5 times in a million."""
     r = 1
-    while (1 - threshold ** (r + 1)) ** BANDS < 1.2e-7:
+    while (1 - threshold ** (r + 1)) ** BANDS < 5e-6:
         r += 1
     return r
 
@@ -246,7 +247,8 @@ def near_duplicates(
         "near-pairs",
     )
     needed = near.select(F.col("class").alias("doc_id")).union(near.select("leader")).distinct()
-    source = texts.where("doc_id IS NOT NULL").join(needed, "doc_id", "left_semi")
+    needed = written(needed, "near-needed")
+    source = with_keys_of(texts.where("doc_id IS NOT NULL"), needed, "doc_id")
     repeated = linked.groupBy("doc_id").count().where("count > 1")
     several = not repeated.limit(1).isEmpty()
     if several:
@@ -296,12 +298,13 @@ def _rest(star: DataFrame, labels: DataFrame, percent: int) -> DataFrame:
     rows = rows.join(labels, rows["class"] == labels["node"], "left").withColumn("component", F.coalesce("component", "class")).drop("node")
     open_groups = (
         rows.groupBy("leader")
-        .agg(F.min("component").alias("lo"), F.max("component").alias("hi"), F.count(F.lit(1)).alias("members"), F.count_if(~F.col("linked")).alias("others"))
+        .agg(F.min("component").alias("lo"), F.max("component").alias("hi"), F.count(F.lit(1)).alias("members"), F.count_if(~F.col("linked")).alias("others"), F.sum(F.size("removed") + F.size("added")).alias("tokens"))
         .where("lo <> hi AND others > 0 AND members > 2")
-        .select("leader", "members", "others")
+        .select("leader", "members", "others", F.greatest(F.lit(1), F.least(F.lit(BLOCK), F.floor(F.lit(BLOCK_TOKENS) * F.col("members") / F.greatest(F.lit(1), "tokens")))).alias("block"))
     )
     rows = rows.join(open_groups, "leader")
-    blocks_y, blocks_x = F.ceil(F.col("members") / BLOCK), F.ceil(F.col("others") / BLOCK)
+    # a block holds so many rows that their differences stay within BLOCK_TOKENS on average
+    blocks_y, blocks_x = F.ceil(F.col("members") / F.col("block")), F.ceil(F.col("others") / F.col("block"))
     slot = F.xxhash64("class", "leader")
     upto = lambda n: F.explode(F.sequence(F.lit(0).cast("long"), n - 1))
     cols = ["leader", "bx", "by", "role", "component", "n", "leader_size", "removed", "added"]
