@@ -46,20 +46,43 @@ def bloom_blocks(listed: DataFrame, n_blocks: int) -> DataFrame:
     return rows.groupBy("block").agg(*[F.bit_or(f"w{i}").alias(f"w{i}") for i in range(BLOCK_LONGS)])
 
 
-def with_keys_of(rows: DataFrame, keys: DataFrame, key: str) -> DataFrame:
+def _tested(rows: DataFrame, keys: DataFrame, key: str) -> DataFrame | None:
+    """``rows`` with ``_maybe``: false where the key is surely not among ``keys``; None if the filter would be too large."""
+    n_blocks = block_count(keys.count())
+    if n_blocks * (BLOCK_LONGS + 1) * 8 > BROADCAST_BYTES:
+        return None
+    blocks = F.broadcast(bloom_blocks(keys.select(F.col(key).alias("key")), n_blocks))
+    test = reduce(lambda a, b: a & b, [F.col(f"w{i}").bitwiseAND(m) == m for i, m in enumerate(masks(F.col(key)))])
+    return (
+        rows.withColumn("block", F.pmod(F.xxhash64(key), F.lit(n_blocks)))
+        .join(blocks, "block", "left")
+        .withColumn("_maybe", F.coalesce(test, F.lit(False)))
+        .drop("block", *[f"w{i}" for i in range(BLOCK_LONGS)])
+    )
+
+
+def with_keys_of(rows: DataFrame, keys: DataFrame, key: str, exact: bool = True) -> DataFrame:
     """The rows whose ``key`` is among ``keys`` (distinct, not null): a left semi join that shuffles few other rows.
 
     A Bloom filter of the keys drops most other rows where they are read, if its blocks stay under
-    ``BROADCAST_BYTES`` (about four million keys); with more keys the join alone does the work.
+    ``BROADCAST_BYTES`` (about four million keys); with more keys the join alone does the work. Without
+    ``exact`` the join is left out, for callers that join with the keys themselves.
     """
-    n_blocks = block_count(keys.count())
-    if n_blocks * (BLOCK_LONGS + 1) * 8 <= BROADCAST_BYTES:
-        blocks = F.broadcast(bloom_blocks(keys.select(F.col(key).alias("key")), n_blocks))
-        test = reduce(lambda a, b: a & b, [F.col(f"w{i}").bitwiseAND(m) == m for i, m in enumerate(masks(F.col(key)))])
-        rows = (
-            rows.withColumn("block", F.pmod(F.xxhash64(key), F.lit(n_blocks)))
-            .join(blocks, "block")
-            .where(test)
-            .drop("block", *[f"w{i}" for i in range(BLOCK_LONGS)])
-        )
-    return rows.join(keys.select(key), key, "left_semi")
+    tested = _tested(rows, keys, key)
+    if tested is not None:
+        rows = tested.where("_maybe").drop("_maybe")
+    return rows.join(keys.select(key), key, "left_semi") if exact else rows
+
+
+def split_by_keys(rows: DataFrame, keys: DataFrame, key: str) -> tuple[DataFrame, DataFrame]:
+    """(rows that need a join with ``keys``, rows whose key is surely not among them)."""
+    tested = _tested(rows, keys, key)
+    if tested is None:
+        return rows, rows.limit(0)
+    return tested.where("_maybe").drop("_maybe"), tested.where("NOT _maybe").drop("_maybe")
+
+
+def without_keys(rows: DataFrame, keys: DataFrame, key: str) -> DataFrame:
+    """The rows whose ``key`` isn't among ``keys``; only possible hits are shuffled to the anti join."""
+    maybe, sure = split_by_keys(rows, keys, key)
+    return sure.unionByName(maybe.join(keys.select(F.col(key).alias("_key")), F.col(key) == F.col("_key"), "left_anti"))
