@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from inkspark.llm import decontaminate, html_text, near_dedup, quality_rules, sharding, substring_dedup, token_counts, toxicity, url_filter
+from inkspark.llm import decontaminate, html_text, near_dedup, packing, quality_rules, sharding, substring_dedup, token_counts, toxicity, url_filter
 
 QUERIES = {
     "op2_quality_rules": quality_rules.op2_quality_rules,
@@ -14,6 +14,7 @@ QUERIES = {
     "op9_lstm_html_text": html_text.op9_lstm_html_text,
     "op1_chained_substring_dedup": substring_dedup.op1_chained_substring_dedup,
     "op3_latent_decontamination": decontaminate.op3_latent_decontamination,
+    "op6_variable_best_fit": packing.op6_variable_best_fit,
     "op10_url_filter": url_filter.op10_url_filter,
 }
 ORACLE = {
