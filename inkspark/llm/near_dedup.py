@@ -28,7 +28,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from inkspark.llm.bloom import with_keys_of
+from inkspark.llm.bloom import with_keys_of, without_keys
 from inkspark.llm.components import components
 from inkspark.llm.store import written
 from inkspark.llm.words import mix, shingles, signed, slices, word_hashes
@@ -315,6 +315,13 @@ def _rest(star: DataFrame, labels: DataFrame, percent: int) -> DataFrame:
     return cells.groupBy("leader", "bx", "by").applyInPandas(partial(_cell, percent=percent), "a long, b long").distinct()
 
 
+def without_near_duplicates(docs: DataFrame, words: int = 5, percent: int = 80, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """``docs`` with one document of each near-duplicate component, the smallest id."""
+    found = near_duplicates(docs, words, percent, id_col, text_col)
+    drop = written(found.where("NOT kept").select(F.col("doc_id").alias("_id")).distinct(), "near-dropped")
+    return without_keys(docs.withColumn("_id", F.col(id_col).cast("long")), drop, "_id").drop("_id")
+
+
 def op7_hyperminhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Near-duplicate components of all of ``documents``: three-word shingles, 85 of 100."""
     return near_duplicates(spark.read.parquet(f"{sf_dir}/documents.parquet"), words=3, percent=85)

@@ -285,6 +285,22 @@ def score_toxicity(
     )
 
 
+def _clean(batches: Iterator[pa.RecordBatch], model: Model, text_col: str) -> Iterator[pa.RecordBatch]:
+    """The rows whose score is under the threshold, unchanged."""
+    cache, weights = _Cache(partial(_places, chosen=model.chosen)), np.r_[model.weights, 0.0]
+    for whole in batches:
+        for batch in slices(whole, text_col):
+            text, place, value = _vectors(batch.column(text_col), cache)
+            z = np.bincount(text, weights=value * weights[place], minlength=batch.num_rows) + model.bias
+            yield batch.filter(pa.array(1 / (1 + np.exp(-np.clip(z, -30, 30))) < THRESHOLD))
+
+
+def without_toxic(docs: DataFrame, labels: DataFrame, label_col: str = "toxic", max_rows: int = MAX_ROWS, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """``docs`` without the rows that ``score_toxicity`` would predict as 1; all their columns."""
+    model = fit(labelled_sample(docs, labels, label_col, max_rows, id_col, text_col))
+    return docs.mapInArrow(partial(_clean, model=model, text_col=text_col), docs.schema)
+
+
 def op4_counterfactual_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Toxicity scores of every whole text of ``documents``."""
     return score_toxicity(spark.read.parquet(f"{sf_dir}/documents.parquet"), spark.read.parquet(f"{sf_dir}/labels.parquet"))
