@@ -83,6 +83,13 @@ def split_by_keys(rows: DataFrame, keys: DataFrame, key: str) -> tuple[DataFrame
 
 
 def without_keys(rows: DataFrame, keys: DataFrame, key: str) -> DataFrame:
-    """The rows whose ``key`` isn't among ``keys``; only possible hits are shuffled to the anti join."""
+    """The rows whose ``key`` isn't among ``keys``.
+
+    Keys of at most ``BROADCAST_BYTES`` (by count, 24 bytes each) are broadcast; of more, the Bloom filter lets surely
+    absent rows pass and only possible hits are shuffled to the anti join.
+    """
+    other = keys.select(F.col(key).alias("_key"))
+    if keys.count() * 24 <= BROADCAST_BYTES:
+        return rows.join(F.broadcast(other), F.col(key) == F.col("_key"), "left_anti")
     maybe, sure = split_by_keys(rows, keys, key)
-    return sure.unionByName(maybe.join(keys.select(F.col(key).alias("_key")), F.col(key) == F.col("_key"), "left_anti"))
+    return sure.unionByName(maybe.join(other, F.col(key) == F.col("_key"), "left_anti"))

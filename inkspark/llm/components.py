@@ -4,37 +4,43 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.storagelevel import StorageLevel
 
 from inkspark.llm.store import dropped, written
 
 
+DISK = StorageLevel.DISK_ONLY
+ROUNDS_PER_TABLE = 6
+
+
 def components(edges: DataFrame) -> DataFrame:
     """(node, component): the smallest node reachable over (a, b), for every node with an edge.
 
     Each round takes the smallest label among the neighbours (a partial aggregate, so that a hub isn't gathered) and then
     follows labels of labels; the number of rounds follows the logarithm of the longest chain. Rounds end when no
-    label changes. Labels are written to the shared folder each round, which cuts lineage.
+    label changes. Labels are cached between rounds (a lost executor's part is recomputed from the edges) and written to the
+    shared folder every ``ROUNDS_PER_TABLE`` rounds and at the end, which cuts lineage.
     """
     both = written(
         edges.select("a", "b").union(edges.select(F.col("b").alias("a"), F.col("a").alias("b"))).distinct(), "cc-edges"
     )
-    labels = written(
-        both.groupBy(F.col("a").alias("node")).agg(F.least(F.col("node"), F.min("b")).alias("component")), "cc-labels"
-    )
+    labels = both.groupBy(F.col("a").alias("node")).agg(F.least(F.col("node"), F.min("b")).alias("component")).persist(DISK)
+    held, rounds = [labels], 0
     while True:
         near = both.join(labels, both["b"] == labels["node"]).groupBy("a").agg(F.min("component").alias("near"))
         lowered = labels.join(near, labels["node"] == near["a"]).select(
             "node", F.col("component").alias("was"), F.least("component", "near").alias("component")
         )
-        step = written(lowered, "cc-step")
+        step = lowered.persist(DISK)
         jump = step.select(F.col("node").alias("component"), F.col("component").alias("further"))
-        after = written(
-            step.join(jump, "component").select("node", "was", F.least("component", "further").alias("component")), "cc-labels"
-        )
-        changed = after.where("component <> was").limit(1).count()
-        dropped(step)
-        dropped(labels)
-        labels = after.select("node", "component")
+        after = step.join(jump, "component").select("node", "was", F.least("component", "further").alias("component")).persist(DISK)
+        changed = after.agg(F.count_if(F.col("component") != F.col("was"))).first()[0]
+        rounds += 1
+        labels, old, held = after.select("node", "component"), held, [after, step]
+        if not changed or rounds % ROUNDS_PER_TABLE == 0:
+            labels, old, held = written(labels, "cc-labels"), [*old, *held], []
+        for df in old:
+            df.unpersist()
         if not changed:
             dropped(both)
             return labels

@@ -30,7 +30,7 @@ from pyspark.sql import functions as F
 
 from inkspark.llm.bloom import with_keys_of, without_keys
 from inkspark.llm.components import components
-from inkspark.llm.store import written
+from inkspark.llm.store import held, written
 from inkspark.llm.words import mix, shingles, signed, slices, word_hashes
 
 BANDS = 24
@@ -219,41 +219,37 @@ def near_duplicates(
     """doc_id, n_shingles, component_id, kept for every row; linked at ``100 * intersection >= percent * union``."""
     t, rows = percent / 100, band_rows(percent / 100)
     texts = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
-    sketches = written(
+    sketches = held(
         texts.mapInArrow(
             partial(_sketch, words=words, rows=rows),
             "doc_id long, n_shingles long, sig_a long, sig_b long, registers binary, bands array<long>",
-        ),
-        "near-sketches",
+        )
     )
     linked = sketches.where("doc_id IS NOT NULL AND n_shingles > 0")
     # a class is a set of equal documents; its id is the smallest of them
     sig = ["n_shingles", "sig_a", "sig_b"]
     classes = linked.groupBy(*sig).agg(F.min("doc_id").alias("class"), F.min_by("registers", "doc_id").alias("registers"), F.min_by("bands", "doc_id").alias("bands"))
-    classes = written(classes, "near-classes")
+    classes = held(classes)
 
     bands = classes.select("class", F.explode("bands").alias("band"))
     shared = bands.groupBy("band").agg(F.count(F.lit(1)).alias("members")).where("members > 1")
-    member = written(bands.join(shared, "band"), "near-bands")
+    member = held(bands.join(shared, "band"))
     weight = member.groupBy("class").agg(F.sum("members").alias("weight"))
     ranked = member.join(weight, "class")
     lead = ranked.groupBy("band").agg(F.max_by("class", F.struct("weight", -F.col("class"))).alias("leader"))
     pairs = ranked.join(lead, "band").where("class <> leader").select("class", "leader").distinct()
     regs = classes.select("class", "registers", "n_shingles")
-    near = written(
+    near = held(
         pairs.join(regs, "class")
         .join(regs.select(F.col("class").alias("leader"), F.col("registers").alias("leader_registers"), F.col("n_shingles").alias("leader_size")), "leader")
-        .mapInArrow(partial(_estimated, threshold=t), "class long, leader long"),
-        "near-pairs",
+        .mapInArrow(partial(_estimated, threshold=t), "class long, leader long")
     )
     needed = near.select(F.col("class").alias("doc_id")).union(near.select("leader")).distinct()
-    needed = written(needed, "near-needed")
     source = with_keys_of(texts.where("doc_id IS NOT NULL"), needed, "doc_id")
     repeated = linked.groupBy("doc_id").count().where("count > 1")
     several = not repeated.limit(1).isEmpty()
     if several:
         source = source.distinct()
-    source = written(source, "near-texts")
     star = (
         near.join(source.select(F.col("doc_id").alias("class"), "text"), "class")
         .join(source.select(F.col("doc_id").alias("leader"), F.col("text").alias("leader_text")), "leader")
@@ -264,18 +260,18 @@ def near_duplicates(
     star = star.withColumn("linked", 100 * F.col("both") >= percent * union)
     if several:
         star = star.groupBy("class", "leader").agg(F.max_by(F.struct(*star.columns[2:]), F.col("both") / union).alias("s")).select("class", "leader", "s.*")
-    star = written(star, "near-star")
+    star = held(star)
     edges = star.where("linked").select(F.col("class").alias("a"), F.col("leader").alias("b"))
     if several:
         own = linked.join(repeated, "doc_id", "left_semi").join(classes.select(*sig, "class"), sig).where("doc_id <> class")
         edges = edges.union(own.select(F.col("doc_id").alias("a"), F.col("class").alias("b")))
     labels = components(edges)
-    rest = written(_rest(star, labels, percent), "near-rest")
+    rest = held(_rest(star, labels, percent))
     if not rest.limit(1).isEmpty():  # its nodes are components already
         higher = components(rest).withColumnsRenamed({"node": "was", "component": "higher"})
         within = labels.join(higher, labels["component"] == higher["was"], "left")
         alone_before = higher.join(labels, higher["was"] == labels["node"], "left_anti").select(F.col("was").alias("node"), F.col("higher").alias("component"))
-        labels = written(within.select("node", F.coalesce("higher", "component").alias("component")).union(alone_before), "near-labels")
+        labels = within.select("node", F.coalesce("higher", "component").alias("component")).union(alone_before)
 
     named = (
         classes.select(*sig, "class")
