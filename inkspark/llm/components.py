@@ -10,7 +10,7 @@ from inkspark.llm.store import dropped, written
 
 
 DISK = StorageLevel.DISK_ONLY
-ROUNDS_PER_TABLE = 6
+ROUNDS_PER_TABLE = 2
 
 
 def components(edges: DataFrame) -> DataFrame:
@@ -19,7 +19,8 @@ def components(edges: DataFrame) -> DataFrame:
     Each round takes the smallest label among the neighbours (a partial aggregate, so that a hub isn't gathered) and then
     follows labels of labels; the number of rounds follows the logarithm of the longest chain. Rounds end when no
     label changes. Labels are cached between rounds (a lost executor's part is recomputed from the edges) and written to the
-    shared folder every ``ROUNDS_PER_TABLE`` rounds and at the end, which cuts lineage.
+    shared folder every ``ROUNDS_PER_TABLE`` rounds and at the end, which cuts lineage: a round reads the labels before it
+    four times, so that plans would grow by that factor with every round.
     """
     both = written(
         edges.select("a", "b").union(edges.select(F.col("b").alias("a"), F.col("a").alias("b"))).distinct(), "cc-edges"

@@ -239,10 +239,11 @@ def near_duplicates(
     lead = ranked.groupBy("band").agg(F.max_by("class", F.struct("weight", -F.col("class"))).alias("leader"))
     pairs = ranked.join(lead, "band").where("class <> leader").select("class", "leader").distinct()
     regs = classes.select("class", "registers", "n_shingles")
-    near = held(
+    near = written(
         pairs.join(regs, "class")
         .join(regs.select(F.col("class").alias("leader"), F.col("registers").alias("leader_registers"), F.col("n_shingles").alias("leader_size")), "leader")
-        .mapInArrow(partial(_estimated, threshold=t), "class long, leader long")
+        .mapInArrow(partial(_estimated, threshold=t), "class long, leader long"),
+        "near-pairs",
     )
     needed = near.select(F.col("class").alias("doc_id")).union(near.select("leader")).distinct()
     source = with_keys_of(texts.where("doc_id IS NOT NULL"), needed, "doc_id")
