@@ -10,7 +10,7 @@ from inkspark.llm.store import dropped, written
 
 
 DISK = StorageLevel.DISK_ONLY
-ROUNDS_PER_TABLE = 2
+ROWS_PER_FILE = 1 << 21
 
 
 def components(edges: DataFrame) -> DataFrame:
@@ -18,15 +18,14 @@ def components(edges: DataFrame) -> DataFrame:
 
     Each round takes the smallest label among the neighbours (a partial aggregate, so that a hub isn't gathered) and then
     follows labels of labels; the number of rounds follows the logarithm of the longest chain. Rounds end when no
-    label changes. Labels are cached between rounds (a lost executor's part is recomputed from the edges) and written to the
-    shared folder every ``ROUNDS_PER_TABLE`` rounds and at the end, which cuts lineage: a round reads the labels before it
-    four times, so that plans would grow by that factor with every round.
+    label changes. Each round's labels are written to the shared folder, which cuts lineage: a round reads the labels before
+    it four times, so that plans would grow by that factor with every round.
     """
     both = written(
         edges.select("a", "b").union(edges.select(F.col("b").alias("a"), F.col("a").alias("b"))).distinct(), "cc-edges"
     )
-    labels = both.groupBy(F.col("a").alias("node")).agg(F.least(F.col("node"), F.min("b")).alias("component")).persist(DISK)
-    held, rounds = [labels], 0
+    labels = both.groupBy(F.col("a").alias("node")).agg(F.least(F.col("node"), F.min("b")).alias("component"))
+    old = None
     while True:
         near = both.join(labels, both["b"] == labels["node"]).groupBy("a").agg(F.min("component").alias("near"))
         lowered = labels.join(near, labels["node"] == near["a"]).select(
@@ -35,13 +34,13 @@ def components(edges: DataFrame) -> DataFrame:
         step = lowered.persist(DISK)
         jump = step.select(F.col("node").alias("component"), F.col("component").alias("further"))
         after = step.join(jump, "component").select("node", "was", F.least("component", "further").alias("component")).persist(DISK)
-        changed = after.agg(F.count_if(F.col("component") != F.col("was"))).first()[0]
-        rounds += 1
-        labels, old, held = after.select("node", "component"), held, [after, step]
-        if not changed or rounds % ROUNDS_PER_TABLE == 0:
-            labels, old, held = written(labels, "cc-labels"), [*old, *held], []
-        for df in old:
-            df.unpersist()
+        changed, rows = after.agg(F.count_if(F.col("component") != F.col("was")), F.count(F.lit(1))).first()
+        labels = written(after.select("node", "component").coalesce(-(-rows // ROWS_PER_FILE) or 1), "cc-labels")
+        after.unpersist()
+        step.unpersist()
+        if old is not None:
+            dropped(old)
+        old = labels
         if not changed:
             dropped(both)
             return labels

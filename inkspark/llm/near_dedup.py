@@ -261,13 +261,13 @@ def near_duplicates(
     star = star.withColumn("linked", 100 * F.col("both") >= percent * union)
     if several:
         star = star.groupBy("class", "leader").agg(F.max_by(F.struct(*star.columns[2:]), F.col("both") / union).alias("s")).select("class", "leader", "s.*")
-    star = held(star)
+    star = written(star, "near-stars")
     edges = star.where("linked").select(F.col("class").alias("a"), F.col("leader").alias("b"))
     if several:
         own = linked.join(repeated, "doc_id", "left_semi").join(classes.select(*sig, "class"), sig).where("doc_id <> class")
         edges = edges.union(own.select(F.col("doc_id").alias("a"), F.col("class").alias("b")))
     labels = components(edges)
-    rest = held(_rest(star, labels, percent))
+    rest = written(_rest(star, labels, percent), "near-rest")
     if not rest.limit(1).isEmpty():  # its nodes are components already
         higher = components(rest).withColumnsRenamed({"node": "was", "component": "higher"})
         within = labels.join(higher, labels["component"] == higher["was"], "left")

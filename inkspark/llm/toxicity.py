@@ -32,6 +32,7 @@ from inkspark.llm.store import written
 from inkspark.llm.words import slices
 
 BUCKETS = 1 << 20
+SLICE = 1 << 19  # bytes of text at once: a word has up to seven features
 FEATURES = 4096
 MAX_ROWS = 20_000
 LEAST_Z = 2.0
@@ -127,7 +128,7 @@ def _counted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     counts, rows = np.zeros((2, BUCKETS), np.int64), np.zeros(2, np.int64)
     cache = _Cache(partial(_places, chosen=None))
     for whole in batches:
-        for batch in slices(whole, "text"):
+        for batch in slices(whole, "text", SLICE):
             label = batch.column("label").to_numpy(zero_copy_only=False).astype(np.int64)
             text, place, _ = _vectors(batch.column("text"), cache)
             rows += np.bincount(label, minlength=2)[:2]
@@ -159,7 +160,7 @@ def _rows(batches: Iterator[pa.RecordBatch], chosen: dict[int, int], groups) ->
 
     terms = {t for g in groups for t in g}
     for whole in batches:
-        for batch in slices(whole, "text"):
+        for batch in slices(whole, "text", SLICE):
             labels = [int(x) for x in batch.column("label").to_pylist()]
             yield packed(batch.column("text"), [0] * len(labels), labels)
             pairs, kinds, of = [], [], []
@@ -238,7 +239,7 @@ def _scored(batches: Iterator[pa.RecordBatch], model: Model) -> Iterator[pa.Reco
     cache = _Cache(partial(_places, chosen=model.chosen))
     weights = np.r_[model.weights, 0.0]
     for whole in batches:
-        for batch in slices(whole, "text"):
+        for batch in slices(whole, "text", SLICE):
             text, place, value = _vectors(batch.column("text"), cache)
             z = np.bincount(text, weights=value * weights[place], minlength=batch.num_rows) + model.bias
             yield batch.drop_columns(["text"]).append_column("score", pa.array(1 / (1 + np.exp(-np.clip(z, -30, 30)))))
@@ -289,7 +290,7 @@ def _clean(batches: Iterator[pa.RecordBatch], model: Model, text_col: str) -> It
     """The rows whose score is under the threshold, unchanged."""
     cache, weights = _Cache(partial(_places, chosen=model.chosen)), np.r_[model.weights, 0.0]
     for whole in batches:
-        for batch in slices(whole, text_col):
+        for batch in slices(whole, text_col, SLICE):
             text, place, value = _vectors(batch.column(text_col), cache)
             z = np.bincount(text, weights=value * weights[place], minlength=batch.num_rows) + model.bias
             yield batch.filter(pa.array(1 / (1 + np.exp(-np.clip(z, -30, 30))) < THRESHOLD))
