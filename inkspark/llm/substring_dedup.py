@@ -1,12 +1,13 @@
 """Repeated passages across documents by seeds, collinear chaining and alignment.
 
-1. Seeds: minimizers of the ``K``-word hashes over windows of ``W`` (an equal run of ``W + K - 1`` words always shares one).
+1. Seeds: a share of ``DENSITY`` of the ``K``-word hashes, chosen by the hash alone so that edits nearby don't move them, and
+   the minimizers over windows of ``W`` (an equal run of ``W + K - 1`` words always shares one).
    Every seed is joined with the first document that has it, the smallest id, and not with every other: the number of
    matches follows the number of seeds, however many documents share a passage.
 2. Chains: the matches of a document with one source are chained in order by dynamic programming with linear gap costs;
-   a Fenwick tree over source positions gives each match its best predecessor.
+   a Fenwick tree over source positions gives each match its best predecessor. A single match is a chain too.
 3. Alignment: only the words around a chain are fetched, for the document and for the source. Gaps between matches are
-   aligned by longest common subsequences, the ends are extended until the score drops, and pieces of at least
+   aligned by longest common subsequences, the ends are extended until the score drops, and the longest parts of at least
    ``PIECE`` words and ``IDENTITY`` stay.
 4. Passages: neighbouring pieces of a document, of whichever source, are merged; those of at least ``min_words`` are reported.
 
@@ -33,9 +34,9 @@ from inkspark.llm.store import written
 from inkspark.llm.words import shingles, signed, slices, word_hashes
 
 K, W = 5, 16
-MIN_SEEDS, MIN_SCORE = 2, 8.0
+DENSITY = 0.25
 GAP_COST = 0.2
-EDGE, GRID = 128, 64
+EDGE, EDGE_OF_ONE, GRID = 128, 64, 32  # words fetched beyond a chain; a chain of one match has other seeds nearby if it goes on
 PIECE, IDENTITY = 15, 0.8
 MERGE_GAP = 4
 MIN_WORDS = 50
@@ -82,7 +83,7 @@ def _seeds(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             offsets, h = word_hashes(batch.column("text"))
             long = np.diff(offsets) >= K
             off, grams = shingles(offsets, h, K)
-            place = minimizers(off, grams, W)
+            place = np.union1d(minimizers(off, grams, W), np.flatnonzero(grams < np.uint64(DENSITY * 2**64)))
             owner = np.searchsorted(off, place, side="right") - 1
             place, owner = place[long[owner]], owner[long[owner]]
             value = grams[place]
@@ -144,9 +145,7 @@ def chains(pos: np.ndarray, src: np.ndarray) -> list[np.ndarray]:
             path.append(j)
             used[j] = True
             j = back[j]
-        total = score[i] - (score[j] if j >= 0 else 0)
-        if len(path) >= MIN_SEEDS and total >= MIN_SCORE:
-            out.append(np.array(path[::-1]))
+        out.append(np.array(path[::-1]))
     return out
 
 
@@ -191,49 +190,95 @@ def _cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             yield pa.RecordBatch.from_arrays([pa.array(v, t) for v, t in zip(out.values(), kinds)], names=list(out))
 
 
-def common(a: np.ndarray, b: np.ndarray) -> int:
-    """Length of the longest common subsequence."""
-    if len(a) > len(b):
-        a, b = b, a
-    row = np.zeros(len(b) + 1, np.int32)
-    for x in a:
-        row[1:] = np.maximum(row[1:], row[:-1] + (b == x))
-        np.maximum.accumulate(row, out=row)
-    return int(row[-1])
-
-
-def _extend(a: np.ndarray, b: np.ndarray) -> tuple[int, int]:
-    """(words to add, how many of them match) from the start of both: a match counts 1, a mismatch -2, until 8 are lost."""
+def common(a: np.ndarray, b: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Places in a and in b of a longest common subsequence."""
+    rows = np.zeros((len(a) + 1, len(b) + 1), np.int32)
+    for i, x in enumerate(a):
+        rows[i + 1, 1:] = np.maximum(rows[i, 1:], rows[i, :-1] + (b == x))
+        np.maximum.accumulate(rows[i + 1], out=rows[i + 1])
+    i, j, left, right = len(a), len(b), [], []
+    while rows[i, j]:
+        if rows[i - 1, j] == rows[i, j]:
+            i -= 1
+        elif rows[i, j - 1] == rows[i, j]:
+            j -= 1
+        else:
+            i, j = i - 1, j - 1
+            left.append(i)
+            right.append(j)
+    return np.array(left[::-1], np.int64), np.array(right[::-1], np.int64)
+
+
+def _extend(a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """Places of the words that match from the start of both on: a match counts 1, a mismatch -1, until 8 are lost."""
     n = min(len(a), len(b))
     if not n:
-        return 0, 0
-    gain = np.cumsum(np.where(a[:n] == b[:n], 1, -2))
+        return np.zeros(0, np.int64)
+    same = a[:n] == b[:n]
+    gain = np.cumsum(np.where(same, 1, -1))
     lost = np.flatnonzero(np.maximum.accumulate(np.maximum(gain, 0)) - gain > 8)
     gain = gain[: lost[0]] if len(lost) else gain
-    if not len(gain) or gain.max() <= 0:
-        return 0, 0
-    m = int(gain.argmax()) + 1
-    return m, int((a[:m] == b[:m]).sum())
+    if not len(gain) or gain.max() < 0:
+        return np.zeros(0, np.int64)
+    return np.flatnonzero(same[: len(gain) - int(gain[::-1].argmax())])  # the last of equal gains
 
 
-def align(a: np.ndarray, b: np.ndarray, pos: np.ndarray, src: np.ndarray) -> tuple[int, int, int, int, int]:
-    """(start, end, source start, source end, matching words) of a chain over the words a and b."""
-    matched, x, y = 0, int(pos[0]), int(src[0])
-    start, source_start = x, y
+def align(a: np.ndarray, b: np.ndarray, pos: np.ndarray, src: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Places in a and in b of the words that match along a chain, both ascending."""
+    x, y = int(pos[0]), int(src[0])
+    back = _extend(a[:x][::-1], b[:y][::-1])[::-1]
+    left, right = [x - 1 - back], [y - 1 - back]
     for p, s in zip(pos.tolist(), src.tolist()):
         if p > x or s > y:  # the gap before this match
-            left, right = a[x : max(x, p)], b[y : max(y, s)]
-            if len(left) == len(right):
-                matched += int((left == right).sum())
-            elif len(left) and len(right):
-                matched += common(left, right)
+            gap, other = a[x : max(x, p)], b[y : max(y, s)]
+            if len(gap) == len(other):
+                i = j = np.flatnonzero(gap == other)
+            else:
+                i, j = common(gap, other)
+            left.append(x + i)
+            right.append(y + j)
         fresh = min(p + K - max(x, p), s + K - max(y, s))
-        matched += max(0, fresh)
+        if fresh > 0:
+            left.append(p + K - fresh + np.arange(fresh))
+            right.append(s + K - fresh + np.arange(fresh))
         x, y = max(x, p + K), max(y, s + K)
-    more, good = _extend(a[x:], b[y:])
-    x, y, matched = x + more, y + more, matched + good
-    more, good = _extend(a[:start][::-1], b[:source_start][::-1])
-    return start - more, x, source_start - more, y, matched + good
+    more = _extend(a[x:], b[y:])
+    return np.concatenate([*left, x + more]), np.concatenate([*right, y + more])
+
+
+def parts(left: np.ndarray, right: np.ndarray) -> list[tuple[int, int, int, int, int]]:
+    """(start, end, source start, source end, matching words) of the parts of an alignment that have ``PIECE`` words and ``IDENTITY``.
+
+    The longest such part first, then those of what is left on either side of it.
+    """
+    out, todo = [], [(left, right)]
+    while todo:
+        x, y = todo.pop()
+        n = len(x)
+        if n < IDENTITY * PIECE:
+            continue
+        place = np.arange(n)
+        # matches i to j have the share in x where ends[j] >= begins[i]; y is tried after
+        ends, begins = place + 1 - IDENTITY * (x + 1), place - IDENTITY * x
+        best, at = 0, None
+        if n >= IDENTITY * max(x[-1] + 1 - x[0], y[-1] + 1 - y[0]):
+            best, at = x[-1] + 1 - x[0], (0, n - 1)
+        else:
+            top = np.maximum.accumulate(ends[::-1])[::-1]  # of all ends from here on
+            for i in range(n):
+                if x[-1] + 1 - x[i] <= best:
+                    break
+                j = int(np.searchsorted(-top, -begins[i] + 1e-9, side="right")) - 1  # the last end that may do
+                while j > i and not j - i + 1 >= IDENTITY * max(x[j] + 1 - x[i], y[j] + 1 - y[i]) - 1e-9:
+                    j -= 1
+                if j > i and x[j] + 1 - x[i] > best:
+                    best, at = x[j] + 1 - x[i], (i, j)
+        if at is None or best < PIECE:
+            continue
+        i, j = at
+        out.append((int(x[i]), int(x[j]) + 1, int(y[i]), int(y[j]) + 1, j - i + 1))
+        todo += [(x[:i], y[:i]), (x[j + 1 :], y[j + 1 :])]
+    return out
 
 
 _PIECE = ["doc_id", "src_id", "start_word", "end_word", "source_start", "source_end", "matched"]
@@ -258,9 +303,9 @@ def _aligned(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                         continue
                     # only the words that the source's range can reach
                     a, b = max(0, int(pos[0]) - 2 * EDGE), int(pos[-1]) + K + 2 * EDGE
-                    s, e, ss, se, m = align(text[a:b], arr("src_words"), pos - a, arr("src").astype(np.int64) - lo)
-                    if e - s >= PIECE and m >= IDENTITY * max(e - s, se - ss):
+                    for s, e, ss, se, m in parts(*align(text[a:b], arr("src_words"), pos - a, arr("src").astype(np.int64) - lo)):
                         out.append((ids[i], src, s + a, e + a, ss + lo, se + lo, m))
+            out = list(dict.fromkeys(out))  # two chains of one source may end in the same piece
             yield pa.RecordBatch.from_arrays([pa.array([r[j] for r in out], pa.int64()) for j in range(len(_PIECE))], names=_PIECE)
 
 
@@ -279,11 +324,11 @@ def repeated_pieces(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     grouped = (
         matches.groupBy("doc_id", "src_id")
         .agg(F.collect_list(F.struct("pos", "src")).alias("m"))
-        .where(F.size("m") >= MIN_SEEDS)
         .select("doc_id", "src_id", F.col("m.pos").alias("pos"), F.col("m.src").alias("src"))
     )
-    lo = F.greatest(F.lit(0), F.floor((F.array_min("src") - EDGE) / GRID) * GRID).cast("int")
-    hi = (F.ceil((F.array_max("src") + K + EDGE) / GRID) * GRID).cast("int")
+    edge = F.when(F.size("src") == 1, EDGE_OF_ONE).otherwise(EDGE)
+    lo = F.greatest(F.lit(0), F.floor((F.array_min("src") - edge) / GRID) * GRID).cast("int")
+    hi = (F.ceil((F.array_max("src") + K + edge) / GRID) * GRID).cast("int")
     found = written(grouped.mapInArrow(_chained, _CHAINS).withColumns({"src_lo": lo, "src_hi": hi}), "passage-chains")
 
     # the words of the sources first: few documents, each range once
