@@ -1,7 +1,9 @@
 """Repeated passages across documents by seeds, collinear chaining and alignment.
 
 1. Seeds: a share of ``DENSITY`` of the ``K``-word hashes, chosen by the hash alone so that edits nearby don't move them, and
-   the minimizers over windows of ``W`` (an equal run of ``W + K - 1`` words always shares one).
+   the minimizers over windows of ``W`` (an equal run of ``W + K - 1`` words always shares one). Minimizers of ``LONG`` words
+   over windows of ``LONG_W`` join too: where earlier documents have a passage in many varying forms and split its short
+   seeds, a long one leads to a document with the same ``LONG`` words (an equal run of ``LONG + LONG_W - 1`` always has one).
    Every seed is joined with the first document that has it, the smallest id, and not with every other: the number of
    matches follows the number of seeds, however many documents share a passage.
 2. Chains: the matches of a document with one source are chained in order by dynamic programming with linear gap costs;
@@ -34,6 +36,7 @@ from inkspark.llm.store import written
 from inkspark.llm.words import shingles, signed, slices, word_hashes
 
 K, W = 5, 16
+LONG, LONG_W = 16, 32
 DENSITY = 0.25
 GAP_COST = 0.2
 EDGE, EDGE_OF_ONE, GRID = 128, 64, 32  # words fetched beyond a chain; a chain of one match has other seeds nearby if it goes on
@@ -81,21 +84,24 @@ def _seeds(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for whole in batches:
         for batch in slices(whole, "text"):
             offsets, h = word_hashes(batch.column("text"))
-            long = np.diff(offsets) >= K
-            off, grams = shingles(offsets, h, K)
-            place = np.union1d(minimizers(off, grams, W), np.flatnonzero(grams < np.uint64(DENSITY * 2**64)))
-            owner = np.searchsorted(off, place, side="right") - 1
-            place, owner = place[long[owner]], owner[long[owner]]
-            value = grams[place]
-            order = np.lexsort((place, value, owner))
-            first = np.zeros(len(place), bool)
-            if len(place):
-                v, o = value[order], owner[order]
-                first[order] = np.r_[True, (v[1:] != v[:-1]) | (o[1:] != o[:-1])]
-            ids = batch.column("doc_id").take(pa.array(owner))
-            yield pa.RecordBatch.from_arrays(
-                [pa.array(signed(value)), ids, pa.array((place - off[owner]).astype(np.int32)), pa.array(first)], names=["hash", "doc_id", "pos", "first"]
-            )
+            for k, w in ((K, W), (LONG, LONG_W)):
+                long = np.diff(offsets) >= k
+                off, grams = shingles(offsets, h, k)
+                place = minimizers(off, grams, w)
+                if k == K:
+                    place = np.union1d(place, np.flatnonzero(grams < np.uint64(DENSITY * 2**64)))
+                owner = np.searchsorted(off, place, side="right") - 1
+                place, owner = place[long[owner]], owner[long[owner]]
+                value = grams[place]
+                order = np.lexsort((place, value, owner))
+                first = np.zeros(len(place), bool)
+                if len(place):
+                    v, o = value[order], owner[order]
+                    first[order] = np.r_[True, (v[1:] != v[:-1]) | (o[1:] != o[:-1])]
+                ids = batch.column("doc_id").take(pa.array(owner))
+                yield pa.RecordBatch.from_arrays(
+                    [pa.array(signed(value)), ids, pa.array((place - off[owner]).astype(np.int32)), pa.array(first)], names=["hash", "doc_id", "pos", "first"]
+                )
 
 
 def chains(pos: np.ndarray, src: np.ndarray) -> list[np.ndarray]:
@@ -320,10 +326,11 @@ def repeated_pieces(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
         .where("last > src_id")
         .select("hash", "src_id", "src")
     )
+    firsts = written(firsts, "passage-firsts")  # both sides of the join are plain shuffles then: a hot seed's rows can be split
     matches = seeds.select("hash", "doc_id", "pos").join(firsts, "hash").where("doc_id <> src_id")
     grouped = (
         matches.groupBy("doc_id", "src_id")
-        .agg(F.collect_list(F.struct("pos", "src")).alias("m"))
+        .agg(F.collect_set(F.struct("pos", "src")).alias("m"))
         .select("doc_id", "src_id", F.col("m.pos").alias("pos"), F.col("m.src").alias("src"))
     )
     edge = F.when(F.size("src") == 1, EDGE_OF_ONE).otherwise(EDGE)

@@ -49,3 +49,17 @@ def test_parts_of_an_alignment_with_a_bad_middle():
 
     places = np.r_[0:100, 200:300]  # 100 words, 100 others, 100 words
     assert sorted(substring_dedup.parts(places, places)) == [(0, 100, 0, 100, 100), (200, 300, 200, 300, 100)]
+
+
+def test_exact_copies_are_found_among_many_varying_forms(spark):
+    """Every short seed of the copied passage belongs to an earlier document that shares no more than a few words around it."""
+    rng, rows, wanted = random.Random(8), [], set()
+    for _ in range(12):
+        one = make(rng, 64)
+        for a in range(0, 58):  # each seven words of it somewhere before
+            rows.append((len(rows), " ".join(make(rng, 30) + one[a : a + 7] + make(rng, 30))))
+        for _ in range(2):
+            rows.append((len(rows), " ".join(make(rng, 40) + one + make(rng, 40))))
+        wanted.add(len(rows) - 1)
+    got = passages(spark, rows)
+    assert set(got) == wanted and min(got.values()) >= 62
