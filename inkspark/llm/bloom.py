@@ -46,19 +46,30 @@ def bloom_blocks(listed: DataFrame, n_blocks: int) -> DataFrame:
     return rows.groupBy("block").agg(*[F.bit_or(f"w{i}").alias(f"w{i}") for i in range(BLOCK_LONGS)])
 
 
-def _tested(rows: DataFrame, keys: DataFrame, key: str) -> DataFrame | None:
-    """``rows`` with ``_maybe``: false where the key is surely not among ``keys``; None if the filter would be too large."""
+def unused(df: DataFrame, name: str) -> str:
+    """A column name that ``df`` doesn't have in any case, for columns that are dropped again."""
+    taken, out = {c.lower() for c in df.columns}, f"__{name}"
+    while out.lower() in taken:
+        out += "_"
+    return out
+
+
+def _tested(rows: DataFrame, keys: DataFrame, key: str) -> tuple[DataFrame, str] | None:
+    """``rows`` with one more column, named beside them: false where the key is surely not among ``keys``; None if the filter would be too large."""
     n_blocks = block_count(keys.count())
     if n_blocks * (BLOCK_LONGS + 1) * 8 > BROADCAST_BYTES:
         return None
-    blocks = F.broadcast(bloom_blocks(keys.select(F.col(key).alias("key")), n_blocks))
-    test = reduce(lambda a, b: a & b, [F.col(f"w{i}").bitwiseAND(m) == m for i, m in enumerate(masks(F.col(key)))])
-    return (
-        rows.withColumn("block", F.pmod(F.xxhash64(key), F.lit(n_blocks)))
-        .join(blocks, "block", "left")
-        .withColumn("_maybe", F.coalesce(test, F.lit(False)))
-        .drop("block", *[f"w{i}" for i in range(BLOCK_LONGS)])
+    filters = bloom_blocks(keys.select(F.col(key).alias("key")), n_blocks)
+    mine = {c: unused(rows, c) for c in [*filters.columns, "maybe"]}
+    blocks = F.broadcast(filters.withColumnsRenamed(mine))
+    test = reduce(lambda a, b: a & b, [F.col(mine[f"w{i}"]).bitwiseAND(m) == m for i, m in enumerate(masks(F.col(key)))])
+    tested = (
+        rows.withColumn(mine["block"], F.pmod(F.xxhash64(key), F.lit(n_blocks)))
+        .join(blocks, mine["block"], "left")
+        .withColumn(mine["maybe"], F.coalesce(test, F.lit(False)))
+        .drop(*[mine[c] for c in filters.columns])
     )
+    return tested, mine["maybe"]
 
 
 def with_keys_of(rows: DataFrame, keys: DataFrame, key: str, exact: bool = True) -> DataFrame:
@@ -70,7 +81,7 @@ def with_keys_of(rows: DataFrame, keys: DataFrame, key: str, exact: bool = True)
     """
     tested = _tested(rows, keys, key)
     if tested is not None:
-        rows = tested.where("_maybe").drop("_maybe")
+        rows = tested[0].where(F.col(tested[1])).drop(tested[1])
     return rows.join(keys.select(key), key, "left_semi") if exact else rows
 
 
@@ -79,7 +90,8 @@ def split_by_keys(rows: DataFrame, keys: DataFrame, key: str) -> tuple[DataFrame
     tested = _tested(rows, keys, key)
     if tested is None:
         return rows, rows.limit(0)
-    return tested.where("_maybe").drop("_maybe"), tested.where("NOT _maybe").drop("_maybe")
+    rows, maybe = tested
+    return rows.where(F.col(maybe)).drop(maybe), rows.where(~F.col(maybe)).drop(maybe)
 
 
 def without_keys(rows: DataFrame, keys: DataFrame, key: str) -> DataFrame:
@@ -88,8 +100,9 @@ def without_keys(rows: DataFrame, keys: DataFrame, key: str) -> DataFrame:
     Keys of at most ``BROADCAST_BYTES`` (by count, 24 bytes each) are broadcast; of more, the Bloom filter lets surely
     absent rows pass and only possible hits are shuffled to the anti join.
     """
-    other = keys.select(F.col(key).alias("_key"))
+    theirs = unused(rows, "theirs")
+    other = keys.select(F.col(key).alias(theirs))
     if keys.count() * 24 <= BROADCAST_BYTES:
-        return rows.join(F.broadcast(other), F.col(key) == F.col("_key"), "left_anti")
+        return rows.join(F.broadcast(other), F.col(key) == F.col(theirs), "left_anti")
     maybe, sure = split_by_keys(rows, keys, key)
-    return sure.unionByName(maybe.join(other, F.col(key) == F.col("_key"), "left_anti"))
+    return sure.unionByName(maybe.join(other, F.col(key) == F.col(theirs), "left_anti"))

@@ -4,12 +4,9 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
-from pyspark.storagelevel import StorageLevel
 
 from inkspark.llm.store import dropped, written
 
-
-DISK = StorageLevel.DISK_ONLY
 ROWS_PER_FILE = 1 << 21
 
 
@@ -25,22 +22,23 @@ def components(edges: DataFrame) -> DataFrame:
         edges.select("a", "b").union(edges.select(F.col("b").alias("a"), F.col("a").alias("b"))).distinct(), "cc-edges"
     )
     labels = both.groupBy(F.col("a").alias("node")).agg(F.least(F.col("node"), F.min("b")).alias("component"))
-    old = None
+    old, rows = None, 0
     while True:
         near = both.join(labels, both["b"] == labels["node"]).groupBy("a").agg(F.min("component").alias("near"))
         lowered = labels.join(near, labels["node"] == near["a"]).select(
             "node", F.col("component").alias("was"), F.least("component", "near").alias("component")
         )
-        step = lowered.persist(DISK)
+        rows = rows or labels.count()
+        step = written(lowered.coalesce(-(-rows // ROWS_PER_FILE) or 1), "cc-step")
         jump = step.select(F.col("node").alias("component"), F.col("component").alias("further"))
-        after = step.join(jump, "component").select("node", "was", F.least("component", "further").alias("component")).persist(DISK)
-        changed, rows = after.agg(F.count_if(F.col("component") != F.col("was")), F.count(F.lit(1))).first()
-        labels = written(after.select("node", "component").coalesce(-(-rows // ROWS_PER_FILE) or 1), "cc-labels")
-        after.unpersist()
-        step.unpersist()
+        after = step.join(jump, "component").select("node", "was", F.least("component", "further").alias("component"))
+        after = written(after.coalesce(-(-rows // ROWS_PER_FILE) or 1), "cc-labels")
+        changed = after.where("component <> was").limit(1).count()
+        labels = after.select("node", "component")
+        dropped(step)
         if old is not None:
             dropped(old)
-        old = labels
+        old = after
         if not changed:
             dropped(both)
             return labels

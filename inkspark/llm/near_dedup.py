@@ -8,6 +8,8 @@
    member is paired with the leader only: pairs grow with the members, not with their square.
 3. Estimate: the share of equal registers, corrected for chance collisions of the compressed values, drops pairs that
    are more than six standard errors below ``threshold - 0.5``. Pairs between that and the threshold stay, for step 5.
+   A dropped member and those that it may be linked with (by the triangle inequality of the Jaccard distance, members whose
+   estimate may be under a half) get a leader of their own in the band, until no band has a dropped member and another.
 4. Verify: full shingle sets are rebuilt from the texts and compared exactly. The pair also keeps the member's
    difference from the leader (shingles removed and added).
 5. Whole: in groups of one leader that aren't one component yet, members of different components are compared
@@ -28,9 +30,9 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from inkspark.llm.bloom import with_keys_of, without_keys
+from inkspark.llm.bloom import unused, with_keys_of, without_keys
 from inkspark.llm.components import components
-from inkspark.llm.store import held, written
+from inkspark.llm.store import written
 from inkspark.llm.words import mix, shingles, signed, slices, word_hashes
 
 BANDS = 24
@@ -140,17 +142,36 @@ def estimate(a: np.ndarray, b: np.ndarray, size_a: int, size_b: int) -> tuple[fl
 
 
 def _estimated(batches: Iterator[pa.RecordBatch], threshold: float) -> Iterator[pa.RecordBatch]:
-    """Drops pairs whose estimate is over six standard errors under the threshold."""
+    """Pairs with ``near``: not over six standard errors under ``threshold - 0.5``; and ``again``: linked, perhaps, with one that isn't."""
     for batch in batches:
         if not batch.num_rows:
             continue
         ra, rb = batch.column("registers").to_pylist(), batch.column("leader_registers").to_pylist()
         na, nb = batch.column("n_shingles").to_pylist(), batch.column("leader_size").to_pylist()
-        keep = np.zeros(batch.num_rows, bool)
-        for i in range(batch.num_rows):
-            j, err = estimate(np.frombuffer(ra[i], np.uint16), np.frombuffer(rb[i], np.uint16), na[i], nb[i])
-            keep[i] = j + 6 * err >= threshold - 0.5
-        yield batch.filter(pa.array(keep)).select(["class", "leader"])
+        got = np.array([estimate(np.frombuffer(a, np.uint16), np.frombuffer(b, np.uint16), n, m) for a, b, n, m in zip(ra, rb, na, nb)])
+        j, err = got[:, 0], got[:, 1]
+        near = j + 6 * err >= threshold - 0.5
+        yield pa.RecordBatch.from_arrays([batch.column("class"), batch.column("leader"), pa.array(near), pa.array(~near | (j - 6 * err < 0.5))], names=["class", "leader", "near", "again"])
+
+
+def _near_pairs(ranked: DataFrame, regs: DataFrame, threshold: float) -> DataFrame:
+    """(class, leader): every member of a band with a leader that it may be compared with; ``ranked`` has band, class and weight."""
+    theirs = regs.select(F.col("class").alias("leader"), F.col("registers").alias("leader_registers"), F.col("n_shingles").alias("leader_size"))
+    out = None
+    while True:
+        lead = ranked.groupBy("band").agg(F.max_by("class", F.struct("weight", -F.col("class"))).alias("leader"))
+        led = ranked.join(lead, "band").where("class <> leader")
+        pairs = led.select("class", "leader").distinct().join(regs, "class").join(theirs, "leader")
+        judged = written(pairs.mapInArrow(partial(_estimated, threshold=threshold), "class long, leader long, near boolean, again boolean"), "near-pairs")
+        near = judged.where("near").select("class", "leader")
+        out = near if out is None else out.union(near).distinct()
+        if judged.where("NOT near").isEmpty():
+            return out
+        left = led.join(judged.where("again").select("class", "leader", "near"), ["class", "leader"]).select("band", "class", "weight", "near")
+        open_bands = left.groupBy("band").agg(F.count(F.lit(1)).alias("members"), F.bool_or(~F.col("near")).alias("far")).where("far AND members > 1")
+        ranked = written(left.join(open_bands.select("band"), "band", "left_semi").select("band", "class", "weight"), "near-left")
+        if ranked.isEmpty():
+            return out
 
 
 def _verify(batches: Iterator[pa.RecordBatch], words: int) -> Iterator[pa.RecordBatch]:
@@ -219,32 +240,25 @@ def near_duplicates(
     """doc_id, n_shingles, component_id, kept for every row; linked at ``100 * intersection >= percent * union``."""
     t, rows = percent / 100, band_rows(percent / 100)
     texts = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
-    sketches = held(
+    sketches = written(
         texts.mapInArrow(
             partial(_sketch, words=words, rows=rows),
             "doc_id long, n_shingles long, sig_a long, sig_b long, registers binary, bands array<long>",
-        )
+        ),
+        "near-sketches",
     )
     linked = sketches.where("doc_id IS NOT NULL AND n_shingles > 0")
     # a class is a set of equal documents; its id is the smallest of them
     sig = ["n_shingles", "sig_a", "sig_b"]
     classes = linked.groupBy(*sig).agg(F.min("doc_id").alias("class"), F.min_by("registers", "doc_id").alias("registers"), F.min_by("bands", "doc_id").alias("bands"))
-    classes = held(classes)
+    classes = written(classes, "near-classes")
 
     bands = classes.select("class", F.explode("bands").alias("band"))
     shared = bands.groupBy("band").agg(F.count(F.lit(1)).alias("members")).where("members > 1")
-    member = held(bands.join(shared, "band"))
+    member = written(bands.join(shared, "band"), "near-bands")
     weight = member.groupBy("class").agg(F.sum("members").alias("weight"))
     ranked = member.join(weight, "class")
-    lead = ranked.groupBy("band").agg(F.max_by("class", F.struct("weight", -F.col("class"))).alias("leader"))
-    pairs = ranked.join(lead, "band").where("class <> leader").select("class", "leader").distinct()
-    regs = classes.select("class", "registers", "n_shingles")
-    near = written(
-        pairs.join(regs, "class")
-        .join(regs.select(F.col("class").alias("leader"), F.col("registers").alias("leader_registers"), F.col("n_shingles").alias("leader_size")), "leader")
-        .mapInArrow(partial(_estimated, threshold=t), "class long, leader long"),
-        "near-pairs",
-    )
+    near = _near_pairs(ranked.select("band", "class", "weight"), classes.select("class", "registers", "n_shingles"), t)
     needed = near.select(F.col("class").alias("doc_id")).union(near.select("leader")).distinct()
     source = with_keys_of(texts.where("doc_id IS NOT NULL"), needed, "doc_id")
     repeated = linked.groupBy("doc_id").count().where("count > 1")
@@ -315,8 +329,9 @@ def _rest(star: DataFrame, labels: DataFrame, percent: int) -> DataFrame:
 def without_near_duplicates(docs: DataFrame, words: int = 5, percent: int = 80, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """``docs`` with one document of each near-duplicate component, the smallest id."""
     found = near_duplicates(docs, words, percent, id_col, text_col)
-    drop = written(found.where("NOT kept").select(F.col("doc_id").alias("_id")).distinct(), "near-dropped")
-    return without_keys(docs.withColumn("_id", F.col(id_col).cast("long")), drop, "_id").drop("_id")
+    key = unused(docs, "key")
+    drop = written(found.where("NOT kept").select(F.col("doc_id").alias(key)).distinct(), "near-dropped")
+    return without_keys(docs.withColumn(key, F.col(id_col).cast("long")), drop, key).drop(key)
 
 
 def op7_hyperminhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -11,7 +11,6 @@ import tempfile
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
-from pyspark.storagelevel import StorageLevel
 
 _LOCAL: list[str] = []
 
@@ -37,15 +36,6 @@ def written(df: DataFrame, name: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
-def held(df: DataFrame) -> DataFrame:
-    """``df`` kept on the executors' disks once computed, for tables that several joins read.
-
-    Its lineage stays: what a lost executor held is computed again. It costs no files in the shared folder; the
-    session's ``catalog.clearCache()`` frees it.
-    """
-    return df.persist(StorageLevel.DISK_ONLY)
-
-
 def dropped(df: DataFrame) -> None:
     """Removes a table of ``written`` that no later step reads."""
     for path in {f.rpartition("/")[0] for f in df.inputFiles()}:

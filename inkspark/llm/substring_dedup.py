@@ -16,7 +16,10 @@
 A word is a run of characters other than ASCII white space, A-Z lower-cased. Positions count words of the whole text.
 
 Defined results: null, empty and short texts have no passages; the first document with a passage keeps it and isn't reported
-for it; repeats inside one document, and between rows that share an id, aren't reported. Rows with a null id take no part.
+for it; repeats inside one document aren't reported. Rows that share id and text count as one. Rows that share an id but not
+the text are documents of their own (``keyed``): each is searched and cut by its own spans, reported under the shared id,
+and may be the source of another; one of them comes in the order of ids, the others in that of a hash. Rows with a null
+id take no part and stay as they are. Other columns don't take part, whatever their names.
 """
 
 from __future__ import annotations
@@ -31,7 +34,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from inkspark.llm.bloom import BROADCAST_BYTES, split_by_keys, with_keys_of
+from inkspark.llm.bloom import BROADCAST_BYTES, split_by_keys, unused, with_keys_of
 from inkspark.llm.store import written
 from inkspark.llm.words import shingles, signed, slices, word_hashes
 
@@ -305,8 +308,6 @@ def _aligned(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                     arr = lambda k: field[k][j].values.to_numpy()  # noqa: E731, B023
                     src, lo = field["src_id"][j].as_py(), field["src_lo"][j].as_py()
                     pos = arr("pos").astype(np.int64)
-                    if not len(text) or pos[-1] + K > len(text):  # another text under the same id
-                        continue
                     # only the words that the source's range can reach
                     a, b = max(0, int(pos[0]) - 2 * EDGE), int(pos[-1]) + K + 2 * EDGE
                     for s, e, ss, se, m in parts(*align(text[a:b], arr("src_words"), pos - a, arr("src").astype(np.int64) - lo)):
@@ -315,9 +316,30 @@ def _aligned(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             yield pa.RecordBatch.from_arrays([pa.array([r[j] for r in out], pa.int64()) for j in range(len(_PIECE))], names=_PIECE)
 
 
-def repeated_pieces(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """Aligned pieces: doc_id, src_id, start_word, end_word, source_start, source_end, matched."""
-    texts = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text")).where("doc_id IS NOT NULL")
+def ids_of_several_texts(docs: DataFrame, id_col: str, text_col: str) -> DataFrame | None:
+    """(doc_id, the least hash of its texts) of the ids whose rows differ in their texts; None if there are none."""
+    rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.xxhash64(text_col).alias("text_hash")).where("doc_id IS NOT NULL")
+    hashes = rows.groupBy("doc_id").agg(F.min("text_hash").alias("least"), F.max("text_hash").alias("most"))
+    found = written(hashes.where("least <> most").select("doc_id", "least"), "passage-ids-of-several")
+    return None if found.isEmpty() else found
+
+
+def keyed(docs: DataFrame, several: DataFrame | None, key: str, id_col: str, text_col: str) -> DataFrame:
+    """``docs`` with the column ``key``, a number of each different id and text: the id, or a hash for its further texts."""
+    rows = docs.withColumn(key, F.col(id_col).cast("long"))
+    if several is None:
+        return rows
+    least = unused(rows, "least")
+    several = several.select(F.col("doc_id").alias(key), F.col("least").alias(least))
+    several = F.broadcast(several) if several.count() * 24 <= BROADCAST_BYTES else several
+    text_hash = F.xxhash64(text_col)
+    further = F.col(least).isNotNull() & (text_hash != F.col(least))
+    return rows.join(several, key, "left").withColumn(key, F.when(further, F.xxhash64(key, text_hash)).otherwise(F.col(key))).drop(least)
+
+
+def repeated_pieces(texts: DataFrame) -> DataFrame:
+    """Aligned pieces of (doc_id, text) rows whose ids differ where their texts do: doc_id, src_id, start_word, end_word, source_start,
+    source_end, matched."""
     seeds = texts.mapInArrow(_seeds, "hash long, doc_id long, pos int, first boolean")
     lead = F.when(F.col("first"), F.col("doc_id"))
     firsts = (
@@ -342,8 +364,7 @@ def repeated_pieces(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     ranges = found.groupBy("src_id").agg(F.collect_set(F.struct(F.col("src_lo").alias("lo"), F.col("src_hi").alias("hi"))).alias("ranges"))
     ranges = written(ranges, "passage-ranges")
     source = with_keys_of(texts.withColumnRenamed("doc_id", "src_id"), ranges, "src_id", exact=False).join(ranges.hint("merge"), "src_id")
-    # rows that share an id: one text, the first in order
-    source = source.groupBy("src_id").agg(F.min("text").alias("text"), F.first("ranges").alias("ranges"))
+    source = source.groupBy("src_id").agg(F.min("text").alias("text"), F.first("ranges").alias("ranges"))  # repeated rows once
     theirs = written(source.mapInArrow(_cut, "src_id long, src_lo int, src_hi int, src_words array<int>"), "passage-words")
     # then each document with a chain, together with the words of its sources
     chained = (
@@ -379,13 +400,26 @@ def _merged(batches: Iterator[pa.RecordBatch], min_words: int) -> Iterator[pa.Re
 _PASSAGE = ["doc_id", "passage", "passage_start", "passage_end", "source_doc_id", "start_word", "end_word", "source_start", "source_end", "matched_words"]
 
 
-def repeated_passages(docs: DataFrame, min_words: int = MIN_WORDS, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """A row per passage of at least ``min_words`` and source piece in it, for every document but the first that has it."""
-    pieces = repeated_pieces(docs, id_col, text_col)
+def _passages(docs: DataFrame, min_words: int, key: str, text_col: str) -> DataFrame:
+    """Passages of documents named by ``key``."""
+    pieces = repeated_pieces(docs.select(F.col(key).alias("doc_id"), F.col(text_col).alias("text")).where("doc_id IS NOT NULL"))
     grouped = pieces.groupBy("doc_id").agg(F.collect_list(F.struct(*pieces.columns[1:])).alias("pieces"))
     return grouped.mapInArrow(partial(_merged, min_words=min_words), ", ".join(f"{c} long" for c in _PASSAGE))
 
 
+def repeated_passages(docs: DataFrame, min_words: int = MIN_WORDS, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """A row per passage of at least ``min_words`` and source piece in it, for every document but the first that has it."""
+    several, key = ids_of_several_texts(docs, id_col, text_col), unused(docs, "key")
+    rows = keyed(docs, several, key, id_col, text_col)
+    found = _passages(rows, min_words, key, text_col)
+    if several is None:
+        return found
+    names = written(rows.where(F.col(key) != F.col(id_col).cast("long")).select(F.col(key).alias("key"), F.col(id_col).cast("long").alias("id")).distinct(), "passage-names")
+    for c in ("doc_id", "source_doc_id"):
+        found = found.join(names.withColumnsRenamed({"key": c, "id": "id_again"}), c, "left").withColumn(c, F.coalesce("id_again", c)).drop("id_again")
+    return found.select(*_PASSAGE)
+
+
 def _without_words(text: str, cuts: list[dict]) -> str:
     """The text without the words of the cuts, which don't overlap."""
     at = [m.start() for m in _WORD.finditer(text)] + [len(text)]
@@ -396,39 +430,34 @@ def _without_words(text: str, cuts: list[dict]) -> str:
     return "".join([*parts, text[last:]])
 
 
-def _removed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+def _removed(batches: Iterator[pa.RecordBatch], text_col: str, spans_col: str) -> Iterator[pa.RecordBatch]:
     """Rows with the words of their spans cut out of the text; a text of which nothing is left is dropped."""
     for batch in batches:
-        spans = batch.column("spans")
-        hit = pc.and_(pc.is_valid(spans), pc.is_valid(batch.column("text")))
+        spans, texts = batch.column(spans_col), batch.column(text_col)
+        hit = pc.and_(pc.is_valid(spans), pc.is_valid(texts))
         if not pc.any(hit).as_py():
-            yield batch.drop_columns(["spans"])
+            yield batch.drop_columns([spans_col])
             continue
-        texts = batch.column("text").filter(hit).to_pylist()
-        new = [_without_words(t, c) for t, c in zip(texts, spans.filter(hit).to_pylist())]
+        new = [_without_words(t, c) for t, c in zip(texts.filter(hit).to_pylist(), spans.filter(hit).to_pylist())]
         left = np.ones(batch.num_rows, bool)
         left[np.flatnonzero(hit.to_numpy(zero_copy_only=False))] = [bool(_WORD.search(t)) for t in new]
-        text = pc.replace_with_mask(batch.column("text"), hit, pa.array(new, pa.string()))
-        yield batch.set_column(batch.schema.get_field_index("text"), "text", text).drop_columns(["spans"]).filter(pa.array(left))
+        text = pc.replace_with_mask(texts, hit, pa.array(new, texts.type))
+        yield batch.set_column(batch.schema.get_field_index(text_col), batch.schema.field(text_col), text).drop_columns([spans_col]).filter(pa.array(left))
 
 
 def without_passages(docs: DataFrame, min_words: int = MIN_WORDS, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """``docs`` with repeated passages cut out of all but their first document, and documents that were nothing else dropped."""
-    spans = (
-        repeated_passages(docs, min_words, id_col, text_col)
-        .select(F.col("doc_id").alias("_id"), F.struct("passage_start", "passage_end").alias("s"))
-        .groupBy("_id")
-        .agg(F.collect_set("s").alias("spans"))
-    )
+    key, spans_col = unused(docs, "key"), unused(docs, "spans")
+    rows = keyed(docs, ids_of_several_texts(docs, id_col, text_col), key, id_col, text_col)
+    found = _passages(rows, min_words, key, text_col)
+    spans = found.groupBy(F.col("doc_id").alias(key)).agg(F.collect_set(F.struct("passage_start", "passage_end")).alias(spans_col))
     spans = written(spans, "passage-spans")
-    schema = ", ".join(f"`{n}` {t}" for n, t in docs.dtypes)
-    plain = docs.withColumnRenamed(text_col, "text").withColumn("_id", F.col(id_col).cast("long"))
-    if spans.count() * 256 <= BROADCAST_BYTES:
-        cut = plain.join(F.broadcast(spans), "_id", "left").drop("_id").mapInArrow(_removed, schema.replace(f"`{text_col}`", "`text`"))
-        return cut.withColumnRenamed("text", text_col)
-    maybe, sure = split_by_keys(plain, spans, "_id")
-    cut = maybe.join(spans, "_id", "left").drop("_id").mapInArrow(_removed, schema.replace(f"`{text_col}`", "`text`"))
-    return sure.drop("_id").unionByName(cut).withColumnRenamed("text", text_col)
+    size = spans.agg(F.sum(48 + 24 * F.size(spans_col))).first()[0] or 0
+    remove = partial(_removed, text_col=text_col, spans_col=spans_col)
+    if size <= BROADCAST_BYTES:
+        return rows.join(F.broadcast(spans), key, "left").drop(key).mapInArrow(remove, docs.schema)
+    maybe, sure = split_by_keys(rows, spans, key)
+    return sure.drop(key).unionByName(maybe.join(spans, key, "left").drop(key).mapInArrow(remove, docs.schema))
 
 
 def op1_chained_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -4,11 +4,19 @@ The tokenizer file is compiled into two deterministic transducers:
 
 * the pre-tokenizer: a table over a few character classes whose transitions say whether a word starts at the character. It
   runs over a whole batch at once: the characters are cut into chunks, every chunk computes the map from each entry
-  state to its exit state, the maps are composed by a parallel prefix scan, and with the entry states known the
-  chunks emit their word starts. A text may therefore be cut anywhere, and its length doesn't matter;
-* the word transducer: a tree over characters whose end-of-word transition carries the number of tokens that the merge
-  rules give for the word. It is compiled lazily: a worker adds the distinct words that it meets. Words are
-  identified by a rolling hash of their characters, summed over a batch, so that only distinct ones are touched.
+  state to its exit state and the number of words started on the way, the maps are composed by a parallel prefix scan, and
+  with the entry states known the chunks emit their word starts. A text may therefore be cut anywhere;
+* the word transducer: a state is what the merge rules can still change, and each transition, on a byte or on a byte that
+  ends the word, carries the change of the number of tokens. Its states are compiled when they are first met. It reads a word once from
+  left to right, whatever its length.
+
+Why the second one is finite and exact: a split of a word into tokens is the one that the merge rules give if and only if no
+merge crosses any border between neighbouring tokens (``WordTransducer.fits``), so the tokens of a prefix of a word end
+with the one token t of the vocabulary that is a suffix of the prefix and fits what the prefix without t ends with. The next byte
+therefore depends only on the suffixes that begin a token of the vocabulary: for each, its place in the tree of tokens, the
+last token before it, and how many tokens there were then. That tuple is the state.
+
+Equal words of a slice of text are counted once; they are found by Arrow's dictionary encoding of their bytes.
 
 Counts are those of the library without begin, end or added special tokens; special strings inside a text are
 one token each, and split it, as is the library's default.
@@ -34,7 +42,7 @@ from inkspark.llm.words import slices
 CHUNK = 512
 SLICE = 2 << 20
 LIMIT = 2048
-NODES, WORDS = 200_000, 1_000_000
+STATES = 100_000  # compiled states of the word transducer that a worker keeps
 
 # character classes of the pre-tokenizer
 SPACE, LETTER, NUMBER, OTHER, QUOTE, L_S, L_T, L_R, L_E, L_V, L_M, L_L, L_D, CUT = range(14)
@@ -95,27 +103,32 @@ def _table() -> tuple[np.ndarray, np.ndarray]:
     return nxt, emit
 
 
-def word_starts(classes: np.ndarray) -> np.ndarray:
-    """Which characters start a word, by chunk state maps and a prefix scan over them."""
+def word_starts(classes: np.ndarray) -> tuple[np.ndarray, int]:
+    """(which characters start a word, how many), by chunk maps of (exit state, words started) and a prefix scan over them."""
     nxt, emit = _table()
     n = len(classes)
     chunks = max(1, -(-n // CHUNK))
     padded = np.full(chunks * CHUNK + 1, CUT, np.uint8)
     padded[:n] = classes
     grid = np.ascontiguousarray(padded[:-1].reshape(chunks, CHUNK).T)
-    # each chunk's map from entry state to exit state
+    # each chunk's map from entry state to exit state, and the words started on the way
     maps = np.tile(np.arange(N_STATES, dtype=np.uint8), (chunks, 1))
-    flat = nxt.reshape(-1)
+    started = np.zeros((chunks, N_STATES), np.int32)
+    flat, flat_emit = nxt.reshape(-1), emit.reshape(-1)
+    words = np.array([0, 1, 1, 2], np.uint8)[flat_emit]
     for row in grid:
-        maps = flat[maps * np.uint8(N_CLASSES) + row[:, None]]
-    # inclusive prefix scan of the maps under composition
+        at = maps * np.uint8(N_CLASSES) + row[:, None]
+        started += words[at]
+        maps = flat[at]
+    # inclusive prefix scan under composition: the exit states of the left are the entry states of the right
     step = 1
     while step < chunks:
-        maps[step:] = np.take_along_axis(maps[step:], maps[:-step].copy(), 1)
+        left = maps[:-step].copy()
+        started[step:] = started[:-step] + np.take_along_axis(started[step:], left, 1)
+        maps[step:] = np.take_along_axis(maps[step:], left, 1)
         step *= 2
     state = np.r_[np.uint8(S_NONE), maps[:-1, S_NONE]]
     out = np.zeros((CHUNK + 1, chunks), np.uint8)
-    flat_emit = emit.reshape(-1)
     for i, row in enumerate(grid):
         at = state * np.uint8(N_CLASSES) + row
         out[i], state = flat_emit[at], flat[at]
@@ -123,7 +136,122 @@ def word_starts(classes: np.ndarray) -> np.ndarray:
     starts = (marks & 1).astype(bool)
     late = np.flatnonzero(marks & 2) - 1  # the character before starts a word
     starts[late] = True
-    return starts[:n]
+    return starts[:n], int(started[-1, S_NONE])
+
+
+class WordTransducer:
+    """The merge rules over the bytes of a word, as a deterministic transducer that is compiled while it runs.
+
+    Symbols 0 to 255 are bytes inside a word, 256 to 511 bytes that end one.
+    """
+
+    def __init__(self, merges: list[tuple[str, str]], vocab: dict[str, int], end: str):
+        chars = _byte_chars()
+        base = {c: b for b, c in enumerate(chars)} | {c + end: 256 + b for b, c in enumerate(chars)}
+        if any(c not in vocab for c in base):
+            raise ValueError("the vocabulary lacks some byte")
+        number, spelled = dict(base), [(i,) for i in range(512)]
+        self.halves: list[tuple[int, int]] = [(-1, -1)] * 512
+        self.made = [-1] * 512  # the rank of the merge that makes a token
+        self.rank: dict[tuple[int, int], int] = {}
+        for r, (a, b) in enumerate(merges):
+            x, y = number[a], number[b]
+            if a + b not in number:
+                number[a + b] = len(spelled)
+                spelled.append(spelled[x] + spelled[y])
+                self.halves.append((x, y))
+                self.made.append(r)
+            self.rank[x, y] = r
+        # the tree of the tokens that the rules make of their own bytes
+        self.child: dict[int, int] = {}
+        self.token, self.inner = [-1], [False]
+        own = [True] * len(spelled)
+        for t, symbols in enumerate(spelled):
+            x, y = self.halves[t]
+            if x >= 0 and not (own[x] and own[y] and self.fits(x, y, self.made[t])):
+                own[t] = False
+                continue
+            node = 0
+            for c in symbols:
+                self.inner[node] = True
+                key = node << 9 | c
+                node = self.child.get(key, 0)
+                if not node:
+                    node = self.child[key] = len(self.token)
+                    self.token.append(-1)
+                    self.inner.append(False)
+            self.token[node] = t
+        self.pairs: dict[tuple[int, int], bool] = {}
+        self.known: dict[tuple, int] = {}
+        self.states: list[tuple] = []
+        self.steps: dict[int, tuple[int, int]] = {}
+        self._restart()
+
+    def _restart(self) -> None:
+        self.pairs.clear()
+        self.steps.clear()
+        self.states[:] = [((0, -1, 0),)]
+        self.known.clear()
+        self.known[self.states[0]] = 0
+
+    def fits(self, a: int, b: int, limit: float = float("inf")) -> bool:
+        """Whether no merge of a lower rank than ``limit`` crosses the border of two neighbouring tokens.
+
+        The merges that made them are undone, the latest first. A merge across the border happens if its rank is lower than that of
+        the merge undone last (or equal to it, on the right: of equal pairs the left one is merged first).
+        """
+        while True:
+            r = self.rank.get((a, b))
+            if r is not None and r < limit:
+                return False
+            made_a, made_b = self.made[a], self.made[b]
+            if made_a < 0 and made_b < 0:
+                return True
+            if made_a > made_b:
+                limit, a = min(limit, made_a), self.halves[a][1]
+            else:
+                limit, b = min(limit, made_b + 1), self.halves[b][0]
+
+    def _compiled(self, state: int, symbol: int) -> tuple[int, int]:
+        """(next state, change of the number of tokens) of a transition."""
+        kept, last, change = [], -1, 0
+        for node, before, count in self.states[state]:
+            child = self.child.get(node << 9 | symbol)
+            if child is None:
+                continue
+            t = self.token[child]
+            if t >= 0 and last < 0:
+                good = before < 0 or self.pairs.get((before, t))
+                if good is None:
+                    good = self.pairs[before, t] = self.fits(before, t)
+                if good:
+                    last, change = t, count + 1
+            if self.inner[child]:
+                kept.append((child, before, count))
+        key = (*((n, b, c - change) for n, b, c in kept), (0, last, 0))
+        to = self.known.get(key)
+        if to is None:
+            if len(self.states) >= STATES:
+                self._restart()
+                to = self.known[key] = len(self.states)
+                self.states.append(key)
+                return to, change
+            to = self.known[key] = len(self.states)
+            self.states.append(key)
+        step = self.steps[state << 9 | symbol] = (to, change)
+        return step
+
+    def count(self, word: bytes) -> int:
+        """Tokens of a word: the sum of what its transitions carry."""
+        steps, state, total = self.steps, 0, 0
+        for b in word[:-1]:
+            step = steps.get(state << 9 | b)
+            if step is None:
+                step = self._compiled(state, b)
+            state, change = step
+            total += change
+        last = 256 | word[-1]
+        return total + (steps.get(state << 9 | last) or self._compiled(state, last))[1]
 
 
 class Tokenizer:
@@ -133,49 +261,9 @@ class Tokenizer:
         with open(path, encoding="utf-8") as f:
             spec = json.load(f)
         model = spec["model"]
-        pairs = [m if isinstance(m, list) else m.split(" ") for m in model["merges"]]
-        self.ranks = {tuple(p): i for i, p in enumerate(pairs)}
-        self.end = model["end_of_word_suffix"]
-        self.known = model["vocab"]
+        merges = [tuple(m) if isinstance(m, list) else tuple(m.split(" ")) for m in model["merges"]]
+        self.words = WordTransducer(merges, model["vocab"], model["end_of_word_suffix"])
         self.special = regex.compile("|".join(regex.escape(t["content"]) for t in spec["added_tokens"]))
-        self.bytes = _byte_chars()
-        self.tree: dict = {}
-        self.nodes = 0
-        self.by_hash: dict[int, int] = {}
-
-    def count(self, word: str) -> int:
-        """Tokens of one word, read off the end-of-word transition of its path; compiled on first use."""
-        if self.nodes > NODES:  # a worker's compiled paths stay bounded
-            self.tree, self.nodes = {}, 0
-        node = self.tree
-        for c in word:
-            if c not in node:
-                node[c] = {}
-                self.nodes += 1
-            node = node[c]
-        if "" not in node:
-            node[""] = self._merge(word)
-        return node[""]
-
-    def _merge(self, word: str) -> int:
-        parts = [self.bytes[b] for b in word.encode("utf-8", "surrogatepass")]
-        parts[-1] += self.end
-        ranks = self.ranks
-        while len(parts) > 1:
-            best = min(range(len(parts) - 1), key=lambda i: ranks.get((parts[i], parts[i + 1]), 1 << 30))
-            pair = (parts[best], parts[best + 1])
-            if pair not in ranks:
-                break
-            merged, i = [], 0
-            while i < len(parts):
-                if i < len(parts) - 1 and (parts[i], parts[i + 1]) == pair:
-                    merged.append(pair[0] + pair[1])
-                    i += 2
-                else:
-                    merged.append(parts[i])
-                    i += 1
-            parts = merged
-        return sum(p in self.known for p in parts)
 
 
 def _byte_chars() -> list[str]:
@@ -204,18 +292,6 @@ def normal(text: str) -> str:
     return unicodedata.normalize("NFC", text).replace("Σ", "σ").lower()
 
 
-_BASE = np.uint64(0x9E3779B97F4A7C15)
-
-
-@lru_cache(2)
-def _powers(n: int) -> tuple[np.ndarray, np.ndarray]:
-    inverse = pow(int(_BASE), -1, 1 << 64)
-    with np.errstate(over="ignore"):
-        up = np.cumprod(np.r_[np.uint64(1), np.full(n, _BASE, np.uint64)], dtype=np.uint64)
-        down = np.cumprod(np.r_[np.uint64(1), np.full(n, np.uint64(inverse), np.uint64)], dtype=np.uint64)
-    return up, down
-
-
 def count_tokens(texts: list[str], path: str) -> np.ndarray:
     """The number of tokens of each text."""
     tok = tokenizer(path)
@@ -240,30 +316,23 @@ def count_tokens(texts: list[str], path: str) -> np.ndarray:
     cls = _classes()[points]
     ends = np.cumsum(lens)
     cls[ends - 1] = CUT
-    begin = np.flatnonzero(word_starts(cls))
-    if not len(begin):
+    starts, n_words = word_starts(cls)
+    if not n_words:
         return total
-    # a word ends where the next one starts or white space comes
-    blank = np.flatnonzero((cls == SPACE) | (cls == CUT))
-    stop = np.minimum(np.r_[begin[1:], len(cls)], blank[np.searchsorted(blank, begin)])
-    up, down = _powers(1 << int(len(points)).bit_length())
-    with np.errstate(over="ignore"):
-        sums = np.r_[np.uint64(0), np.cumsum((points.astype(np.uint64) + np.uint64(1)) * up[: len(points)], dtype=np.uint64)]
-        key = (sums[stop] - sums[begin]) * down[begin] + (stop - begin).astype(np.uint64) * np.uint64(0xD1B54A32D192ED03)
-    enc = pa.array(key).dictionary_encode()
-    codes, uniq = enc.indices.to_numpy(zero_copy_only=False), enc.dictionary.to_numpy(zero_copy_only=False)
-    first = np.full(len(uniq), -1)
-    first[codes[::-1]] = np.arange(len(codes))[::-1]
-    if len(tok.by_hash) > WORDS:
-        tok.by_hash.clear()
-    known, counts = tok.by_hash, np.empty(len(uniq), np.int64)
-    for j, k in enumerate(uniq.tolist()):
-        c = known.get(k)
-        if c is None:
-            c = known[k] = tok.count(joined[begin[first[j]] : stop[first[j]]])
-        counts[j] = c
-    piece = np.searchsorted(ends, begin, side="right")
-    np.add.at(total, np.array(owner)[piece], counts[codes])
+    # without white space the words follow each other: their bytes are one Arrow array
+    full = (cls != SPACE) & (cls != CUT)
+    letters = points[full]
+    width = 1 + (letters >= 0x80).astype(np.int32) + (letters >= 0x800) + (letters >= 0x10000)
+    at = np.r_[0, np.cumsum(width)]
+    begin = np.flatnonzero(starts[full])
+    offsets = at[np.r_[begin, len(letters)]].astype(np.int32)
+    data = letters.tobytes().decode("utf-32-le").encode("utf-8")
+    words = pa.Array.from_buffers(pa.binary(), n_words, [None, pa.py_buffer(offsets), pa.py_buffer(data)]).dictionary_encode()
+    counts = np.array([tok.words.count(w) for w in words.dictionary.to_pylist()], np.int64)
+    # the tokens of a text are the difference of two prefix sums over the words
+    summed = np.r_[0, np.cumsum(counts[words.indices.to_numpy(zero_copy_only=False)])]
+    piece = np.searchsorted(np.flatnonzero(starts), np.r_[0, ends])
+    np.add.at(total, np.array(owner), np.diff(summed[piece]))
     return total
 
 
