@@ -313,6 +313,7 @@ def _rest(star: DataFrame, labels: DataFrame, percent: int) -> DataFrame:
         .where("lo <> hi AND others > 0 AND members > 2")
         .select("leader", "members", "others", F.greatest(F.lit(1), F.least(F.lit(BLOCK), F.floor(F.lit(BLOCK_TOKENS) * F.col("members") / F.greatest(F.lit(1), "tokens")))).alias("block"))
     )
+    open_groups = written(open_groups, "near-open")  # both sides of the join are plain shuffles then: a hot leader's rows can be split
     rows = rows.join(open_groups, "leader")
     # a block holds so many rows that their differences stay within BLOCK_TOKENS on average
     blocks_y, blocks_x = F.ceil(F.col("members") / F.col("block")), F.ceil(F.col("others") / F.col("block"))

@@ -8,6 +8,7 @@ QUERIES = {
     "op2_quality_rules": quality_rules.op2_quality_rules,
     "llm_base_statistics": quality_rules.llm_base_statistics,
     "op5_extendible_sharding": sharding.op5_extendible_sharding,
+    "llm_small_shards": sharding.llm_small_shards,
     "op7_hyperminhash_near_dedup": near_dedup.op7_hyperminhash_near_dedup,
     "op8_transducer_token_counts": token_counts.op8_transducer_token_counts,
     "op4_counterfactual_toxicity": toxicity.op4_counterfactual_toxicity,
@@ -20,6 +21,7 @@ QUERIES = {
 ORACLE = {
     "llm_base_statistics": quality_rules.BASE_SQL,
     "op5_extendible_sharding": sharding.ORACLE_SQL,
+    "llm_small_shards": sharding.SMALL_ORACLE_SQL,
     "op7_hyperminhash_near_dedup": near_dedup.ORACLE_SQL,
     "op10_url_filter": url_filter.ORACLE_SQL,
 }

@@ -19,6 +19,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from inkspark.llm.bloom import unused
+
 HASH_BITS = 60
 SLACK_BITS = 3
 NEXT_BITS = 4
@@ -26,6 +28,7 @@ SALTS = 1024
 
 #: Byte limit of a shard in the query.
 LIMIT_BYTES = 2 << 20
+SMALL_LIMIT_BYTES = 32 << 10
 
 
 def row_hash(doc_id: Column, text: Column) -> Column:
@@ -66,8 +69,10 @@ def assign_shards(
     id_col: str = "doc_id",
     text_col: str = "text",
     broadcast_bytes: int = 8 << 20,
+    carry: bool = False,
 ) -> DataFrame:
-    """doc_id, n_bytes and the row's shard: shard_depth, shard_prefix, page, shard_bytes, shard_rows of the bucket."""
+    """doc_id, n_bytes and the row's shard: shard_depth, shard_prefix, page, shard_bytes, shard_rows of the bucket; with ``carry``
+    also the whole ``row`` as a struct."""
     from inkspark.llm.store import written
 
     base = written(
@@ -75,6 +80,7 @@ def assign_shards(
             F.col(id_col).alias("doc_id"),
             F.coalesce(F.octet_length(text_col), F.lit(0)).cast("long").alias("n_bytes"),
             row_hash(F.col(id_col), F.col(text_col)).alias("hash"),
+            *([F.struct(*docs.columns).alias("row")] if carry else []),
         ),
         "shard-hashes",
     )
@@ -92,7 +98,7 @@ def assign_shards(
         done.append(joined.where("depth IS NOT NULL"))
         if not n_open:
             break
-        rows = joined.where("depth IS NULL").select("doc_id", "n_bytes", "hash")
+        rows = joined.where("depth IS NULL").select(*base.columns)
         low, high = high + 1, min(HASH_BITS, high + NEXT_BITS)
     out = done[0]
     for more in done[1:]:
@@ -105,6 +111,7 @@ def assign_shards(
         F.col("prefix").alias("shard_prefix"),
         F.col("node_bytes").alias("shard_bytes"),
         F.col("node_rows").alias("shard_rows"),
+        *base.columns[3:],
     )
     if high < HASH_BITS:  # no bucket is left over: every row is in page 0
         return out.drop("hash").withColumn("page", F.lit(0).cast("long"))
@@ -113,8 +120,11 @@ def assign_shards(
 
 def _paged(out: DataFrame, limit: int) -> DataFrame:
     """Overflow pages for buckets of identical hashes: rows are numbered per salt, then offset by the salts before."""
+    from inkspark.llm.store import written
+
     whole = (F.col("shard_bytes") <= limit) | (F.col("shard_rows") == 1)
-    over = out.where(~whole).withColumn("salt", F.pmod(F.monotonically_increasing_id(), F.lit(SALTS)))
+    # equal rows have nothing to number them by but their place: it is written once, so that a task run again can't change it
+    over = written(out.where(~whole).withColumn("salt", F.pmod(F.monotonically_increasing_id(), F.lit(SALTS))), "shard-overflow")
     inside = Window.partitionBy("hash", "salt").orderBy("n_bytes")
     before = Window.partitionBy("hash").orderBy("salt").rowsBetween(Window.unboundedPreceding, -1)
     offsets = (
@@ -133,11 +143,11 @@ def _paged(out: DataFrame, limit: int) -> DataFrame:
 
 
 def write_shards(docs: DataFrame, path: str, limit_bytes: int, id_col: str = "doc_id", text_col: str = "text") -> None:
-    """Writes ``docs`` as one Parquet folder per shard (``shard=depth-prefix-page``)."""
-    named = assign_shards(docs, limit_bytes, id_col, text_col).select(
-        F.col("doc_id").alias("_id"), F.concat_ws("-", "shard_depth", "shard_prefix", "page").alias("shard")
-    ).distinct()
-    docs.join(named, docs[id_col].eqNullSafe(named["_id"])).drop("_id").repartition("shard").write.partitionBy("shard").parquet(path)
+    """Writes ``docs`` as one Parquet folder per shard (``shard=depth-prefix-page``); every row once, with all its columns."""
+    placed = assign_shards(docs, limit_bytes, id_col, text_col, carry=True)
+    name = unused(docs, "shard") if "shard" in docs.columns else "shard"
+    named = placed.select("row.*", F.concat_ws("-", "shard_depth", "shard_prefix", "page").alias(name))
+    named.repartition(name).write.partitionBy(name).parquet(path)
 
 
 def op5_extendible_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -145,16 +155,21 @@ def op5_extendible_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     return assign_shards(spark.read.parquet(f"{sf_dir}/documents.parquet"), LIMIT_BYTES)
 
 
-ORACLE_SQL = f"""
+def llm_small_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The shards at a limit that makes many of them on small tables, for the comparison with SQL."""
+    return assign_shards(spark.read.parquet(f"{sf_dir}/documents.parquet"), SMALL_LIMIT_BYTES)
+
+
+_SQL = """
 WITH h AS (
   SELECT doc_id, coalesce(octet_length(encode(text)), 0)::BIGINT AS n_bytes,
          ('0x' || substr(md5(coalesce(doc_id::VARCHAR, '') || ':' || coalesce(text, '')), 1, 15))::BIGINT AS hash
   FROM documents
 ), lifted AS (
-  SELECT doc_id, n_bytes, hash, d, hash >> ({HASH_BITS} - d) AS prefix FROM h, range(0, 31) r(d)
+  SELECT doc_id, n_bytes, hash, d, hash >> (BITS - d) AS prefix FROM h, range(0, 31) r(d)
 ), nodes AS (
   SELECT d, prefix, sum(n_bytes)::BIGINT AS shard_bytes, count(*) AS shard_rows FROM lifted GROUP BY d, prefix
-  HAVING sum(n_bytes) <= {LIMIT_BYTES} OR count(*) = 1
+  HAVING sum(n_bytes) <= LIMIT OR count(*) = 1
 ), leaf AS (
   SELECT l.doc_id, l.n_bytes, l.d, l.prefix, n.shard_bytes, n.shard_rows,
          row_number() OVER (PARTITION BY l.doc_id ORDER BY l.d) AS rn
@@ -162,4 +177,6 @@ WITH h AS (
 )
 SELECT doc_id, n_bytes, d::INTEGER AS shard_depth, prefix AS shard_prefix, shard_bytes, shard_rows, 0::BIGINT AS page
 FROM leaf WHERE rn = 1
-"""
+""".replace("BITS", str(HASH_BITS))
+ORACLE_SQL = _SQL.replace("LIMIT", str(LIMIT_BYTES))
+SMALL_ORACLE_SQL = _SQL.replace("LIMIT", str(SMALL_LIMIT_BYTES))

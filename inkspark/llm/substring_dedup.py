@@ -18,8 +18,8 @@ A word is a run of characters other than ASCII white space, A-Z lower-cased. Pos
 Defined results: null, empty and short texts have no passages; the first document with a passage keeps it and isn't reported
 for it; repeats inside one document aren't reported. Rows that share id and text count as one. Rows that share an id but not
 the text are documents of their own (``keyed``): each is searched and cut by its own spans, reported under the shared id,
-and may be the source of another; one of them comes in the order of ids, the others in that of a hash. Rows with a null
-id take no part and stay as they are. Other columns don't take part, whatever their names.
+and may be the source of another; one of them comes in the order of ids, the others after all ids, by a hash. Rows with a
+null id take no part and stay as they are. Other columns don't take part, whatever their names.
 """
 
 from __future__ import annotations
@@ -333,8 +333,9 @@ def keyed(docs: DataFrame, several: DataFrame | None, key: str, id_col: str, tex
     several = several.select(F.col("doc_id").alias(key), F.col("least").alias(least))
     several = F.broadcast(several) if several.count() * 24 <= BROADCAST_BYTES else several
     text_hash = F.xxhash64(text_col)
+    after_ids = F.call_function("shiftrightunsigned", F.xxhash64(key, text_hash), F.lit(2)).bitwiseOR(F.lit(1 << 62))
     further = F.col(least).isNotNull() & (text_hash != F.col(least))
-    return rows.join(several, key, "left").withColumn(key, F.when(further, F.xxhash64(key, text_hash)).otherwise(F.col(key))).drop(least)
+    return rows.join(several, key, "left").withColumn(key, F.when(further, after_ids).otherwise(F.col(key))).drop(least)
 
 
 def repeated_pieces(texts: DataFrame) -> DataFrame:

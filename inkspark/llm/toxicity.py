@@ -17,6 +17,7 @@ null labels and labels without a document are left out.
 
 from __future__ import annotations
 
+import re
 import zlib
 from collections.abc import Iterator
 from dataclasses import dataclass
@@ -159,13 +160,14 @@ def _rows(batches: Iterator[pa.RecordBatch], chosen: dict[int, int], groups) ->
         )
 
     terms = {t for g in groups for t in g}
+    any_term = re.compile(r"(?<![^\W\d_])(?:" + "|".join(map(re.escape, sorted(terms))) + r")(?![^\W\d_])") if terms else None
     for whole in batches:
         for batch in slices(whole, "text", SLICE):
             labels = [int(x) for x in batch.column("label").to_pylist()]
             yield packed(batch.column("text"), [0] * len(labels), labels)
             pairs, kinds, of = [], [], []
             for text, y in zip(batch.column("text").to_pylist(), labels):
-                if text and not terms.isdisjoint(text.lower().split()):
+                if text and any_term and any_term.search(text.lower()):
                     for sentence in text.replace("\n", ".").split("."):
                         if (other := swapped(sentence, groups)) is not None:
                             pairs += [sentence, other]
@@ -184,6 +186,12 @@ class Model:
     bias: float
 
 
+def logits(texts: list[str], model: Model) -> np.ndarray:
+    """The model's log odds of each text."""
+    text, place, value = _vectors(pa.array(texts, pa.string()), _Cache(partial(_places, chosen=model.chosen)))
+    return np.bincount(text, weights=value * np.r_[model.weights, 0.0][place], minlength=len(texts)) + model.bias
+
+
 def fit(labelled: DataFrame, swap_weight: float = 1.0, l2: float = 3e-5, steps: int = 300, groups=IDENTITY_TERMS) -> Model:
     """Fits (text, label) rows; the caller bounds their number."""
     stats = labelled.mapInArrow(_counted, "place long, n0 long, n1 long").groupBy("place").agg(F.sum("n0").alias("n0"), F.sum("n1").alias("n1"))
@@ -232,7 +240,9 @@ def fit(labelled: DataFrame, swap_weight: float = 1.0, l2: float = 3e-5, steps:
 
 def _paired(one: np.ndarray, two: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """Sentences and their swaps are written next to each other."""
-    return (one, one + 1) if len(one) and np.array_equal(one + 1, two) else (one[:0], two[:0])
+    if not np.array_equal(one + 1, two):
+        raise ValueError("a sentence without its swap")
+    return one, two
 
 
 def _scored(batches: Iterator[pa.RecordBatch], model: Model) -> Iterator[pa.RecordBatch]:

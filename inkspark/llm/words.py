@@ -14,7 +14,7 @@ import pandas as pd
 import pyarrow as pa
 import pyarrow.compute as pc
 
-SLICE_BYTES = 2 << 20
+SLICE_BYTES = 1 << 20
 _M = np.uint64(0xFFFFFFFFFFFFFFFF)
 
 
@@ -39,6 +39,7 @@ def slices(batch: pa.RecordBatch, text_col: str, limit: int = SLICE_BYTES) -> It
     starts = np.flatnonzero(np.r_[True, group[1:] != group[:-1]])
     for a, b in zip(starts, [*starts[1:], batch.num_rows]):
         yield batch.slice(a, b - a)
+    pa.default_memory_pool().release_unused()
 
 
 def split_words(texts: pa.Array, lower: bool = True) -> tuple[np.ndarray, pa.Array]:
