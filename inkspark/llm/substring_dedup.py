@@ -5,7 +5,9 @@
    over windows of ``LONG_W`` join too: where earlier documents have a passage in many varying forms and split its short
    seeds, a long one leads to a document with the same ``LONG`` words (an equal run of ``LONG + LONG_W - 1`` always has one).
    Every seed is joined with the first document that has it, the smallest id, and not with every other: the number of
-   matches follows the number of seeds, however many documents share a passage.
+   matches follows the number of seeds, however many documents share a passage. A short seed carries four bits of the hash of each of
+   the ``AROUND`` words on either side; a match counts where at least ``ALIKE`` of them agree, so that chance repeats of a
+   few common words end at the join.
 2. Chains: the matches of a document with one source are chained in order by dynamic programming with linear gap costs;
    a Fenwick tree over source positions gives each match its best predecessor. A single match is a chain too.
 3. Alignment: only the words around a chain are fetched, for the document and for the source. Gaps between matches are
@@ -41,6 +43,7 @@ from inkspark.llm.words import shingles, signed, slices, word_hashes
 K, W = 5, 16
 LONG, LONG_W = 16, 32
 DENSITY = 0.25
+AROUND, ALIKE = 4, 3
 GAP_COST = 0.2
 EDGE, EDGE_OF_ONE, GRID = 128, 64, 32  # words fetched beyond a chain; a chain of one match has other seeds nearby if it goes on
 PIECE, IDENTITY = 15, 0.8
@@ -83,7 +86,17 @@ def minimizers(offsets: np.ndarray, grams: np.ndarray, w: int) -> np.ndarray:
     return np.flatnonzero(chosen & ~again)
 
 
+def _around(offsets: np.ndarray, h: np.ndarray, at: np.ndarray, owner: np.ndarray) -> np.ndarray:
+    """Four bits of each of the words before and after the ``K`` words at ``at``, 0 beyond the text's ends."""
+    out, bits = np.zeros(len(at), np.uint32), (h >> np.uint64(60)).astype(np.uint32)
+    for i, d in enumerate([*range(-AROUND, 0), *range(K, K + AROUND)]):
+        inside = (at + d >= offsets[owner]) & (at + d < offsets[owner + 1])
+        out[inside] |= bits[at[inside] + d] << np.uint32(4 * i)
+    return out
+
+
 def _seeds(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Rows (hash, doc_id, place, first): ``place`` is the position over the bits of the words around, ``first`` the first in its text."""
     for whole in batches:
         for batch in slices(whole, "text"):
             offsets, h = word_hashes(batch.column("text"))
@@ -101,10 +114,9 @@ def _seeds(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                 if len(place):
                     v, o = value[order], owner[order]
                     first[order] = np.r_[True, (v[1:] != v[:-1]) | (o[1:] != o[:-1])]
-                ids = batch.column("doc_id").take(pa.array(owner))
-                yield pa.RecordBatch.from_arrays(
-                    [pa.array(signed(value)), ids, pa.array((place - off[owner]).astype(np.int32)), pa.array(first)], names=["hash", "doc_id", "pos", "first"]
-                )
+                ids, pos = batch.column("doc_id").take(pa.array(owner)), place - off[owner]
+                near = _around(offsets, h, offsets[owner] + pos, owner).astype(np.int64) if k == K else 0  # equal words need no proof
+                yield pa.RecordBatch.from_arrays([pa.array(signed(value)), ids, pa.array((pos << 32) | near), pa.array(first)], names=["hash", "doc_id", "place", "first"])
 
 
 def chains(pos: np.ndarray, src: np.ndarray) -> list[np.ndarray]:
@@ -341,16 +353,25 @@ def keyed(docs: DataFrame, several: DataFrame | None, key: str, id_col: str, tex
 def repeated_pieces(texts: DataFrame) -> DataFrame:
     """Aligned pieces of (doc_id, text) rows whose ids differ where their texts do: doc_id, src_id, start_word, end_word, source_start,
     source_end, matched."""
-    seeds = texts.mapInArrow(_seeds, "hash long, doc_id long, pos int, first boolean")
+    seeds = texts.mapInArrow(_seeds, "hash long, doc_id long, place long, first boolean")
     lead = F.when(F.col("first"), F.col("doc_id"))
     firsts = (
         seeds.groupBy("hash")
-        .agg(F.min(lead).alias("src_id"), F.min_by("pos", lead).alias("src"), F.max("doc_id").alias("last"))
+        .agg(F.min(lead).alias("src_id"), F.min_by("place", lead).alias("src_place"), F.max("doc_id").alias("last"))
         .where("last > src_id")
-        .select("hash", "src_id", "src")
+        .select("hash", "src_id", "src_place")
     )
     firsts = written(firsts, "passage-firsts")  # both sides of the join are plain shuffles then: a hot seed's rows can be split
-    matches = seeds.select("hash", "doc_id", "pos").join(firsts, "hash").where("doc_id <> src_id")
+    differ = F.expr("(place ^ src_place) & 4294967295L")
+    unlike = F.bit_count(F.expr("(d | shiftright(d, 1) | shiftright(d, 2) | shiftright(d, 3)) & 286331153L"))  # four-bit groups with a bit set
+    matches = (
+        seeds.select("hash", "doc_id", "place")
+        .join(firsts, "hash")
+        .where("doc_id <> src_id")
+        .withColumn("d", differ)
+        .where(unlike <= 2 * AROUND - ALIKE)
+        .select("doc_id", "src_id", F.shiftright("place", 32).cast("int").alias("pos"), F.shiftright("src_place", 32).cast("int").alias("src"))
+    )
     grouped = (
         matches.groupBy("doc_id", "src_id")
         .agg(F.collect_set(F.struct("pos", "src")).alias("m"))
