@@ -6,6 +6,7 @@ forms, several dashes and stray white space.
 
 from __future__ import annotations
 
+import json
 import unicodedata
 from difflib import SequenceMatcher
 
@@ -18,18 +19,32 @@ from pyspark.sql.types import DoubleType, StringType
 DIGIT_FROM, DIGIT_TO = "ODQIL|!ZSGB", "00011112568"
 LETTER_FROM, LETTER_TO = "50182", "SOIBZ"
 DASHES = "‐‑‒–—―−_"
+# Arrow characters, patterns of markings, limits of a leg length.
 ARROWS = r"[\x{2190}-\x{21ff}\x{2794}\x{279c}\x{27a1}\x{25b6}\x{25ba}\x{25c0}\x{25c4}]"
 
 CODE_VALUE = r"^([A-Z]+)([0-9]+(?:\.[0-9]+)?)$"
 DIMENSION = r"^[0-9]{2,5}(?:\.[0-9]+)?$"
 PART_LIKE = r"^[A-Z]{1,3}-[0-9]+[A-Z]?$"
+# Characters read as the letter of a leg marking, and as its digits.
+LEG_LETTER_FROM, LEG_LETTER_TO = "fFEPTvVuUYysS5$§", "FFFFFVVVVVVSSSSS"
+LEG_DIGIT_FROM, LEG_DIGIT_TO = "OoDQIl|i!ZzBbGSs$qgAT/,·", "0000111112286655599477.."
 THICKNESS = r"^(?:T[=:]?([0-9]+(?:\.[0-9]+)?)(?:MM)?|([0-9]+(?:\.[0-9]+)?)(?:MM)?T)$"
 POSITION = r"(?<![0-9A-Za-z])([1-4][FG])(?![0-9A-Za-z])"
 
 LEG_MIN_MM, LEG_MAX_MM = 2.0, 25.0
 
-_WIDE = "".join(map(chr, range(0xFF01, 0xFF5F))) + "　"
-_NARROW = "".join(map(chr, range(0x21, 0x7F))) + " "
+def _compatible() -> tuple[str, str, dict[str, str]]:
+    """Characters that NFKC turns into one other character, those, and the ones that it turns into several."""
+    one, several = {}, {}
+    for c in map(chr, (*range(0xA0, 0xD800), *range(0xF900, 0x10000), *range(0x1D400, 0x1F251))):
+        to = unicodedata.normalize("NFKC", c)
+        if to != c:
+            (one if len(to) == 1 else several)[c] = to
+    return "".join(one), "".join(one.values()), several
+
+
+_WIDE, _NARROW, _SEVERAL = _compatible()
+# a translate without surrogate pairs costs nothing for plain text; texts with characters that become several take a slower way
 
 
 def _c(value: Column | str) -> Column:
@@ -48,12 +63,29 @@ def similarity(a: pd.Series, b: pd.Series) -> pd.Series:
     return pd.Series([None if x is None or y is None else SequenceMatcher(None, x, y).ratio() for x, y in zip(a, b)], dtype="float64")
 
 
+def bound(value: Column, body) -> Column:
+    """``body`` of a value that is computed once, however often the body names it; an expression is repeated otherwise."""
+    return F.get(F.transform(F.array(value), body), 0)
+
+
+def compatible(value: Column) -> Column:
+    """Each character in its compatibility form."""
+    plain = value.rlike(r"^\p{ASCII}*$")
+    folded = F.translate(value, _WIDE, _NARROW)
+    classes = "".join(sorted(_SEVERAL))
+    names = F.from_json(F.lit(json.dumps(_SEVERAL, ensure_ascii=False)), "map<string,string>")
+    slow = F.array_join(F.transform(F.split(folded, ""), lambda c: F.coalesce(F.try_element_at(names, c), c)), "")
+    return F.when(plain, value).when(folded.rlike(f"[{classes}]"), slow).otherwise(folded)
+
+
 def normalize(value: Column | str, full: bool = False) -> Column:
-    """Full-width to ASCII, upper case, dash-like characters to ``-``, white space dropped.
+    """Compatibility forms folded (full width, circled and roman numbers, ligatures), upper case, dash-like characters to ``-``, white
+    space dropped.
 
-    ``full`` applies all of NFKC (a pandas UDF); otherwise only full-width ASCII is folded, which stays in the JVM.
+    ``full`` applies all of NFKC (a pandas UDF), which also composes letters with combining marks; otherwise characters are folded
+    one by one, which stays in the JVM.
     """
-    v = nfkc(_c(value)) if full else F.translate(_c(value), _WIDE, _NARROW)
+    v = nfkc(_c(value)) if full else compatible(_c(value))
     return F.regexp_replace(F.translate(F.upper(v), DASHES, "-" * len(DASHES)), r"[\s\p{Z}]+", "")
 
 
@@ -73,28 +105,35 @@ def digitize(value: Column | str) -> Column:
     return F.translate(_c(value), DIGIT_FROM + ",", DIGIT_TO + ".")
 
 
+def _variants(key: Column) -> Column:
+    """Repaired forms of a normalised reading."""
+    found = F.regexp_extract_all(key, F.lit(r"^([A-Z]+)([-=:]?)"), F.lit(1))
+    letters, sep = F.coalesce(F.get(found, 0), F.lit("")), F.regexp_extract(key, r"^[A-Z]+([-=:]?)", 1)
+
+    def prefixed(m):
+        tail = digitize(F.substring(key, F.length(m.letters) + F.length(m.sep) + 1, F.length(key)))
+        return F.transform(
+            F.sequence(F.lit(0), F.greatest(F.length(m.letters) - 1, F.lit(0))),
+            lambda i: F.concat(F.substring(m.letters, F.lit(1), F.length(m.letters) - i), digitize(F.substring(m.letters, F.length(m.letters) - i + 1, F.length(m.letters))), m.sep, tail),
+        )
+
+    none = F.array().cast("array<string>")
+    first = F.substring(key, 1, 1)
+    lettered = F.when(
+        (F.length(key) >= 2) & first.isin(*LETTER_FROM),
+        F.array(F.concat(F.translate(first, LETTER_FROM, LETTER_TO), digitize(F.substring(key, 2, 1 << 20)))),
+    ).otherwise(none)
+    by_letters = bound(F.struct(letters.alias("letters"), sep.alias("sep")), lambda m: F.when(m.letters != "", prefixed(m)).otherwise(none))
+    return F.array_remove(F.array_distinct(F.concat(by_letters, F.array(F.replace(key, F.lit(","), F.lit("."))), lettered)), key)
+
+
 def ocr_variants(value: Column | str) -> Column:
     """Repaired forms of a reading in order of preference, without the normalised reading itself.
 
     The leading letters are kept from the longest run down to one, with the rest read as digits; then commas as
     points; then a leading digit as the letter it looks like.
     """
-    key = normalize(value)
-    letters, sep, tail = (F.regexp_extract(key, r"^([A-Z]+)([-=:]?)(.*)$", i) for i in (1, 2, 3))
-    n = F.length(letters)
-    prefixed = F.when(
-        n > 0,
-        F.transform(
-            F.sequence(F.lit(0), F.greatest(n - 1, F.lit(0))),
-            lambda i: F.concat(F.substring(letters, 1, n - i), digitize(F.substring(letters, n - i + 1, n)), sep, digitize(tail)),
-        ),
-    ).otherwise(F.array().cast("array<string>"))
-    first = F.substring(key, 1, 1)
-    lettered = F.when(
-        (F.length(key) >= 2) & first.isin(*LETTER_FROM),
-        F.array(F.concat(F.translate(first, LETTER_FROM, LETTER_TO), digitize(F.substring(key, 2, 1 << 20)))),
-    ).otherwise(F.array().cast("array<string>"))
-    return F.array_remove(F.array_distinct(F.concat(prefixed, F.array(F.replace(key, F.lit(","), F.lit("."))), lettered)), key)
+    return bound(normalize(value), lambda key: F.when(key.isNotNull(), _variants(key)))
 
 
 def code_part(value: Column | str) -> Column:
@@ -119,10 +158,12 @@ def plausible_leg(digits: Column | str) -> Column:
 
 def read_thickness(value: Column | str) -> Column:
     """struct(mm, read_as) of the first of the reading and its repaired forms that is a plate thickness, else null."""
-    tried = F.concat(F.array(normalize(value)), ocr_variants(value))
-    hit = F.try_element_at(F.filter(tried, lambda v: v.rlike(THICKNESS)), F.lit(1))
-    mm = F.coalesce(F.nullif(F.regexp_extract(hit, THICKNESS, 1), F.lit("")), F.nullif(F.regexp_extract(hit, THICKNESS, 2), F.lit("")))
-    return F.when(hit.isNotNull(), F.struct(mm.cast("double").alias("mm"), hit.alias("read_as")))
+
+    def read(key: Column) -> Column:
+        hit = F.try_element_at(F.filter(F.concat(F.array(key), _variants(key)), lambda v: v.rlike(THICKNESS)), F.lit(1))
+        return bound(hit, lambda h: F.when(h.isNotNull(), F.struct(F.coalesce(F.nullif(F.regexp_extract(h, THICKNESS, 1), F.lit("")), F.nullif(F.regexp_extract(h, THICKNESS, 2), F.lit(""))).cast("double").alias("mm"), h.alias("read_as"))))
+
+    return bound(normalize(value), read)
 
 
 def constrain(value: Column | str, allowed: str, similar: dict[str, str]) -> Column:
@@ -135,16 +176,19 @@ def constrain(value: Column | str, allowed: str, similar: dict[str, str]) -> Col
 
 
 def to_marking(value: Column | str) -> Column:
-    """The first ``[FVS]d{1,2}(.d)?`` that a reading holds after repair of the digit places, else null."""
-    key = normalize(value)
+    """The first ``[FVS]d{1,2}(.d)?`` that a reading holds after repair of the letter and the digit places, else null.
+
+    A reading of one character that stands for a letter is that letter; a digit isn't.
+    """
+    key = F.regexp_replace(_c(value), r"[\s\p{Z}]+", "")
     n = F.length(key)
+    letter = lambda c: F.when(F.lit(LEG_LETTER_FROM).contains(c) & (c != ""), F.translate(c, LEG_LETTER_FROM, LEG_LETTER_TO)).otherwise("")
     starts = F.transform(
         F.sequence(F.lit(1), F.greatest(n, F.lit(1))),
-        lambda i: F.regexp_extract(
-            F.concat(F.translate(F.substring(key, i, 1), "5", "S"), digitize(F.substring(key, i + 1, n))), r"^([FVS][0-9]{1,2}(?:\.[0-9])?)", 1
-        ),
+        lambda i: F.regexp_extract(F.concat(letter(F.substring(key, i, F.lit(1))), F.translate(F.substring(key, i + 1, n), LEG_DIGIT_FROM, LEG_DIGIT_TO)), r"^([FVS][0-9]{1,2}(?:\.[0-9])?)", 1),
     )
-    return F.try_element_at(F.filter(starts, lambda v: v != ""), F.lit(1))
+    alone = (n == 1) & (letter(key) != "") & ~key.rlike("^[0-9]$")
+    return F.when(alone, letter(key)).otherwise(F.try_element_at(F.filter(starts, lambda v: v != ""), F.lit(1)))
 
 
 def natural_key(path: Column | str, width: int = 12) -> Column:

@@ -235,12 +235,35 @@ def thickness_reading(spark: SparkSession, d: str) -> DataFrame:
     return table(spark, d, "part").select("p_partkey", T.read_thickness(value).mm.alias("mm"))
 
 
-@query("SELECT p_partkey, 'F' || p_size AS marking FROM part")
+_LETTERS, _DIGITS = (T.LEG_LETTER_FROM, T.LEG_LETTER_TO), (T.LEG_DIGIT_FROM, T.LEG_DIGIT_TO)
+
+
+@query(f"""
+WITH v AS (SELECT p_partkey, p_partkey % 4 AS kind, substr('{_LETTERS[1]}', p_partkey % 16 + 1, 1) AS l, substr('{_LETTERS[0]}', p_partkey % 16 + 1, 1) AS raw,
+  substr('{_DIGITS[1]}', p_partkey % 22 + 1, 1) AS a, p_size % 10 AS n FROM part)
+SELECT p_partkey, CASE kind WHEN 0 THEN l || a || n WHEN 1 THEN l || n || '.' || a WHEN 2 THEN CASE WHEN raw = '5' THEN NULL ELSE l END END AS marking FROM v
+""")
 def marking_repair(spark: SparkSession, d: str) -> DataFrame:
-    value = F.concat(F.lit("→ f"), F.translate(F.col("p_size").cast("string"), "158", "lSB"), F.lit("x"))
+    """Every look-alike of a letter and of a digit, both points, lone letters, and readings without a marking."""
+    at = lambda chars, n: F.substring(F.lit(chars), (F.col("p_partkey") % n + 1).cast("int"), F.lit(1))
+    letter, digit, n = at(_LETTERS[0], 16), at(_DIGITS[0], 22), F.col("p_size") % 10
+    kind = F.col("p_partkey") % 4
+    point = F.when(F.col("p_partkey") % 8 == 1, ",").otherwise("·")
+    value = F.when(kind == 0, F.concat(F.lit("→ -"), letter, digit, n, F.lit("x"))).when(kind == 1, F.concat(letter, F.lit(" "), n, point, digit)).when(kind == 2, letter).otherwise("xw 12")
     return table(spark, d, "part").select("p_partkey", T.to_marking(value).alias("marking"))
 
 
+_FORMS = ("Ⅴ5", "F5.5①", "ﬁ", "½", "ｆ５．５", "P—1", "㎜", "a\u2003b")
+_FOLDED = ("V5", "F5.51", "FI", "1⁄2", "F5.5", "P-1", "MM", "AB")
+
+
+@query(f"SELECT p_partkey, list_extract({list(_FOLDED)!r}, p_partkey % 8 + 1) || upper(p_brand) AS key FROM part")
+def normalised_forms(spark: SparkSession, d: str) -> DataFrame:
+    forms = F.array(*map(F.lit, _FORMS))
+    value = F.concat(F.get(forms, (F.col("p_partkey") % 8).cast("int")), F.lit(" "), "p_brand")
+    return table(spark, d, "part").select("p_partkey", T.normalize(value).alias("key"))
+
+
 @query("SELECT p_partkey, 'F5.5|V' || p_size AS legs FROM part")
 def leg_values(spark: SparkSession, d: str) -> DataFrame:
     line = F.concat_ws(" ", F.lit("f5.5,"), "p_name", F.concat(F.lit("(v"), F.col("p_size").cast("string"), F.lit(")")), F.lit("F123"))
@@ -412,17 +435,18 @@ def iou_join(spark: SparkSession, d: str) -> DataFrame:
 
 
 @query(f"""
-WITH b AS (SELECT l_orderkey, l_partkey, l_suppkey, {_BOX} FROM lineitem)
-SELECT p.l_orderkey AS photo, p.l_partkey AS pred, min(t.l_suppkey) AS truth FROM b p JOIN b t ON p.l_orderkey = t.l_orderkey AND p.l_partkey <> t.l_partkey
-WHERE (p.x1 + p.x2) / 2 BETWEEN t.x1 - (t.x2 - t.x1) * 0.1 AND t.x2 + (t.x2 - t.x1) * 0.1 AND (p.y1 + p.y2) / 2 BETWEEN t.y1 - (t.y2 - t.y1) * 0.1 AND t.y2 + (t.y2 - t.y1) * 0.1
-GROUP BY ALL
+WITH b AS (SELECT l_orderkey, l_partkey * 10 + l_linenumber AS id, l_linenumber % 2 = 0 AS pred, {_BOX} FROM lineitem),
+m AS (SELECT p.l_orderkey, p.id AS pred, min(t.id) AS truth FROM b p JOIN b t ON p.l_orderkey = t.l_orderkey AND p.pred AND NOT t.pred
+  AND (p.x1 + p.x2) / 2 BETWEEN t.x1 - (t.x2 - t.x1) * 0.1 AND t.x2 + (t.x2 - t.x1) * 0.1 AND (p.y1 + p.y2) / 2 BETWEEN t.y1 - (t.y2 - t.y1) * 0.1 AND t.y2 + (t.y2 - t.y1) * 0.1 GROUP BY ALL)
+SELECT b.l_orderkey AS photo, b.id AS truth, string_agg(m.pred::VARCHAR, '|' ORDER BY m.pred) AS preds, count(m.pred) > 0 AS found
+FROM (SELECT DISTINCT l_orderkey, id FROM b WHERE NOT pred) b LEFT JOIN m ON m.l_orderkey = b.l_orderkey AND m.truth = b.id GROUP BY ALL
 """)
 def centre_match(spark: SparkSession, d: str) -> DataFrame:
-    b = _boxes(spark, d)
-    pairs = b.select(F.col("l_orderkey").alias("photo"), F.col("l_partkey").alias("pred"), F.col("box").alias("p")).join(
-        b.select(F.col("l_orderkey").alias("photo"), F.col("l_partkey").alias("other"), F.col("l_suppkey").alias("truth"), F.col("box").alias("t")), "photo"
-    )
-    return pairs.where((F.col("pred") != F.col("other")) & G.centre_inside(F.col("p"), F.col("t"))).groupBy("photo", "pred").agg(F.min("truth").alias("truth"))
+    b = _boxes(spark, d).withColumn("id", F.col("l_partkey") * 10 + F.col("l_linenumber")).withColumn("photo", F.col("l_orderkey"))
+    preds = b.where("l_linenumber % 2 = 0").select("photo", F.col("id").alias("pred"), "box")
+    truths = b.where("l_linenumber % 2 = 1").select("photo", F.col("id").alias("truth"), "box")
+    found = matching.centre_matches(preds, truths.dropDuplicates(["photo", "truth"]))
+    return found.withColumn("preds", F.array_join(F.transform("preds", lambda x: x.cast("string")), "|"))
 
 
 @query()
@@ -570,3 +594,6 @@ def integrity_rules(spark: SparkSession, d: str) -> DataFrame:
         "line_number_unique": validate.duplicated(t("lineitem"), ["l_orderkey", "l_linenumber"]),
         "discount_range": t("lineitem").where(F.size(ok) > 0),
     })
+
+
+from inkspark.plans import service  # noqa: E402, F401  registers its queries
