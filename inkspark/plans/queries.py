@@ -596,4 +596,4 @@ def integrity_rules(spark: SparkSession, d: str) -> DataFrame:
     })
 
 
-from inkspark.plans import interpretation, lifecycle, service  # noqa: E402, F401  they register their queries
+from inkspark.plans import files, interpretation, lifecycle, service  # noqa: E402, F401  they register their queries
