@@ -72,3 +72,16 @@ def mapped(b: Column, matrix: list[list[float]]) -> Column:
         return F.array((m[0][0] * x + m[0][1] * y + m[0][2]) / w, (m[1][0] * x + m[1][1] * y + m[1][2]) / w)
 
     return polygon_box(F.array(point(b.x1, b.y1), point(b.x2, b.y1), point(b.x2, b.y2), point(b.x1, b.y2)))
+
+
+def valid_box(values: Column) -> Column:
+    """Whether an array is four numbers of at least 0."""
+    return F.coalesce((F.size(values) == 4) & F.forall(values, lambda v: v.isNotNull() & (v >= 0)), F.lit(False))
+
+
+def clockwise(points: Column) -> Column:
+    """Four points from the top left on, clockwise: the two leftmost and the two rightmost, each by height."""
+    by_x = F.array_sort(F.transform(points, lambda p: F.struct(p[0].alias("x"), p[1].alias("y"))))
+    by_y = lambda a, i: F.get(F.array_sort(F.transform(a, lambda p: F.struct(p.y.alias("y"), p.x.alias("x")))), i)
+    left, right = F.slice(by_x, 1, 2), F.slice(by_x, 3, 2)
+    return F.transform(F.array(by_y(left, 0), by_y(right, 0), by_y(right, 1), by_y(left, 1)), lambda p: F.array(p.x, p.y))

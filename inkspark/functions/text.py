@@ -236,7 +236,7 @@ def leg_values(text: Column | str) -> Column:
 
 def parse_aliases(text: Column | str) -> Column:
     """A comma list as trimmed, non-empty aliases."""
-    return F.filter(F.transform(F.split(_c(text), ","), F.trim), lambda a: a != "")
+    return F.filter(F.transform(F.split(_c(text), ","), lambda a: F.trim(a)), lambda a: a != "")
 
 
 def masked_url(url: Column | str) -> Column:

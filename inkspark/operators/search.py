@@ -105,5 +105,5 @@ def partial_update(rows: DataFrame, changes: DataFrame, key: str, columns: list[
 
 
 def sampled(rows: DataFrame, key: str, n: int, seed: int, seq: str) -> DataFrame:
-    """``n`` rows chosen by a seeded hash of their key, in their own order."""
-    return rows.orderBy(F.xxhash64(key, F.lit(seed)), key).limit(n).orderBy(seq)
+    """``n`` rows chosen by a seeded hash of their key, in their own order; the feature is the sample."""
+    return rows.orderBy(F.sha2(F.concat_ws("|", F.lit(str(seed)), F.col(key).cast("string")), 256), key).limit(n).orderBy(seq)
