@@ -42,19 +42,27 @@ def error_report(rows: DataFrame, keys: list[str], truth: str, read: str, wildca
     )
 
 
-def average_precision(scored: DataFrame, keys: list[str], hit: str, order: list[Column]) -> DataFrame:
-    """Area under the precision envelope of predictions in ``order``; ``positives`` per key counts the truths.
+def average_precision(scored: DataFrame, keys: list[str], hit: str, score: str, tie: str, buckets: int = 256) -> DataFrame:
+    """Area under the precision envelope of predictions by falling score, then ``tie``; ``positives`` per key counts the truths.
 
-    ``scored`` has keys, ``hit`` (boolean) and ``positives``. Windows run per key; a key's predictions are one class of one
-    data set.
+    ``scored`` has keys, ``hit`` (boolean), ``positives``, a number ``score`` and ``tie``. A key's predictions are cut into buckets of about equal
+    size at quantiles of the score: ranks and maxima run inside a bucket, and what a bucket needs of the others are a count and a
+    maximum for each, so that no task sorts a whole key.
     """
-    w = Window.partitionBy(*keys).orderBy(*order)
-    upto = w.rowsBetween(Window.unboundedPreceding, 0)
-    curve = scored.withColumn("tp", F.sum(F.col(hit).cast("int")).over(upto)).withColumn("rank", F.row_number().over(w))
-    curve = curve.withColumn("precision", F.col("tp") / F.col("rank")).withColumn("recall", F.try_divide(F.col("tp").cast("double"), F.col("positives")))
-    curve = curve.withColumn("envelope", F.max("precision").over(w.rowsBetween(0, Window.unboundedFollowing)))
-    curve = curve.withColumn("step", F.col("recall") - F.lag("recall", 1, 0.0).over(w))
-    return curve.groupBy(*keys).agg(F.sum(F.col("step") * F.col("envelope")).alias("ap"), F.count(F.lit(1)).alias("n"))
+    cuts = scored.groupBy(*keys).agg(F.percentile_approx(F.col(score).cast("double"), F.array(*[F.lit(i / buckets) for i in range(1, buckets)]), F.lit(10_000)).alias("cuts"))
+    rows = scored.join(cuts, keys).withColumn("bucket", F.size(F.filter("cuts", lambda c: c > F.col(score)))).drop("cuts")
+    within = Window.partitionBy(*keys, "bucket").orderBy(F.desc(score), F.asc(tie))
+    before = Window.partitionBy(*keys).orderBy("bucket").rowsBetween(Window.unboundedPreceding, -1)  # a row for each bucket
+    totals = rows.groupBy(*keys, "bucket").agg(F.count_if(hit).alias("hits"), F.count(F.lit(1)).alias("rows"))
+    totals = totals.select(*keys, "bucket", F.coalesce(F.sum("hits").over(before), F.lit(0)).alias("hits_before"), F.coalesce(F.sum("rows").over(before), F.lit(0)).alias("rows_before"))
+    curve = rows.join(totals, [*keys, "bucket"])
+    curve = curve.withColumn("tp", F.sum(F.col(hit).cast("int")).over(within.rowsBetween(Window.unboundedPreceding, 0)) + F.col("hits_before"))
+    curve = curve.withColumn("precision", F.col("tp") / (F.row_number().over(within) + F.col("rows_before")))
+    tops = curve.groupBy(*keys, "bucket").agg(F.max("precision").alias("top"))
+    tops = tops.select(*keys, "bucket", F.max("top").over(Window.partitionBy(*keys).orderBy("bucket").rowsBetween(1, Window.unboundedFollowing)).alias("later"))
+    curve = curve.withColumn("envelope", F.max("precision").over(within.rowsBetween(0, Window.unboundedFollowing))).join(tops, [*keys, "bucket"])
+    step = F.try_divide(F.col(hit).cast("double"), F.col("positives"))
+    return curve.groupBy(*keys).agg(F.sum(step * F.greatest("envelope", "later")).alias("ap"), F.count(F.lit(1)).alias("n"))
 
 
 def consensus(items: DataFrame, keys: list[str], run: str, item: str) -> DataFrame:
@@ -114,3 +122,8 @@ def candidate_shares(candidates: DataFrame, keys: list[str], text: str, prob: st
     w = Window.partitionBy(*keys)
     ranked = merged.withColumn("share", F.col("p") / F.sum("p").over(w)).withColumn("rank", F.row_number().over(w.orderBy(F.desc("p"), text)))
     return ranked.where((F.col("rank") <= n) & (F.col("share") >= least)).select(*keys, text, "rank", "share")
+
+
+def stage_progress(seconds: Column, scale: float, most: float = 0.92) -> Column:
+    """How far a stage seems to be after some seconds: it nears ``most`` and never gets there."""
+    return most * (1 - F.exp(-seconds / scale))

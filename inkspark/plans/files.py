@@ -98,14 +98,14 @@ def image_headers(spark: SparkSession, d: str) -> DataFrame:
 
 
 @query("""
-SELECT l_orderkey AS image, l_partkey AS text, l_quantity AS x1, l_extendedprice AS y1, l_quantity + 5 AS x2, l_extendedprice + 2 AS y2, l_tax = 0 OR l_returnflag = 'R' AS unreadable, count(*) AS n FROM lineitem WHERE l_linenumber < 3 GROUP BY ALL
+SELECT l_orderkey AS image, l_partkey AS text, l_quantity AS x1, l_extendedprice AS y1, l_quantity + 5 AS x2, l_extendedprice + 2 AS y2, l_tax = 0 OR l_returnflag = 'R' AS unreadable, count(*) AS n FROM lineitem GROUP BY ALL
 """)
 def label_files(spark: SparkSession, d: str) -> DataFrame:
     """Detection labels with JSON in the second column."""
     path, c = scratch(spark, "labels"), F.col
     pts = F.array(*[F.array(x, y) for x, y in ((c("l_quantity"), c("l_extendedprice")), (c("l_quantity") + 5, c("l_extendedprice")), (c("l_quantity") + 5, c("l_extendedprice") + 2), (c("l_quantity"), c("l_extendedprice") + 2))])
     item = F.struct(c("l_partkey").cast("string").alias("transcription"), pts.alias("points"), ((c("l_tax") == 0) | (c("l_returnflag") == "R")).alias("difficult"))
-    lines = table(spark, d, "lineitem").where("l_linenumber < 3").groupBy("l_orderkey").agg(F.to_json(F.collect_list(item)).alias("j"))
+    lines = table(spark, d, "lineitem").groupBy("l_orderkey").agg(F.to_json(F.collect_list(item)).alias("j"))
     lines.select(F.concat(F.col("l_orderkey").cast("string"), F.lit("\t"), "j", F.lit("\r")).alias("value")).union(spark.createDataFrame([("  ",)], "value string")).write.text(path)
     found = readers.detection_labels(spark, path)
     return found.groupBy(c("image").cast("long").alias("image"), c("text").cast("long").alias("text"), "x1", "y1", "x2", "y2", "unreadable").agg(F.count(F.lit(1)).alias("n"))
@@ -127,15 +127,16 @@ def recognition_files(spark: SparkSession, d: str) -> DataFrame:
     return readers.recognition_labels(spark, path).select(F.col("image").cast("long").alias("image"), "text", F.col("seq").cast("long").alias("seq"))
 
 
-@query("SELECT o_orderkey AS image, o_orderpriority AS text, o_totalprice AS x1, count(*) AS n FROM orders WHERE o_orderstatus = 'F' AND o_orderkey <= 40 GROUP BY ALL")
+@query("SELECT n_name AS image, c_name AS text, c_acctbal AS x1 FROM customer JOIN nation ON c_nationkey = n_nationkey WHERE n_regionkey < 3")
 def annotation_files(spark: SparkSession, d: str) -> DataFrame:
-    """One JSON object a file, filtered by split."""
+    """One JSON object a file, of which only those of the split ``eval`` are read."""
     path = scratch(spark, "annotations")
-    rows = table(spark, d, "orders").where("o_orderkey <= 40")
-    one = F.struct(F.col("o_orderkey").cast("string").alias("image"), F.when(F.col("o_orderstatus") == "F", "eval").otherwise("train").alias("split"), F.array(F.struct(F.col("o_orderpriority").alias("text"), F.array(F.col("o_totalprice")).alias("bbox"))).alias("texts"))
-    rows.repartitionByRange(40, "o_orderkey").select(F.to_json(one).alias("value")).write.option("maxRecordsPerFile", 1).text(path)
+    rows = table(spark, d, "customer").join(F.broadcast(table(spark, d, "nation")), F.col("c_nationkey") == F.col("n_nationkey"))  # 25 nations
+    texts = F.collect_list(F.struct(F.col("c_name").alias("text"), F.array("c_acctbal").alias("bbox"))).alias("texts")
+    files = rows.groupBy(F.col("n_name").alias("image"), F.when(F.col("n_regionkey") < 3, "eval").otherwise("train").alias("split")).agg(texts)
+    files.select(F.to_json(F.struct("image", "split", "texts")).alias("value")).write.option("maxRecordsPerFile", 1).text(path)
     found = readers.annotations(spark, path).select("image", F.explode("texts").alias("t"))
-    return found.groupBy(F.col("image").cast("long").alias("image"), F.col("t.text").alias("text"), F.get("t.bbox", 0).alias("x1")).agg(F.count(F.lit(1)).alias("n"))
+    return found.select("image", "t.text", F.get("t.bbox", 0).alias("x1"))
 
 
 @query("""

@@ -35,10 +35,10 @@ def job_with_analysis(spark: SparkSession, d: str) -> DataFrame:
 
 
 @query("""
-SELECT l_orderkey, string_agg(p_brand, ' ' ORDER BY l_tax >= 0.06, l_partkey, l_linenumber, p_brand) AS raw_text FROM lineitem JOIN part ON l_partkey = p_partkey WHERE l_orderkey % 5 = 0 GROUP BY l_orderkey
+SELECT l_orderkey, string_agg(p_brand, ' ' ORDER BY l_tax >= 0.06, l_partkey, l_linenumber, p_brand) AS raw_text FROM lineitem JOIN part ON l_partkey = p_partkey GROUP BY l_orderkey
 """)
 def raw_texts(spark: SparkSession, d: str) -> DataFrame:
-    li = table(spark, d, "lineitem").where("l_orderkey % 5 = 0").join(table(spark, d, "part"), F.col("l_partkey") == F.col("p_partkey"))
+    li = table(spark, d, "lineitem").join(table(spark, d, "part"), F.col("l_partkey") == F.col("p_partkey"))
     place = (F.col("l_partkey") * 100 + F.col("l_linenumber")).alias("n")
     boxed = li.where("l_tax < 0.06").select("l_orderkey", place, F.col("p_brand").alias("value")).withColumnRenamed("n", "position")
     return analyses.raw_text(boxed, li.where("l_tax >= 0.06").select("l_orderkey", place, F.col("p_brand").alias("value")).withColumnRenamed("n", "seq"), ["l_orderkey"])

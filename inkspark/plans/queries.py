@@ -488,7 +488,7 @@ def progress_percent(spark: SparkSession, d: str) -> DataFrame:
     w = Window.partitionBy("user_id").orderBy("ts", "event_id")
     micros = F.unix_micros(F.col("ts").cast("timestamp"))
     g = table(spark, d, "events").withColumn("gap", (micros - F.lag(micros).over(w)) / 1e6).where("gap IS NOT NULL")
-    return g.select("user_id", "event_id", F.round(0.92 * (1 - F.exp(-F.col("gap") / 86400.0)), 9).alias("progress"))
+    return g.select("user_id", "event_id", F.round(metrics.stage_progress(F.col("gap"), 86400.0), 9).alias("progress"))
 
 
 # --- metrics ------------------------------------------------------------------------
@@ -531,7 +531,7 @@ SELECT lang, round(sum(env * step), 9) AS ap, count(*) AS n FROM e GROUP BY lang
 def average_precision(spark: SparkSession, d: str) -> DataFrame:
     rows = table(spark, d, "documents").select("doc_id", "lang", "n_chars").join(table(spark, d, "labels"), "doc_id").withColumn("hit", F.col("toxic") == 1)
     positives = rows.groupBy("lang").agg(F.sum("toxic").alias("positives"))
-    ap = metrics.average_precision(rows.join(positives, "lang"), ["lang"], "hit", [F.desc("n_chars"), F.asc("doc_id")])
+    ap = metrics.average_precision(rows.join(positives, "lang"), ["lang"], "hit", "n_chars", "doc_id")
     return ap.select("lang", F.round("ap", 9).alias("ap"), "n")
 
 
@@ -596,4 +596,4 @@ def integrity_rules(spark: SparkSession, d: str) -> DataFrame:
     })
 
 
-from inkspark.plans import evaluation, files, interpretation, lifecycle, service  # noqa: E402, F401  they register their queries
+from inkspark.plans import evaluation, files, interpretation, lifecycle, service, shapes  # noqa: E402, F401  they register their queries
