@@ -27,6 +27,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 
+from inkspark.llm.store import source
 from inkspark.llm.words import slices
 
 PATH_BUCKETS, WORD_BUCKETS, RATIOS = 256, 64, 8
@@ -464,4 +465,4 @@ def extract_text(pages: DataFrame, id_col: str = "page_id", url_col: str = "url"
 
 def op9_lstm_html_text(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The main text of every row of ``pages``."""
-    return extract_text(spark.read.parquet(f"{sf_dir}/pages.parquet"))
+    return extract_text(source(spark, sf_dir, "pages"))

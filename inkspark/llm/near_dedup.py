@@ -33,7 +33,7 @@ from pyspark.sql import functions as F
 
 from inkspark.llm.bloom import unused, with_keys_of, without_keys
 from inkspark.llm.components import components
-from inkspark.llm.store import dropped, written
+from inkspark.llm.store import dropped, source, written
 from inkspark.llm.words import mix, shingles, signed, slices, word_hashes
 
 BANDS = 24
@@ -349,7 +349,7 @@ def without_near_duplicates(docs: DataFrame, words: int = 5, percent: int = 80,
 
 def op7_hyperminhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Near-duplicate components of all of ``documents``: three-word shingles, 85 of 100."""
-    return near_duplicates(spark.read.parquet(f"{sf_dir}/documents.parquet"), words=3, percent=85)
+    return near_duplicates(source(spark, sf_dir, "documents"), words=3, percent=85)
 
 
 #: Exact brute force: an inverted join of the whole sets, then everything reachable.

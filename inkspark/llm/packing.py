@@ -7,6 +7,9 @@ of a length go to the open group with the least room that still fits; where none
 length with the least cost per token are opened (cost: capacity plus ``OVERHEAD``; tokens: what the remaining items could
 fill greedily). In the end each sequence shrinks to the smallest permitted length that holds its contents.
 
+The plan that rows look themselves up in has a row of 40 bytes per placement. A length splits few groups, so that their number follows
+the number of lengths (a few thousand) and not the rows: 8,916 placements for three million rests of 4,095 lengths.
+
 Rows then look up their place: each row is numbered within its length by salted windows and prefix sums (one length may
 hold any share of the rows), and the number decides the sequence and the offset. No group of rows meets in one task.
 
@@ -27,12 +30,12 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from inkspark.llm.store import written
+from inkspark.llm.store import source, written
 
 CAPACITIES = (512, 1024, 2048, 4096)
 OVERHEAD = 8
 SALT_ROWS = 20_000
-MAX_SALTS = 4096
+MAX_SALTS = 1 << 16
 
 
 @dataclass
@@ -217,4 +220,4 @@ def pack(docs: DataFrame, n_tokens: Column, capacities: tuple[int, ...] = CAPACI
 
 def op6_variable_best_fit(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Packs the words of all of ``documents`` into sequences of the permitted lengths."""
-    return pack(spark.read.parquet(f"{sf_dir}/documents.parquet"), word_count(F.col("text")))
+    return pack(source(spark, sf_dir, "documents"), word_count(F.col("text")))

@@ -21,7 +21,7 @@ from dataclasses import dataclass, field
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from inkspark.llm.store import written
+from inkspark.llm.store import source, written
 
 BLANK = r"[\x20\x09-\x0D]+"
 SYMBOLS = "#*$%&|<>"
@@ -235,13 +235,13 @@ def quality_verdicts(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id",
 
 def op2_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Base statistics and verdict of every whole text of ``documents``."""
-    out = quality_verdicts(spark.read.parquet(f"{sf_dir}/documents.parquet"), spark.read.parquet(f"{sf_dir}/labels.parquet"))
+    out = quality_verdicts(source(spark, sf_dir, "documents"), spark.read.parquet(f"{sf_dir}/labels.parquet"))
     return out.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept", "rule")
 
 
 def llm_base_statistics(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The statistics alone, which SQL can express."""
-    out = with_statistics(spark.read.parquet(f"{sf_dir}/documents.parquet"))
+    out = with_statistics(source(spark, sf_dir, "documents"))
     return out.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed")
 
 

@@ -20,6 +20,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from inkspark.llm.bloom import unused
+from inkspark.llm.store import source, written
 
 HASH_BITS = 60
 SLACK_BITS = 3
@@ -73,8 +74,6 @@ def assign_shards(
 ) -> DataFrame:
     """doc_id, n_bytes and the row's shard: shard_depth, shard_prefix, page, shard_bytes, shard_rows of the bucket; with ``carry``
     also the whole ``row`` as a struct."""
-    from inkspark.llm.store import written
-
     base = written(
         docs.select(
             F.col(id_col).alias("doc_id"),
@@ -120,8 +119,6 @@ def assign_shards(
 
 def _paged(out: DataFrame, limit: int) -> DataFrame:
     """Overflow pages for buckets of identical hashes: rows are numbered per salt, then offset by the salts before."""
-    from inkspark.llm.store import written
-
     whole = (F.col("shard_bytes") <= limit) | (F.col("shard_rows") == 1)
     # equal rows have nothing to number them by but their place: it is written once, so that a task run again can't change it
     over = written(out.where(~whole).withColumn("salt", F.pmod(F.monotonically_increasing_id(), F.lit(SALTS))), "shard-overflow")
@@ -152,12 +149,12 @@ def write_shards(docs: DataFrame, path: str, limit_bytes: int, id_col: str = "do
 
 def op5_extendible_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The shard of every row of ``documents``."""
-    return assign_shards(spark.read.parquet(f"{sf_dir}/documents.parquet"), LIMIT_BYTES)
+    return assign_shards(source(spark, sf_dir, "documents"), LIMIT_BYTES)
 
 
 def llm_small_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The shards at a limit that makes many of them on small tables, for the comparison with SQL."""
-    return assign_shards(spark.read.parquet(f"{sf_dir}/documents.parquet"), SMALL_LIMIT_BYTES)
+    return assign_shards(source(spark, sf_dir, "documents"), SMALL_LIMIT_BYTES)
 
 
 _SQL = """

@@ -27,6 +27,12 @@ def shared_dir(spark: SparkSession) -> str:
     return f"file://{_LOCAL[0]}"
 
 
+def source(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    """A table of the folder; dealt out to all cores where its files alone would keep fewer of them busy."""
+    df, cores = spark.read.parquet(f"{sf_dir}/{name}.parquet"), spark.sparkContext.defaultParallelism
+    return df.repartition(cores) if df.rdd.getNumPartitions() < cores else df
+
+
 def written(df: DataFrame, name: str) -> DataFrame:
     """``df`` written once as Parquet in the shared folder and read back; removed when the driver ends."""
     spark = df.sparkSession

@@ -37,7 +37,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from inkspark.llm.bloom import BROADCAST_BYTES, split_by_keys, unused, with_keys_of
-from inkspark.llm.store import written
+from inkspark.llm.store import source, written
 from inkspark.llm.words import shingles, signed, slices, word_hashes
 
 K, W = 5, 16
@@ -484,4 +484,4 @@ def without_passages(docs: DataFrame, min_words: int = MIN_WORDS, id_col: str =
 
 def op1_chained_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Repeated passages of all of ``documents``."""
-    return repeated_passages(spark.read.parquet(f"{sf_dir}/documents.parquet"))
+    return repeated_passages(source(spark, sf_dir, "documents"))

@@ -37,6 +37,7 @@ import pyarrow.compute as pc
 import regex
 from pyspark.sql import DataFrame, SparkSession
 
+from inkspark.llm.store import source
 from inkspark.llm.words import slices
 
 CHUNK = 512
@@ -357,4 +358,4 @@ def op8_transducer_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Token counts of all of ``documents`` under word_bpe_49k."""
     import public_tokenizers
 
-    return token_counts(spark.read.parquet(f"{sf_dir}/documents.parquet"), public_tokenizers.path("word_bpe_49k.json"))
+    return token_counts(source(spark, sf_dir, "documents"), public_tokenizers.path("word_bpe_49k.json"))

@@ -29,7 +29,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from inkspark.llm.store import written
+from inkspark.llm.store import source, written
 from inkspark.llm.words import slices
 
 BUCKETS = 1 << 20
@@ -314,4 +314,4 @@ def without_toxic(docs: DataFrame, labels: DataFrame, label_col: str = "toxic",
 
 def op4_counterfactual_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Toxicity scores of every whole text of ``documents``."""
-    return score_toxicity(spark.read.parquet(f"{sf_dir}/documents.parquet"), spark.read.parquet(f"{sf_dir}/labels.parquet"))
+    return score_toxicity(source(spark, sf_dir, "documents"), spark.read.parquet(f"{sf_dir}/labels.parquet"))
