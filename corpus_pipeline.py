@@ -15,7 +15,7 @@ from pyspark.sql import functions as F
 from inkspark.llm.decontaminate import without_leaks
 from inkspark.llm.near_dedup import without_near_duplicates
 from inkspark.llm.packing import pack, word_count
-from inkspark.llm.store import written
+from inkspark.llm.store import source, written
 from inkspark.llm.substring_dedup import without_passages
 from inkspark.llm.toxicity import without_toxic
 
@@ -54,13 +54,14 @@ STAGES = [
     ("packing", packing),
 ]
 
-#: The stages are learned, iterative or sequential: SQL can't express their rows. Tests hold them against brute force.
+#: The stages are learned, iterative or sequential: SQL can't express their rows. ``tests/llm/test_stages.py`` holds ``run`` against
+#: plain Python over a table with nulls, repeats, empty and long texts and clashing columns.
 ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Applies all stages to ``documents``."""
-    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
+    docs = source(spark, sf_dir, "documents")
     for name, stage in STAGES:
         docs = written(stage(spark, docs, sf_dir), f"stage-{name}")
     return docs
