@@ -10,8 +10,8 @@ fill greedily). In the end each sequence shrinks to the smallest permitted lengt
 The plan that rows look themselves up in has a row of 40 bytes per placement. A length splits few groups, so that their number follows
 the number of lengths (a few thousand) and not the rows: 8,916 placements for three million rests of 4,095 lengths.
 
-Rows then look up their place: each row is numbered within its length by salted windows and prefix sums (one length may
-hold any share of the rows), and the number decides the sequence and the offset. No group of rows meets in one task.
+Rows then look up their place: each row is numbered within its length, in cells of ``CELL_ROWS`` rows and prefix sums over them (one
+length may hold any share of the rows), and the number decides the sequence and the offset.
 
 Defined results: a null or blank text has no tokens and a row with a null sequence; rows that share an id are packed
 separately; nothing is dropped or cut off. An empty table gives no rows.
@@ -34,8 +34,7 @@ from inkspark.llm.store import source, written
 
 CAPACITIES = (512, 1024, 2048, 4096)
 OVERHEAD = 8
-SALT_ROWS = 20_000
-MAX_SALTS = 1 << 16
+CELL_ROWS, MAX_CELLS = 2000, 1 << 16  # rows numbered in one group, and groups of one length
 
 
 @dataclass
@@ -190,25 +189,26 @@ def pack(docs: DataFrame, n_tokens: Column, capacities: tuple[int, ...] = CAPACI
         "doc_id", "n", F.floor(F.col("n") / largest).alias("full"), (F.col("n") % largest).alias("rest")
     )
     items = written(items, "pack-items")
-    histogram = items.groupBy("rest").count().where("rest > 0").toArrow()  # at most max(capacities) rows
+    histogram = items.groupBy("rest").count().toArrow()  # at most max(capacities) rows
     counts = dict(zip(histogram["rest"].to_pylist(), histogram["count"].to_pylist()))
-    total = items.count()
-    plan = plan_of(best_fit(counts, capacities, overhead))
-    salts = int(min(MAX_SALTS, max(1, total // SALT_ROWS)))
-    salted = items.withColumn("salt", F.pmod(F.xxhash64("doc_id", "n"), F.lit(salts)))
+    plan = plan_of(best_fit({k: v for k, v in counts.items() if k}, capacities, overhead))
+    # the rows of a length are numbered in cells of bounded size; a cell has a row in the tables of offsets
+    per_cell = max(CELL_ROWS, -(-sum(counts.values()) // MAX_CELLS))
+    cells = items.sparkSession.createDataFrame([(k, -(-v // per_cell)) for k, v in counts.items()], "rest long, cells long")
+    spread = F.when(F.col("doc_id").isNull(), F.rand(5)).otherwise(0.0)  # rows without an id have only their number of tokens
+    salted = items.withColumn("spread", spread).join(F.broadcast(cells), "rest").withColumn("salt", F.pmod(F.xxhash64("doc_id", "n", "spread"), "cells"))
+    salted = written(salted.drop("cells", "spread"), "pack-cells")
     sums = salted.groupBy("rest", "salt").agg(F.count(F.lit(1)).alias("rows"), F.sum("full").alias("pieces"))
-    # windows over one row per (length, salt): bounded by the capacity and MAX_SALTS
-    before = lambda *by: Window.partitionBy(*by).orderBy("salt").rowsBetween(Window.unboundedPreceding, -1)
-    by_length = sums.withColumn("rows_before", F.coalesce(F.sum("rows").over(before("rest")), F.lit(0)))
-    by_salt = sums.groupBy("salt").agg(F.sum("pieces").alias("p"))
-    by_salt = by_salt.select("salt", F.coalesce(F.sum("p").over(before(F.lit(0))), F.lit(0)).alias("salt_before"))
-    in_salt = Window.partitionBy("salt").orderBy("rest").rowsBetween(Window.unboundedPreceding, -1)
-    offsets = by_length.withColumn("inside_before", F.coalesce(F.sum("pieces").over(in_salt), F.lit(0))).join(by_salt, "salt")
-    offsets = offsets.select("rest", "salt", "rows_before", (F.col("inside_before") + F.col("salt_before")).alias("pieces_before"))
+    before = lambda *by: Window.partitionBy(*by[:-1]).orderBy(by[-1]).rowsBetween(Window.unboundedPreceding, -1)
+    upto = lambda c, w: F.coalesce(F.sum(c).over(w), F.lit(0))
+    by_length = sums.withColumn("rows_before", upto("rows", before("rest", "salt"))).withColumn("inside_before", upto("pieces", before("rest", "salt")))
+    lengths = sums.groupBy("rest").agg(F.sum("pieces").alias("p"))  # at most max(capacities) rows
+    lengths = lengths.select("rest", upto("p", Window.orderBy("rest").rowsBetween(Window.unboundedPreceding, -1)).alias("length_before"))
+    offsets = by_length.join(F.broadcast(lengths), "rest").select("rest", "salt", "rows_before", (F.col("inside_before") + F.col("length_before")).alias("pieces_before"))
     w = Window.partitionBy("rest", "salt").orderBy("doc_id", "n")
     numbered = (
         salted.withColumn("i", F.row_number().over(w) - 1)
-        .withColumn("f", F.coalesce(F.sum("full").over(w.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)))
+        .withColumn("f", upto("full", w.rowsBetween(Window.unboundedPreceding, -1)))
         .join(offsets, ["rest", "salt"])
         .select("doc_id", "n", "full", "rest", (F.col("i") + F.col("rows_before")).cast("long").alias("number"), (F.col("f") + F.col("pieces_before")).cast("long").alias("full_before"))
     )
