@@ -28,7 +28,7 @@ def plain(value):
     if isinstance(value, datetime.datetime):
         return value.replace(tzinfo=None).isoformat()
     if isinstance(value, int):
-        return float(value)
+        return float(value) if abs(value) < 1 << 53 else value
     if isinstance(value, (list, tuple)):
         return tuple(plain(v) for v in value)
     return value
