@@ -272,7 +272,8 @@ def near_duplicates(
     dropped(member)
     near = _near_pairs(ranked, classes.select("class", "registers", "n_shingles"), t)
     needed = near.select(F.col("class").alias("doc_id")).union(near.select("leader")).distinct()
-    source = with_keys_of(texts.where("doc_id IS NOT NULL"), needed, "doc_id")
+    # no exact join here: both sides of the joins below are plain shuffles then, and a hot leader's rows can be split
+    source = with_keys_of(texts.where("doc_id IS NOT NULL"), needed, "doc_id", exact=False)
     repeated = linked.groupBy("doc_id").count().where("count > 1")
     several = not repeated.limit(1).isEmpty()
     if several:
