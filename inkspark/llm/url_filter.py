@@ -22,6 +22,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from inkspark.llm.bloom import BLOCK_LONGS, block_count, bloom_blocks, masks
+from inkspark.llm.store import written
 
 #: Fixed values of the contract: verdict, host, path.
 RULES = (
@@ -97,6 +98,7 @@ def filter_urls(
         .where("key IS NOT NULL")
         .distinct()
     )
+    keys = written(keys, "url-keys")  # counted, made into a filter and joined
     n_blocks = block_count(keys.count())
     blocks = bloom_blocks(keys, n_blocks)
     if n_blocks * (BLOCK_LONGS + 1) * 8 <= broadcast_bytes:
