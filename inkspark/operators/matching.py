@@ -6,11 +6,14 @@ label) over that photo's candidate pairs only, which an equi-join and the overla
 
 from __future__ import annotations
 
+from functools import reduce
+
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from inkspark.functions.geometry import centre_inside, iou
+from inkspark.operators.metrics import detection_metrics
 
 
 def _greedy(pdf: pd.DataFrame) -> pd.DataFrame:
@@ -45,6 +48,17 @@ def outcomes(preds: DataFrame, truths: DataFrame, matched: DataFrame) -> DataFra
     return p.unionByName(missed)
 
 
+def threshold_report(preds: DataFrame, truths: DataFrame, overlaps: tuple[float, ...], scores: tuple[float, ...]) -> DataFrame:
+    """least_overlap, least_score, label (and ``any``), tp, fp, fn, precision and recall: the matching of ``iou_matches`` at every pair of thresholds."""
+    parts = []
+    for least in overlaps:
+        for score in scores:
+            kept = preds.where(F.col("score") >= score)
+            found = detection_metrics(outcomes(kept, truths, iou_matches(kept, truths, least)), "label")
+            parts.append(found.select(F.lit(least).alias("least_overlap"), F.lit(score).alias("least_score"), *found.columns))
+    return reduce(lambda a, b: a.unionByName(b), parts)
+
+
 def centre_matches(preds: DataFrame, truths: DataFrame, margin: float = 0.1) -> DataFrame:
     """photo, truth, preds, found: the truths of a photo in order take the free predictions whose centre lies in their widened box.
 

@@ -138,6 +138,20 @@ def greedy_iou_pairs(spark: SparkSession, d: str) -> DataFrame:
     return matching.iou_matches(preds, truths, 0.2).select("photo", "pred", "truth")
 
 
+@query("""
+WITH o AS (SELECT o_orderpriority AS label, (o_orderkey % 10 + 1) / 10.0::DOUBLE AS iou, (o_custkey % 100) / 100.0::DOUBLE AS score FROM orders), a AS (SELECT * FROM o UNION ALL SELECT 'any', iou, score FROM o),
+c AS (SELECT t AS least_overlap, s AS least_score, label, count(*) FILTER (score >= s AND iou >= t) AS tp, count(*) FILTER (score >= s AND iou < t) AS fp, count(*) FILTER (score < s OR iou < t) AS fn
+  FROM a, (VALUES (0.5::DOUBLE), (0.75)) x(t), (VALUES (0.1::DOUBLE), (0.3), (0.5)) y(s) GROUP BY ALL)
+SELECT *, tp / (tp + fp)::DOUBLE AS precision, tp / (tp + fn)::DOUBLE AS recall FROM c
+""")
+def detection_thresholds(spark: SparkSession, d: str) -> DataFrame:
+    """One box a photo, at two overlaps and three scores."""
+    o = table(spark, d, "orders").select(F.col("o_orderkey").alias("photo"), F.col("o_orderpriority").alias("label"), ((F.col("o_custkey") % 100) / 100).alias("score"), (F.col("o_orderkey") % 10 + 1).cast("double").alias("h"))
+    whole = lambda y2: G.box(F.lit(0.0), F.lit(0.0), F.lit(10.0), y2).alias("box")
+    preds = o.select("photo", "label", F.lit(1).alias("pred"), "score", whole(F.col("h")))
+    return matching.threshold_report(preds, o.select("photo", "label", F.lit(1).alias("truth"), whole(F.lit(10.0))), (0.5, 0.75), (0.1, 0.3, 0.5))
+
+
 @query("SELECT c_custkey, round_even(0.92 * (1 - exp(-c_nationkey / 6.0::DOUBLE)), 9) AS share FROM customer")
 def stage_share(spark: SparkSession, d: str) -> DataFrame:
     return table(spark, d, "customer").select("c_custkey", F.bround(metrics.stage_progress(F.col("c_nationkey").cast("double"), 6.0), 9).alias("share"))
