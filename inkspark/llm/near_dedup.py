@@ -226,23 +226,29 @@ def _overlaps(xs: list[np.ndarray], ys: list[np.ndarray]) -> np.ndarray:
     return out
 
 
-def _cell(pdf, percent: int):
+def _cell(rows: pa.Table, percent: int) -> pa.Table:
     """Links between the x and the y rows of one block pair of a leader's group, a link per pair of components."""
-    import pandas as pd
-
-    xs, ys = pdf[pdf["role"] == 0], pdf[pdf["role"] == 1]
-    if not len(xs) or not len(ys):
-        return pd.DataFrame({"a": pd.Series(dtype="int64"), "b": pd.Series(dtype="int64")})
-    size = int(pdf["leader_size"].iloc[0])
-    col = lambda f, k: [np.asarray(v, np.int64) for v in f[k]]
-    xr, yr = col(xs, "removed"), col(ys, "removed")
-    nr = np.array([len(v) for v in xr])[:, None] + np.array([len(v) for v in yr])[None, :]
-    both = size - nr + _overlaps(xr, yr) + _overlaps(col(xs, "added"), col(ys, "added"))
-    union = xs["n"].to_numpy()[:, None] + ys["n"].to_numpy()[None, :] - both
-    hit = (100 * both >= percent * union) & (xs["component"].to_numpy()[:, None] != ys["component"].to_numpy()[None, :])
-    i, j = np.nonzero(hit)
-    out = pd.DataFrame({"a": xs["component"].to_numpy()[i], "b": ys["component"].to_numpy()[j]})
-    return out.drop_duplicates()
+    rows = rows.combine_chunks()
+    flat = {c: rows[c].to_numpy() for c in ("role", "component", "n", "leader_size")}
+    x, y = np.flatnonzero(flat["role"] == 0), np.flatnonzero(flat["role"] == 1)
+    kinds = pa.schema([("a", pa.int64()), ("b", pa.int64())])
+    if not len(x) or not len(y):
+        return kinds.empty_table()
+
+    def sets(name: str) -> list[np.ndarray]:
+        chunks = [c for c in rows[name].chunks if len(c)]
+        return [v.values.to_numpy() for c in chunks for v in c]
+
+    removed, added = sets("removed"), sets("added")
+    part = lambda of, which: [of[i] for i in which.tolist()]
+    less = np.array([len(v) for v in removed])
+    both = int(flat["leader_size"][0]) - (less[x][:, None] + less[y][None, :])
+    both = both + _overlaps(part(removed, x), part(removed, y)) + _overlaps(part(added, x), part(added, y))
+    union = flat["n"][x][:, None] + flat["n"][y][None, :] - both
+    c = flat["component"]
+    i, j = np.nonzero((100 * both >= percent * union) & (c[x][:, None] != c[y][None, :]))
+    links = np.unique(np.stack([c[x[i]], c[y[j]]], 1), axis=0) if len(i) else np.zeros((0, 2), np.int64)
+    return pa.Table.from_arrays([pa.array(links[:, 0]), pa.array(links[:, 1])], schema=kinds)
 
 
 def near_duplicates(
@@ -337,7 +343,7 @@ def _rest(star: DataFrame, labels: DataFrame, percent: int) -> DataFrame:
     x = rows.where(~F.col("linked")).select("*", F.lit(0).alias("role"), F.pmod(slot, blocks_x).alias("bx"), upto(blocks_y).alias("by"))
     y = rows.select("*", F.lit(1).alias("role"), upto(blocks_x).alias("bx"), F.pmod(slot, blocks_y).alias("by"))
     cells = x.select(*cols).unionByName(y.select(*cols))
-    return cells.groupBy("leader", "bx", "by").applyInPandas(partial(_cell, percent=percent), "a long, b long").distinct()
+    return cells.groupBy("leader", "bx", "by").applyInArrow(lambda rows: _cell(rows, percent), "a long, b long").distinct()
 
 
 def without_near_duplicates(docs: DataFrame, words: int = 5, percent: int = 80, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:

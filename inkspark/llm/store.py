@@ -27,8 +27,20 @@ def shared_dir(spark: SparkSession) -> str:
     return f"file://{_LOCAL[0]}"
 
 
+BATCH_BYTES = "spark.sql.execution.arrow.maxBytesPerBatch", 8 << 20
+
+
+def _small_batches(spark: SparkSession) -> None:
+    """Arrow batches of at most 8 MB: Spark builds them outside its heap, and a count of rows doesn't bound them where texts are long."""
+    key, most = BATCH_BYTES
+    now = spark.conf.get(key).rstrip("bB")
+    if not now.isdigit() or not 0 < int(now) <= most:  # a smaller limit of the session's own stays
+        spark.conf.set(key, str(most))
+
+
 def source(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     """A table of the folder; dealt out to all cores where its files alone would keep fewer of them busy."""
+    _small_batches(spark)
     df, cores = spark.read.parquet(f"{sf_dir}/{name}.parquet"), spark.sparkContext.defaultParallelism
     return df.repartition(cores) if df.rdd.getNumPartitions() < cores else df
 
@@ -36,6 +48,7 @@ def source(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 def written(df: DataFrame, name: str) -> DataFrame:
     """``df`` written once as Parquet in the shared folder and read back; removed when the driver ends."""
     spark = df.sparkSession
+    _small_batches(spark)
     path = f"{shared_dir(spark)}/inkspark/{name}-{uuid.uuid4().hex}"
     df.write.parquet(path)
     atexit.register(_remove, spark, path)

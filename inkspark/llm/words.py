@@ -8,9 +8,9 @@ follows the longest text and not the number of rows in a batch.
 from __future__ import annotations
 
 from collections.abc import Iterator
+from functools import lru_cache
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 import pyarrow.compute as pc
 
@@ -56,13 +56,29 @@ def split_words(texts: pa.Array, lower: bool = True) -> tuple[np.ndarray, pa.Arr
     return kept[offsets], flat.filter(pa.array(full))
 
 
+@lru_cache(1)
+def _byte_table() -> np.ndarray:
+    """A random number for each byte value at each of 64 places."""
+    return np.random.default_rng(0x1D5EED).integers(0, 1 << 64, (64, 256), dtype=np.uint64, endpoint=False)
+
+
 def hash_strings(words: pa.Array) -> np.ndarray:
-    """A 64-bit hash of each word, the same in every process."""
+    """A 64-bit hash of each word, the same in every process: its bytes' numbers by place, exclusive or, mixed with its length."""
     enc = words.dictionary_encode()
-    uniq = enc.dictionary.to_numpy(zero_copy_only=False)
+    uniq = enc.dictionary
     if not len(uniq):
         return np.zeros(0, np.uint64)
-    return pd.util.hash_array(uniq, categorize=False)[enc.indices.to_numpy(zero_copy_only=False)]
+    _, offsets, data = uniq.buffers()
+    offsets = np.frombuffer(offsets, np.int32)[uniq.offset : uniq.offset + len(uniq) + 1].astype(np.int64)
+    octets = np.frombuffer(data, np.uint8)[offsets[0] : offsets[-1]]
+    lens = np.diff(offsets)
+    place = np.arange(len(octets)) - np.repeat(offsets[:-1] - offsets[0], lens)
+    value = _byte_table()[place & 63, octets]
+    late = np.flatnonzero(place >= 64)  # places of long words repeat the table, each time mixed otherwise
+    value[late] = mix(value[late] + (place[late] >> 6).astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15))
+    out = np.bitwise_xor.reduceat(value, offsets[:-1] - offsets[0])
+    with np.errstate(over="ignore"):
+        return mix(out + lens.astype(np.uint64))[enc.indices.to_numpy(zero_copy_only=False)]
 
 
 def word_hashes(texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
