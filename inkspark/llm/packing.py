@@ -34,7 +34,7 @@ from inkspark.llm.store import source, written
 
 CAPACITIES = (512, 1024, 2048, 4096)
 OVERHEAD = 8
-CELL_ROWS, MAX_CELLS = 2000, 1 << 16  # rows numbered in one group, and groups of one length
+CELL_ROWS, MAX_CELLS = 500, 1 << 16  # rows numbered in one group, and groups of one length
 
 
 @dataclass
