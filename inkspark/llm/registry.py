@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from inkspark.llm import decontaminate, html_text, importance, near_dedup, packing, phrases, quality_rules, sharding, substring_dedup, token_counts, toxicity, url_filter
+from inkspark.llm import decontaminate, html_text, importance, near_dedup, packing, phrases, quality_rules, sharding, substring_dedup, token_counts, toxicity, url_filter, vector_dedup
 
 QUERIES = {
     "op2_quality_rules": quality_rules.op2_quality_rules,
@@ -18,6 +18,7 @@ QUERIES = {
     "op6_variable_best_fit": packing.op6_variable_best_fit,
     "op10_url_filter": url_filter.op10_url_filter,
     "op11_pcy_collocations": phrases.op11_pcy_collocations,
+    "op12_flat_graph_near_vectors": vector_dedup.op12_flat_graph_near_vectors,
     "op13_importance_resampling": importance.op13_importance_resampling,
 }
 ORACLE = {
@@ -27,5 +28,6 @@ ORACLE = {
     "op7_hyperminhash_near_dedup": near_dedup.ORACLE_SQL,
     "op10_url_filter": url_filter.ORACLE_SQL,
     "op11_pcy_collocations": phrases.ORACLE_SQL,
+    "op12_flat_graph_near_vectors": vector_dedup.ORACLE_SQL,
     "op13_importance_resampling": importance.ORACLE_SQL,
 }
