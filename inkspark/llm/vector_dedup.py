@@ -277,7 +277,7 @@ def audited(nodes: DataFrame, links: DataFrame, cosine: float, width: int) -> fl
     return got / all_links if all_links else 1.0
 
 
-def near_vectors(vectors: DataFrame, cosine: float = 0.9, overlap: int = 4, recall: float = 0.98, id_col: str = "vec_id", vec_col: str = "embedding") -> DataFrame:
+def near_vectors(vectors: DataFrame, cosine: float = 0.9, overlap: int = 4, recall: float = 0.999, id_col: str = "vec_id", vec_col: str = "embedding") -> DataFrame:
     """vec_id, n_links, component_id, kept of every row; linked at ``cosine`` or more."""
     angle = math.acos(cosine)
     rows = vectors.select(F.col(id_col).cast("long").alias("vec_id"), F.col(vec_col).cast("array<double>").alias("vec"))
