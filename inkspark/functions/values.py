@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+from inkspark.functions.text import bound
+
 _KEEP_NULLS = {"ignoreNullFields": "false"}
 
 
@@ -16,9 +18,22 @@ def _c(value: Column | str) -> Column:
 
 
 def short_number(value: Column | str) -> Column:
-    """A number without a trailing ``.0`` and without closing zeros, with at most six digits."""
-    text = F.format_string("%.6f", F.round(_c(value).cast("double"), 6))
-    return F.regexp_replace(F.regexp_replace(text, r"(\.[0-9]*?)0+$", "$1"), r"\.$", "")
+    """A number with at most six significant digits and without closing zeros (``%g``): 1234.5678 is ``1234.57``, 1234567 is ``1.23457e+06``."""
+    return bound(F.format_string("%.5e", _c(value).cast("double")), _plain_digits)
+
+
+def _plain_digits(text: Column) -> Column:
+    """``d.ddddde+xx`` with the point at its place, or with the exponent where that is below -4 or above 5."""
+    sign, digits = F.regexp_extract(text, "^(-?)", 1), F.replace(F.regexp_extract(text, r"([0-9]\.[0-9]{5})", 1), F.lit("."), F.lit(""))
+    power = F.regexp_extract(text, "e(.*)$", 1).try_cast("int")
+    bare = lambda c: F.regexp_replace(F.regexp_replace(c, r"(\.[0-9]*?)0+$", "$1"), r"\.$", "")
+    below = F.concat(F.lit("0."), F.repeat(F.lit("0"), -1 - power), digits)
+    within = F.concat(F.substring(digits, F.lit(1), power + 1), F.lit("."), F.substring(digits, power + 2, F.lit(6)))
+    return (
+        F.when(power.isNull(), F.lower(text))
+        .when((power < -4) | (power > 5), F.concat(sign, bare(F.regexp_extract(text, r"([0-9]\.[0-9]{5})", 1)), F.regexp_extract(text, "(e.*)$", 1)))
+        .otherwise(F.concat(sign, bare(F.when(power < 0, below).otherwise(within))))
+    )
 
 
 def whole_percent(share: Column | str) -> Column:
@@ -77,8 +92,8 @@ def json_tokens(text: Column | str) -> Column:
 
 
 def utc_text(ts: Column | str) -> Column:
-    """A timestamp as ISO text with ``Z``."""
-    return F.date_format(_c(ts).cast("timestamp"), "yyyy-MM-dd'T'HH:mm:ss'Z'")
+    """A timestamp as ISO text in UTC with ``Z``, whatever the session's zone."""
+    return F.date_format(F.to_utc_timestamp(_c(ts).cast("timestamp"), F.current_timezone()), "yyyy-MM-dd'T'HH:mm:ss'Z'")
 
 
 def from_utc_text(text: Column | str) -> Column:

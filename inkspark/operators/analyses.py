@@ -159,7 +159,8 @@ def mean_probability(log_probs: Column) -> Column:
 def stable_ids(items: DataFrame, previous: DataFrame, known: DataFrame, echoes: DataFrame, keys: list[str]) -> DataFrame:
     """Second readings with their ids: a first-reader id once, else the id that the same marking had before, else the smallest free v.
 
-    ``items``: keys, seq, ref_id, kind, value, has_box. ``previous``: keys, ref_id, kind, value of the revision before (v ids). ``known``:
+    ``items``: keys, seq, ref_id, kind, value, has_box. ``previous``: keys, seq, ref_id, kind, value of the revision before (v ids; of several for
+    one marking the last counts, and only its number is taken). ``known``:
     keys, ref_id of the first reader. ``echoes``: keys, kind, value that a person gave: an item without a box that repeats one is dropped.
     """
     rows = items.where(F.trim("value") != "").withColumn("norm", normalize("value"))
@@ -169,14 +170,14 @@ def stable_ids(items: DataFrame, previous: DataFrame, known: DataFrame, echoes:
     rows = rows.join(told, [*keys, "kind", "norm"], "left").where("is_known OR has_box OR echo IS NULL").drop("echo")
     first = F.row_number().over(Window.partitionBy(*keys, "ref_id").orderBy("seq")) == 1
     rows = rows.withColumn("own", F.when(F.col("is_known") & first, F.col("ref_id")))
-    old = previous.where(F.col("ref_id").startswith("v")).groupBy(*keys, "kind", normalize("value").alias("norm")).agg(F.max("ref_id").alias("old"))
+    old = previous.where(F.col("ref_id").startswith("v")).groupBy(*keys, "kind", normalize("value").alias("norm")).agg(F.max_by("ref_id", "seq").alias("old"))
     rows = rows.join(old, [*keys, "kind", "norm"], "left")
     again = F.row_number().over(Window.partitionBy(*keys, "old", F.col("own").isNull()).orderBy("seq"))
     rows = rows.withColumn("new_id", F.coalesce("own", F.when(F.col("old").isNotNull() & (again == 1), F.col("old"))))
     # new ids: the n-th free number for the n-th item that needs one
     nth = F.row_number().over(Window.partitionBy(*keys, F.col("new_id").isNull()).orderBy("seq"))
     rows = rows.withColumn("nth", F.when(F.col("new_id").isNull(), nth))
-    used = previous.where(F.col("ref_id").startswith("v")).groupBy(*keys).agg(F.collect_set(F.substring("ref_id", 2, 18).cast("int")).alias("used"))
+    used = old.groupBy(*keys).agg(F.collect_set(F.substring("old", 2, 18).cast("int")).alias("used"))
     rows = rows.join(used, keys, "left").withColumn("used", F.coalesce("used", F.array().cast("array<int>")))
     free = F.array_except(F.sequence(F.lit(1), F.size("used") + F.coalesce("nth", F.lit(1))), "used")
     return rows.select(*keys, "seq", "kind", "value", F.coalesce("new_id", F.concat(F.lit("v"), F.get(free, F.col("nth") - 1).cast("string"))).alias("ref_id"))

@@ -21,6 +21,8 @@ SHARES = {
     "combined_alone_pct": (("ocr_exact", "legs_ocr", "parts_ocr"), ("texts", "legs", "parts")), "combined_full_pct": (("final_exact", "legs_found", "parts_found"), ("texts", "legs", "parts")),
 }
 MARKING = r"^[FVS][0-9]{1,2}(?:\.[0-9])?$"
+# Fixed value: the mean change of grey values that counts as a whole one.
+FULL_CHANGE = 32.0
 
 
 def photo_row(photos: DataFrame) -> DataFrame:
@@ -82,15 +84,20 @@ def overlap_and_time(rows: DataFrame, keys: list[str], overlap: str, seconds: st
 
 
 def pixel_change(before: Column, after: Column) -> Column:
-    """Mean absolute difference of two equally long arrays of bytes as a share of 255, at most 1."""
+    """Mean absolute difference of two equally long arrays of grey values as a share of FULL_CHANGE, at most 1, three digits."""
     total = F.aggregate(F.zip_with(before, after, lambda a, b: F.abs(a - b).cast("double")), F.lit(0.0), lambda s, x: s + x)
-    return F.least(F.lit(1.0), F.try_divide(total, F.size(before) * 255.0))
+    return F.bround(F.least(F.lit(1.0), F.try_divide(total, F.size(before) * FULL_CHANGE)), 3)
+
+
+def enlargement_strength(scale: Column) -> Column:
+    """A third of the doublings of an enlargement, at most 1, three digits; null where nothing is enlarged."""
+    return F.when(scale > 1, F.bround(F.least(F.lit(1.0), F.log2(scale.cast("double")) / 3), 3))
 
 
 def correction_strength(steps: Column, scale: Column | None = None) -> Column:
-    """1 - product of (1 - strength), three digits; an enlargement counts as 1 - 1 / scale."""
+    """1 - product of (1 - strength), three digits; an enlargement counts by ``enlargement_strength``."""
     rest = F.aggregate(steps, F.lit(1.0), lambda a, s: a * (1 - s))
-    return F.bround(1 - (rest if scale is None else rest / F.greatest(scale, F.lit(1.0))), 3)
+    return F.bround(1 - (rest if scale is None else rest * (1 - F.coalesce(enlargement_strength(scale), F.lit(0.0)))), 3)
 
 
 # --- rules of documents ------------------------------------------------------------------------

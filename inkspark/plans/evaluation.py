@@ -81,13 +81,17 @@ def overlap_and_time(spark: SparkSession, d: str) -> DataFrame:
 
 
 @query("""
-SELECT p_partkey, least(1.0, (abs(p_size - 10) + 20 + abs(p_size - 200)) / (3 * 255.0::DOUBLE)) AS change, round_even(1 - 0.8 * (1 - p_size / 100.0::DOUBLE) / greatest(p_size / 10.0::DOUBLE, 1), 3) AS strength, round_even(1 - 0.8 * (1 - p_size / 100.0::DOUBLE), 3) AS plain FROM part
+SELECT p_partkey, round_even(least(1.0, (abs(p_size - 10) + 2 + p_partkey % 100) / (3 * 32.0::DOUBLE)), 3) AS change,
+  round_even(1 - 0.8 * (1 - p_size / 100.0::DOUBLE) * (1 - CASE WHEN p_size > 10 THEN round_even(least(1.0, log2(p_size / 10.0::DOUBLE * (1 + p_partkey % 3)) / 3), 3) WHEN p_size * (1 + p_partkey % 3) > 10 THEN round_even(log2(p_size / 10.0::DOUBLE * (1 + p_partkey % 3)) / 3, 3) ELSE 0 END), 3) AS strength,
+  round_even(1 - 0.8 * (1 - p_size / 100.0::DOUBLE), 3) AS plain FROM part
 """)
 def image_corrections(spark: SparkSession, d: str) -> DataFrame:
     s = F.col("p_size")
-    before, after = F.array(s, F.lit(100), s), F.array(F.lit(10), F.lit(120), F.lit(200))
+    more = (F.col("p_partkey") % 100).cast("int")
+    before, after = F.array(s, F.lit(100), s), F.array(F.lit(10), F.lit(102), s + more)
     steps = F.array(F.lit(0.2), s / 100)
-    return table(spark, d, "part").select("p_partkey", evaluation.pixel_change(before, after).alias("change"), evaluation.correction_strength(steps, s / 10).alias("strength"), metrics.combined_strength(steps).alias("plain"))
+    scale = s / 10 * (1 + F.col("p_partkey") % 3)  # up to 15: enlargements over 8 count whole
+    return table(spark, d, "part").select("p_partkey", evaluation.pixel_change(before, after).alias("change"), evaluation.correction_strength(steps, scale).alias("strength"), metrics.combined_strength(steps).alias("plain"))
 
 
 @query("SELECT p_partkey, rank, text, prob FROM part JOIN (VALUES (0, 1, 'P-1O', 0.6::DOUBLE), (0, 2, 'P-10', 0.4), (1, 1, 'OO', 1.0), (2, 1, 'O', 1.0)) v(k, rank, text, prob) ON k = p_partkey % 3")

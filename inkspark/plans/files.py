@@ -140,17 +140,25 @@ def annotation_files(spark: SparkSession, d: str) -> DataFrame:
 
 
 @query("""
-WITH l AS (SELECT user_id % 20 AS kind, event_type AS key, event_id AS seq, user_id || ':' || value AS data FROM events)
-SELECT kind::VARCHAR AS kind, key, min(seq) AS seq, arg_max(data, seq) AS data FROM l GROUP BY ALL
+WITH l AS (SELECT user_id % 500 AS kind, event_type AS key, event_id, user_id || ':' || value AS data, least(2, event_id * 3 // (SELECT max(event_id) + 1 FROM events)) AS batch FROM events),
+f AS (SELECT batch, min(event_id) AS low FROM l GROUP BY batch),
+a AS (SELECT kind, key, min(event_id) AS seq FROM l WHERE batch = 0 GROUP BY ALL),
+b AS (SELECT kind, key, min(event_id) - low + (SELECT max(seq) + 1 FROM a) AS seq FROM l JOIN f USING (batch) WHERE batch = 1 AND (kind, key) NOT IN (SELECT (kind, key) FROM a) GROUP BY kind, key, low),
+ab AS (SELECT * FROM a UNION ALL SELECT * FROM b),
+c AS (SELECT kind, key, min(event_id) - low + (SELECT max(seq) + 1 FROM ab) AS seq FROM l JOIN f USING (batch) WHERE batch = 2 AND (kind, key) NOT IN (SELECT (kind, key) FROM ab) GROUP BY kind, key, low)
+SELECT kind::VARCHAR AS kind, key, seq, data FROM (SELECT * FROM ab UNION ALL SELECT * FROM c) JOIN (SELECT kind, key, arg_max(data, event_id) AS data FROM l GROUP BY ALL) USING (kind, key)
 """)
 def blob_upserts(spark: SparkSession, d: str) -> DataFrame:
-    """Binary values: a key keeps its first place and takes the last bytes; half of the writes are there already."""
-    rows = table(spark, d, "events").select((F.col("user_id") % 20).cast("string").alias("kind"), F.col("event_type").alias("key"), F.col("event_id").alias("seq"), F.concat_ws(":", F.col("user_id").cast("string"), F.col("value").cast("string")).cast("binary").alias("data"))
-    middle = rows.agg(F.percentile_approx("seq", 0.5)).first()[0]
-    before = rows.where(F.col("seq") <= middle).groupBy("kind", "key").agg(F.min("seq").alias("s"), F.max_by("data", "seq").alias("data")).withColumnRenamed("s", "seq")
-    out = writers.put(before, rows.where(F.col("seq") > middle), ["kind", "key"], "data")
-    late = F.col("seq") >= (1 << 40)
-    return out.withColumn("seq", F.when(late, F.col("seq") - (1 << 40)).otherwise(F.col("seq"))).withColumn("data", F.col("data").cast("string"))
+    """Binary values: a key keeps its first place and takes the last bytes; two more logs follow, whose numbers start from 1."""
+    e = table(spark, d, "events")
+    rows = e.select((F.col("user_id") % 500).cast("string").alias("kind"), F.col("event_type").alias("key"), F.col("event_id").alias("seq"), F.concat_ws(":", F.col("user_id").cast("string"), F.col("value").cast("string")).cast("binary").alias("data"))
+    top = e.agg(F.max("event_id")).first()[0] + 1
+    batch = F.least(F.lit(2), F.floor(F.col("seq") * 3 / top))
+    parts = [rows.where(batch == i) for i in range(3)]
+    first = parts[0].groupBy("kind", "key").agg(F.min("seq").alias("s"), F.max_by("data", "seq").alias("data")).withColumnRenamed("s", "seq")
+    again = lambda part: part.withColumn("seq", F.col("seq") - part.agg(F.min("seq")).first()[0] + 1)
+    out = writers.put(writers.put(first, again(parts[1]), ["kind", "key"], "data"), again(parts[2]), ["kind", "key"], "data")
+    return out.withColumn("data", F.col("data").cast("string"))
 
 
 @query("SELECT o_orderkey AS job_id, o_custkey AS image_id, o_orderstatus = 'F' OR o_orderkey % 4 = 0 AND o_orderkey % 2 = 0 AS preprocessed FROM orders")

@@ -141,17 +141,18 @@ def reader_probabilities(spark: SparkSession, d: str) -> DataFrame:
 @query("""
 WITH i AS (SELECT user_id, event_id, event_type AS value, CASE WHEN event_id % 4 = 0 THEN 't' || event_id ELSE 'new' END AS ref, event_id % 2 = 0 AS boxed FROM events WHERE NOT (event_type = 'error' AND event_id % 2 = 1)),
 p AS (SELECT *, CASE WHEN ref <> 'new' THEN ref END AS own FROM i),
-o AS (SELECT *, CASE WHEN own IS NULL AND value = 'click' AND row_number() OVER (PARTITION BY user_id, value, own IS NULL ORDER BY event_id) = 1 THEN 'v2' ELSE own END AS id FROM p),
+o AS (SELECT *, CASE WHEN own IS NULL AND value = 'click' AND row_number() OVER (PARTITION BY user_id, value, own IS NULL ORDER BY event_id) = 1 THEN 'v10' ELSE own END AS id FROM p),
 n AS (SELECT *, row_number() OVER (PARTITION BY user_id, id IS NULL ORDER BY event_id) AS nth FROM o)
-SELECT user_id, event_id, coalesce(id, 'v' || CASE WHEN nth >= 2 THEN nth + 1 ELSE nth END) AS ref_id FROM n
+SELECT user_id, event_id, coalesce(id, 'v' || CASE WHEN nth >= 10 THEN nth + 1 ELSE nth END) AS ref_id FROM n
 """)
 def stable_reading_ids(spark: SparkSession, d: str) -> DataFrame:
-    """Ids of second readings: known refs stay, one marking keeps v2 of the revision before, the rest take free numbers."""
+    """Ids of second readings: known refs stay, one marking keeps v10, its last id of the revision before, not v9; the rest take free numbers."""
     k = F.col("event_id")
     e = table(spark, d, "events")
     items = e.select("user_id", k.alias("seq"), F.when(k % 4 == 0, F.concat(F.lit("t"), k.cast("string"))).otherwise("new").alias("ref_id"), F.lit("text").alias("kind"), F.col("event_type").alias("value"), (k % 2 == 0).alias("has_box"))
     users = e.select("user_id").distinct()
-    previous = users.select("user_id", F.lit("v2").alias("ref_id"), F.lit("text").alias("kind"), F.lit("CLICK").alias("value"))
+    before = lambda seq, ref: users.select("user_id", F.lit(seq).alias("seq"), F.lit(ref).alias("ref_id"), F.lit("text").alias("kind"), F.lit("CLICK").alias("value"))
+    previous = before(1, "v9").union(before(2, "v10"))
     echoes = users.select("user_id", F.lit("text").alias("kind"), F.lit("Error").alias("value"))
     known = e.where("event_id % 4 = 0").select("user_id", F.concat(F.lit("t"), k.cast("string")).alias("ref_id"))
     return analyses.stable_ids(items, previous, known, echoes, ["user_id"]).select("user_id", F.col("seq").alias("event_id"), "ref_id")

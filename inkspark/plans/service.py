@@ -11,15 +11,15 @@ from inkspark.plans.queries import query, table
 
 
 def _sql_number(x: str) -> str:
-    return f"regexp_replace(printf('%.6f', {x}), '\\.?0+$', '')"
+    return f"printf('%g', {x}::DOUBLE)"
 
 
 @query(f"""
-SELECT p_partkey, {_sql_number("p_retailprice")} AS price, CAST(round_even(p_size / 50.0::DOUBLE * 100, 0)::BIGINT AS VARCHAR) || '%' AS share, lpad(p_partkey::VARCHAR, 6, '0') AS number FROM part
+SELECT p_partkey, {_sql_number("p_retailprice")} AS price, {_sql_number("p_retailprice * 1000 + p_partkey / 7.0")} AS large, {_sql_number("-p_size / 700000.0")} AS little, CAST(round_even(p_size / 50.0::DOUBLE * 100, 0)::BIGINT AS VARCHAR) || '%' AS share, lpad(p_partkey::VARCHAR, 6, '0') AS number FROM part
 """)
 def number_texts(spark: SparkSession, d: str) -> DataFrame:
     p = table(spark, d, "part")
-    return p.select("p_partkey", V.short_number("p_retailprice").alias("price"), V.whole_percent(F.col("p_size") / 50).alias("share"), V.padded("p_partkey").alias("number"))
+    return p.select("p_partkey", V.short_number("p_retailprice").alias("price"), V.short_number(F.col("p_retailprice") * 1000 + F.col("p_partkey") / 7.0).alias("large"), V.short_number(-F.col("p_size") / 700000.0).alias("little"), V.whole_percent(F.col("p_size") / 50).alias("share"), V.padded("p_partkey").alias("number"))
 
 
 @query(f"""

@@ -23,10 +23,14 @@ def documents(rows: DataFrame, collection: str, key: list[str], seq: str) -> Dat
 
 
 def put(docs: DataFrame, log: DataFrame, keys: list[str], value: str) -> DataFrame:
-    """The table after a log of writes: a key keeps its first place and takes the last value."""
-    both = docs.select(*keys, "seq", value, F.lit(0).alias("late")).unionByName(log.select(*keys, "seq", value, F.lit(1).alias("late")))
-    numbered = both.withColumn("seq", F.col("seq") + F.when(F.col("late") == 1, F.lit(1 << 40)).otherwise(F.lit(0)))
-    return upserted(numbered, keys, value, "seq").select(*keys, F.col("position").alias("seq"), F.col("value").alias(value))
+    """The table after a log of writes: a key keeps its first place and takes the last value.
+
+    The log's numbers are its own order; they are moved behind the table's last place, so that a second log may start from 1 again.
+    """
+    last, first = (df.agg(agg("seq")).first()[0] for df, agg in ((docs, F.max), (log, F.min)))
+    moved = 0 if last is None or first is None else last + 1 - first
+    both = docs.select(*keys, "seq", value).unionByName(log.select(*keys, (F.col("seq") + F.lit(moved)).alias("seq"), value))
+    return upserted(both, keys, value, "seq").select(*keys, F.col("position").alias("seq"), F.col("value").alias(value))
 
 
 def is_empty(spark: SparkSession, path: str, table: str = "docs") -> bool:
@@ -39,13 +43,18 @@ def is_empty(spark: SparkSession, path: str, table: str = "docs") -> bool:
         raise
 
 
-def migrate(spark: SparkSession, source: str, target: str) -> None:
-    """Copies all documents and blobs in their order; refuses a target that has any."""
+def migrate(spark: SparkSession, source: str, target: str) -> dict[str, int]:
+    """Copies all documents and blobs in their order and returns the numbers of both; refuses a target that has any."""
     if not (is_empty(spark, target) and is_empty(spark, target, "blobs")):
         raise ValueError(f"{target} isn't empty")
+    counts = {}
     for table, schema in (("docs", DOCS), ("blobs", BLOBS)):
+        counts[table] = 0
         if not is_empty(spark, source, table):
-            spark.read.schema(schema).parquet(f"{source}/{table}").write.mode("append").parquet(f"{target}/{table}")
+            rows = spark.read.schema(schema).parquet(f"{source}/{table}")
+            rows.write.mode("append").parquet(f"{target}/{table}")
+            counts[table] = rows.count()
+    return counts
 
 
 def with_image(images: DataFrame, added: DataFrame) -> DataFrame:
