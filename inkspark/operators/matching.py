@@ -6,19 +6,17 @@ label) over that photo's candidate pairs only, which an equi-join and the overla
 
 from __future__ import annotations
 
-from functools import reduce
-
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from inkspark.functions.geometry import centre_inside, iou
-from inkspark.operators.metrics import detection_metrics
+from inkspark.operators.metrics import average_precision
 
 
 def _greedy(pdf: pd.DataFrame) -> pd.DataFrame:
     taken_p, taken_t, rows = set(), set(), []
-    for r in pdf.sort_values(["first", "second", "pred", "truth"], kind="stable").itertuples(index=False):
+    for r in pdf.sort_values(["first", "pred", "second", "truth"], kind="stable").itertuples(index=False):
         if r.pred not in taken_p and r.truth not in taken_t:
             taken_p.add(r.pred)
             taken_t.add(r.truth)
@@ -27,9 +25,9 @@ def _greedy(pdf: pd.DataFrame) -> pd.DataFrame:
 
 
 def iou_matches(preds: DataFrame, truths: DataFrame, least: float = 0.5) -> DataFrame:
-    """photo, label, pred, truth, overlap: predictions by falling score each take the free truth of the largest overlap.
+    """photo, label, pred, truth, overlap: predictions by falling score, then by ``pred``, each take the free truth of the largest overlap.
 
-    ``preds``: photo, label, pred, score, box. ``truths``: photo, label, truth, box.
+    ``preds``: photo, label, pred, score, box. ``truths``: photo, label, truth, box. Of equal overlaps the first ``truth`` is taken.
     """
     t = truths.select("photo", "label", "truth", F.col("box").alias("truth_box"))
     pairs = preds.join(t, ["photo", "label"]).withColumn("overlap", iou(F.col("box"), F.col("truth_box"))).where(F.col("overlap") >= least)
@@ -40,23 +38,53 @@ def iou_matches(preds: DataFrame, truths: DataFrame, least: float = 0.5) -> Data
     )
 
 
-def outcomes(preds: DataFrame, truths: DataFrame, matched: DataFrame) -> DataFrame:
-    """label, kind: every prediction as tp or fp, every truth that nothing took as fn."""
-    m = matched.select("photo", "label", "pred").withColumn("hit", F.lit(True))
-    p = preds.join(m, ["photo", "label", "pred"], "left").select("label", F.when(F.col("hit"), "tp").otherwise("fp").alias("kind"))
-    missed = truths.join(matched.select("photo", "label", "truth"), ["photo", "label", "truth"], "left_anti").select("label", F.lit("fn").alias("kind"))
-    return p.unionByName(missed)
+def _takers(pairs: Column, least: float) -> Column:
+    """The predictions that take a truth: a fold over pairs in the order (score, pred, overlap, truth) of those that overlap enough."""
+    pair = lambda p: F.struct(p.pred.alias("pred"), p.truth.alias("truth"))
+    enough = F.filter(pairs, lambda p: p.second <= -least)
+    free = lambda taken, p: ~F.exists(taken, lambda x: (x.pred == p.pred) | (x.truth == p.truth))
+    empty = F.filter(F.transform(enough, pair), lambda x: F.lit(False))
+    return F.aggregate(enough, empty, lambda taken, p: F.when(free(taken, p), F.concat(taken, F.array(pair(p)))).otherwise(taken))
+
+
+def decisions(preds: DataFrame, truths: DataFrame, overlaps: tuple[float, ...]) -> DataFrame:
+    """photo, group, least_overlap, pred, score, hit: whether each prediction takes a truth, among its label's boxes and among all (``any``).
+
+    Predictions are tried by falling score, so that what one takes depends on higher scores only: the decisions above any least score are a
+    prefix of these, and one matching serves them all. A photo's boxes meet in one equi-join with the overlap predicate.
+    """
+    t = truths.select("photo", F.col("label").alias("truth_label"), "truth", F.col("box").alias("truth_box"))
+    pairs = preds.join(t, "photo").withColumn("overlap", iou(F.col("box"), F.col("truth_box"))).where(F.col("overlap") >= min(overlaps))
+    groups = lambda own: F.explode(F.when(own, F.array("label", F.lit("any"))).otherwise(F.array(F.lit("any"))))
+    pairs = pairs.withColumn("group", groups(F.col("label") == F.col("truth_label")))
+    pairs = pairs.select("photo", "group", "pred", "truth", (-F.col("score")).alias("first"), (-F.col("overlap")).alias("second"))
+    lists = pairs.groupBy("photo", "group").agg(F.array_sort(F.collect_list(F.struct("first", "pred", "second", "truth"))).alias("pairs"))  # of one photo
+    taken = F.explode(F.array(*[F.struct(F.lit(least).alias("least_overlap"), _takers(F.col("pairs"), least).alias("taken")) for least in overlaps]))
+    hits = lists.select("photo", "group", taken.alias("t")).select("photo", "group", "t.least_overlap", F.explode("t.taken.pred").alias("pred"))
+    every = preds.select("photo", F.explode(F.array("label", F.lit("any"))).alias("group"), "pred", "score", F.explode(F.array(*map(F.lit, overlaps))).alias("least_overlap"))
+    return every.join(hits.withColumn("hit", F.lit(True)), ["photo", "group", "least_overlap", "pred"], "left").withColumn("hit", F.coalesce("hit", F.lit(False)))
 
 
 def threshold_report(preds: DataFrame, truths: DataFrame, overlaps: tuple[float, ...], scores: tuple[float, ...]) -> DataFrame:
-    """least_overlap, least_score, label (and ``any``), tp, fp, fn, precision and recall: the matching of ``iou_matches`` at every pair of thresholds."""
-    parts = []
-    for least in overlaps:
-        for score in scores:
-            kept = preds.where(F.col("score") >= score)
-            found = detection_metrics(outcomes(kept, truths, iou_matches(kept, truths, least)), "label")
-            parts.append(found.select(F.lit(least).alias("least_overlap"), F.lit(score).alias("least_score"), *found.columns))
-    return reduce(lambda a, b: a.unionByName(b), parts)
+    """label (and ``any``), least_overlap, least_score, gt, tp, fp, fn, recall, precision (three digits) and ap (four digits) from one matching.
+
+    Shares are null where nothing is counted; ap is null without truths and 0 without predictions.
+    """
+    keys = ["group", "least_overlap"]
+    decided = decisions(preds, truths, overlaps)
+    gt = truths.select(F.explode(F.array("label", F.lit("any"))).alias("group")).groupBy("group").agg(F.count(F.lit(1)).alias("gt"))
+    at = F.explode(F.array(*[F.struct(F.lit(s).alias("least_score"), (F.col("score") >= s).alias("kept")) for s in scores])).alias("at")
+    counts = decided.select(*keys, "hit", at).groupBy(*keys, "at.least_score").agg(F.count_if(F.col("at.kept")).alias("kept"), F.count_if(F.col("at.kept") & F.col("hit")).alias("tp"))
+    scored = decided.join(F.broadcast(gt), "group", "left").select(*keys, "hit", "score", F.struct("photo", "pred").alias("tie"), F.coalesce("gt", F.lit(0)).alias("positives"))  # a row for each label
+    ap = average_precision(scored, keys, "hit", "score", "tie").select(*keys, F.bround("ap", 4).alias("ap"))
+    labels = gt.select("group").union(decided.select("group").distinct()).union(preds.sparkSession.range(1).select(F.lit("any"))).distinct()
+    grid = labels.select("group", F.explode(F.array(*map(F.lit, overlaps))).alias("least_overlap")).select("*", F.explode(F.array(*map(F.lit, scores))).alias("least_score"))
+    rows = grid.join(gt, "group", "left").join(counts, [*keys, "least_score"], "left").join(ap, keys, "left").fillna(0, ["gt", "kept", "tp"])
+    share = lambda part, whole: F.bround(F.try_divide(F.col(part).cast("double"), F.col(whole)), 3)
+    return rows.select(
+        F.col("group").alias("label"), "least_overlap", "least_score", "gt", "tp", (F.col("kept") - F.col("tp")).alias("fp"), (F.col("gt") - F.col("tp")).alias("fn"),
+        share("tp", "gt").alias("recall"), share("tp", "kept").alias("precision"), F.when(F.col("gt") > 0, F.coalesce("ap", F.lit(0.0))).alias("ap"),
+    )
 
 
 def centre_matches(preds: DataFrame, truths: DataFrame, margin: float = 0.1) -> DataFrame:

@@ -139,17 +139,39 @@ def greedy_iou_pairs(spark: SparkSession, d: str) -> DataFrame:
 
 
 @query("""
-WITH o AS (SELECT o_orderpriority AS label, (o_orderkey % 10 + 1) / 10.0::DOUBLE AS iou, (o_custkey % 100) / 100.0::DOUBLE AS score FROM orders), a AS (SELECT * FROM o UNION ALL SELECT 'any', iou, score FROM o),
-c AS (SELECT t AS least_overlap, s AS least_score, label, count(*) FILTER (score >= s AND iou >= t) AS tp, count(*) FILTER (score >= s AND iou < t) AS fp, count(*) FILTER (score < s OR iou < t) AS fn
-  FROM a, (VALUES (0.5::DOUBLE), (0.75)) x(t), (VALUES (0.1::DOUBLE), (0.3), (0.5)) y(s) GROUP BY ALL)
-SELECT *, tp / (tp + fp)::DOUBLE AS precision, tp / (tp + fn)::DOUBLE AS recall FROM c
+WITH RECURSIVE l AS (SELECT l_orderkey AS photo, ((l_partkey * 10000 + l_suppkey) * 100 + l_quantity::BIGINT) * 10 + l_linenumber AS id, l_linenumber % 2 = 0 AS is_pred, ['arrow', 'mark', 'cutout', 'spot'][l_partkey % CASE WHEN l_linenumber % 2 = 0 THEN 3 ELSE 4 END + 1] AS label,
+  l_suppkey % 10 / 10.0::DOUBLE AS score, l_quantity % 7 AS x1, l_suppkey % 5 AS y1, l_quantity % 7 + 6 + l_partkey % 4 AS x2, l_suppkey % 5 + 8 AS y2 FROM lineitem),
+a AS (SELECT *, grp FROM l, (SELECT unnest([true, false]) AS own), (SELECT unnest([0.5, 0.3])::DOUBLE AS least), LATERAL (SELECT CASE WHEN own THEN label ELSE 'any' END AS grp)),
+c AS (SELECT p.photo, p.grp, p.least, p.id AS pred, list({'o': -i / (s - i), 't': t.id} ORDER BY -i / (s - i), t.id) FILTER (i / (s - i) >= p.least) AS cands
+  FROM (SELECT * FROM a WHERE is_pred) p LEFT JOIN (SELECT * FROM a WHERE NOT is_pred) t ON t.photo = p.photo AND t.grp = p.grp AND t.least = p.least,
+  LATERAL (SELECT (greatest(least(p.x2, t.x2) - greatest(p.x1, t.x1), 0) * greatest(least(p.y2, t.y2) - greatest(p.y1, t.y1), 0))::DOUBLE AS i, ((p.x2 - p.x1) * (p.y2 - p.y1) + (t.x2 - t.x1) * (t.y2 - t.y1))::DOUBLE AS s) GROUP BY ALL),
+k AS (SELECT c.*, score, row_number() OVER (PARTITION BY c.photo, grp, least ORDER BY score DESC, pred) AS rn FROM c JOIN l ON l.photo = c.photo AND l.id = c.pred),
+m AS (
+  SELECT photo, grp, least, rn, pred, score, cands[1].t AS took, [cands[1].t] AS taken FROM k WHERE rn = 1
+  UNION ALL
+  SELECT k.photo, k.grp, k.least, k.rn, k.pred, k.score, list_filter(k.cands, lambda x: NOT list_contains(m.taken, x.t))[1].t, list_append(m.taken, list_filter(k.cands, lambda x: NOT list_contains(m.taken, x.t))[1].t)
+  FROM m JOIN k ON k.photo = m.photo AND k.grp = m.grp AND k.least = m.least AND k.rn = m.rn + 1
+),
+n AS (SELECT grp, least, count(*) FILTER (NOT is_pred) AS gt FROM a GROUP BY ALL),
+v AS (SELECT grp, least, took IS NOT NULL AS ok, sum((took IS NOT NULL)::INT) OVER w / (row_number() OVER w)::DOUBLE AS p, row_number() OVER w AS r FROM m WINDOW w AS (PARTITION BY grp, least ORDER BY score DESC, photo, pred)),
+e AS (SELECT grp, least, ok, max(p) OVER (PARTITION BY grp, least ORDER BY r ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING) AS top FROM v),
+ap AS (SELECT grp, least, sum(top) FILTER (ok) AS total FROM e GROUP BY ALL),
+s AS (SELECT grp, least, least_score, count(*) FILTER (score >= least_score) AS kept, count(took) FILTER (score >= least_score) AS tp FROM m, (SELECT unnest([0.1, 0.3, 0.5])::DOUBLE AS least_score) GROUP BY ALL)
+SELECT n.grp AS label, n.least AS least_overlap, g.least_score, gt, coalesce(tp, 0) AS tp, coalesce(kept - tp, 0) AS fp, gt - coalesce(tp, 0) AS fn, round_even(coalesce(tp, 0) / nullif(gt, 0)::DOUBLE, 3) AS recall, round_even(tp / nullif(kept, 0)::DOUBLE, 3) AS precision,
+  CASE WHEN gt > 0 THEN coalesce(round_even(total / gt, 4), 0) END AS ap
+FROM n, (SELECT unnest([0.1, 0.3, 0.5])::DOUBLE AS least_score) g LEFT JOIN s ON s.grp = n.grp AND s.least = n.least AND s.least_score = g.least_score LEFT JOIN ap ON ap.grp = n.grp AND ap.least = n.least
 """)
 def detection_thresholds(spark: SparkSession, d: str) -> DataFrame:
-    """One box a photo, at two overlaps and three scores."""
-    o = table(spark, d, "orders").select(F.col("o_orderkey").alias("photo"), F.col("o_orderpriority").alias("label"), ((F.col("o_custkey") % 100) / 100).alias("score"), (F.col("o_orderkey") % 10 + 1).cast("double").alias("h"))
-    whole = lambda y2: G.box(F.lit(0.0), F.lit(0.0), F.lit(10.0), y2).alias("box")
-    preds = o.select("photo", "label", F.lit(1).alias("pred"), "score", whole(F.col("h")))
-    return matching.threshold_report(preds, o.select("photo", "label", F.lit(1).alias("truth"), whole(F.lit(10.0))), (0.5, 0.75), (0.1, 0.3, 0.5))
+    """Lines of an order as boxes with labels, equal scores and overlaps; predictions never say ``spot``, which only truths have."""
+    n, part = F.col("l_linenumber"), F.col("l_partkey")
+    x, y = F.col("l_quantity").cast("double") % 7, (F.col("l_suppkey") % 5).cast("double")
+    names = F.array(*map(F.lit, ("arrow", "mark", "cutout", "spot")))
+    label = lambda k: F.get(names, (part % k).cast("int")).alias("label")
+    box = G.box(x, y, x + 6 + part % 4, y + 8).alias("box")
+    rows = table(spark, d, "lineitem").withColumn("id", ((part * 10000 + F.col("l_suppkey")) * 100 + F.col("l_quantity").cast("long")) * 10 + n)
+    preds = rows.where(n % 2 == 0).select(F.col("l_orderkey").alias("photo"), label(3), F.col("id").alias("pred"), (F.col("l_suppkey") % 10 / 10).alias("score"), box)
+    truths = rows.where(n % 2 == 1).select(F.col("l_orderkey").alias("photo"), label(4), F.col("id").alias("truth"), box)
+    return matching.threshold_report(preds, truths, (0.5, 0.3), (0.1, 0.3, 0.5))
 
 
 @query("SELECT c_custkey, round_even(0.92 * (1 - exp(-c_nationkey / 6.0::DOUBLE)), 9) AS share FROM customer")
