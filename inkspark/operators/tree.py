@@ -54,7 +54,7 @@ def index(tree: DataFrame, keys: list[str], seq: str = "seq") -> DataFrame:
 
 
 def hits(readings: DataFrame, tree: DataFrame, keys: list[str], tree_keys: list[str], seq: str = "seq") -> DataFrame:
-    """Readings that name a node: keys, ref_id, seq, value, prob, fixed, node.
+    """Readings that name a node: keys, ref_id, seq, place, value, prob, fixed, node; ``place`` counts a reading's candidates.
 
     ``readings`` has keys (a photo), tree_keys (whose tree), ref_id, seq, value, prob and candidates array<struct<text, prob>>. A reading is
     tried as it is, then in its repaired forms (probability times 0.9). Only where no reading of a photo hits, its candidates
@@ -70,7 +70,7 @@ def hits(readings: DataFrame, tree: DataFrame, keys: list[str], tree_keys: list[
     )
     place = F.col("r.place")
     direct = rows.select(
-        *keys, "ref_id", "r.seq", "r.value", (F.col("r.prob") * F.when(place > 0, 0.9).otherwise(1.0)).alias("prob"), F.when(place > 0, F.col("r.form")).alias("fixed"), "r.node"
+        *keys, "ref_id", "r.seq", F.lit(0).alias("place"), "r.value", (F.col("r.prob") * F.when(place > 0, 0.9).otherwise(1.0)).alias("prob"), F.when(place > 0, F.col("r.form")).alias("fixed"), "r.node"
     )
     left = readings.join(direct.select(*keys).distinct(), keys, "left_anti")
     second = left.select(*keys, *[k for k in tree_keys if k not in keys], "ref_id", "seq", F.posexplode("candidates").alias("place", "c"))
@@ -78,7 +78,7 @@ def hits(readings: DataFrame, tree: DataFrame, keys: list[str], tree_keys: list[
     second = second.join(idx, [*tree_keys, "key"]).groupBy(*keys, "ref_id", "place").agg(
         F.min_by(F.struct("seq", F.col("c.text").alias("value"), F.col("c.prob").alias("prob"), "node"), F.col("key") != F.col("form")).alias("r")
     )
-    return direct.unionByName(second.select(*keys, "ref_id", "r.seq", "r.value", "r.prob", F.lit(None).cast("string").alias("fixed"), "r.node"))
+    return direct.unionByName(second.select(*keys, "ref_id", "r.seq", "place", "r.value", "r.prob", F.lit(None).cast("string").alias("fixed"), "r.node"))
 
 
 def best_part(found: DataFrame, keys: list[str]) -> DataFrame:
