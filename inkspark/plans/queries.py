@@ -596,4 +596,4 @@ def integrity_rules(spark: SparkSession, d: str) -> DataFrame:
     })
 
 
-from inkspark.plans import evaluation, files, interpretation, lifecycle, photos, service, shapes  # noqa: E402, F401  they register their queries
+from inkspark.plans import evaluation, files, interpretation, lifecycle, photos, service, shapes, streams  # noqa: E402, F401  they register their queries

@@ -1 +1 @@
-
+"""Structured Streaming: state machines over event streams."""
