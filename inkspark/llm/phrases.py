@@ -35,6 +35,7 @@ SLICE_BYTES = 8 << 20
 CLASSES = byte_classes(b"\x20\x09", b".,;:!?\x0a\x0b\x0c\x0d")
 BLOCK = 1 << 14
 FEWEST_BUCKETS = 1 << 16
+PARTS = 64
 PASS = "lang string, phrase string, h long, f long, block int, spots binary, times binary"
 PASS_KIND = pa.schema([("lang", pa.string()), ("phrase", pa.string()), ("h", pa.int64()), ("f", pa.int64()), ("block", pa.int32()), ("spots", pa.binary()), ("times", pa.binary())])
 
@@ -205,8 +206,10 @@ def collocations(docs: DataFrame, longest: int = 3, least: int = 10, percent: in
     inside = longer.select("lang", "a", "size", "words", F.explode(F.sequence(F.lit(1), F.col("k") - F.col("size") + 1)).alias("from"))
     covers = inside.groupBy("lang", parts(F.col("from"), F.col("size")).alias("phrase")).agg(F.max("a").alias("longer"))
     kept = scored.join(covers, ["lang", "phrase"], "left").where(f"longer IS NULL OR 100 * longer < {percent} * a")
-    order = Window.partitionBy("lang").orderBy(F.desc("score"), F.desc("a"), F.asc("phrase"))
-    ranked = kept.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= top)  # limited before the shuffle, too
+    # a language's phrases are ranked in parts first: the last task has at most ``top`` rows of each part, however many phrases or tasks there are
+    order = [F.desc("score"), F.desc("a"), F.asc("phrase")]
+    first = lambda df, *by: df.withColumn("rank", F.row_number().over(Window.partitionBy(*by).orderBy(*order))).where(F.col("rank") <= top)
+    ranked = first(first(kept.withColumn("part", F.pmod(F.xxhash64("phrase"), F.lit(PARTS))), "lang", "part"), "lang")
     return ranked.join(totals, "lang").select("lang", F.col("rank").cast("long").alias("rank"), "phrase", "a", "l", "r", "n", "score")
 
 
