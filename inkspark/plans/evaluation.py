@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from inkspark.functions import geometry as G
 from inkspark.functions import text as T
+from inkspark.functions.json_schema import violations
 from inkspark.operators import evaluation, metrics, scoring, search, tree, validate
 from inkspark.plans.queries import query, table
 
@@ -259,3 +260,42 @@ def small_texts(spark: SparkSession, d: str) -> DataFrame:
         "p_partkey", T.same_reading("p_brand", other).alias("same"), T.same_text("p_name").alias("squeezed"), T.suffix(F.replace("p_name", F.lit(" "), F.lit("/"))).alias("suffix"),
         F.array_join(T.parse_aliases(F.concat_ws(",", F.lit(" a b "), F.lit(" "), "p_brand")), "|").alias("aliases"), kept.alias("kept"), distance.alias("distance"),
     ).where(k.isNotNull())
+
+
+_CUSTOMER = {
+    "type": "object", "required": ["id", "segment", "balance", "orders"], "additionalProperties": False,
+    "properties": {
+        "id": {"$ref": "#/$defs/Id"}, "segment": {"enum": ["BUILDING", "MACHINERY", "AUTOMOBILE"]}, "balance": {"type": "number", "minimum": 0}, "phone": {"type": "string", "maxLength": 15},
+        "nation": {"type": "object", "properties": {"key": {"type": "integer", "maximum": 20}, "name": {"type": "string", "minLength": 6}}},
+        "orders": {"type": "array", "minItems": 1, "items": {"type": "object", "required": ["price"], "properties": {"price": {"$ref": "#/$defs/Price"}, "day": {"type": "string", "format": "date-time"}}}},
+    },
+    "$defs": {"Id": {"type": "string", "pattern": "^c[0-9]{1,2}$"}, "Price": {"anyOf": [{"type": "number", "maximum": 200000}, {"type": "null"}]}},
+}
+
+
+@query("""
+WITH c AS (SELECT c_custkey AS k, c_mktsegment AS s, c_acctbal::DOUBLE AS b, c_nationkey AS n, n_name AS name FROM customer JOIN nation ON c_nationkey = n_nationkey),
+o AS (SELECT o_custkey AS k, row_number() OVER (PARTITION BY o_custkey ORDER BY o_orderkey) - 1 AS i, o_totalprice::DOUBLE AS p, o_orderkey % 3 AS bad FROM orders)
+SELECT k AS c_custkey, 'id: doesn''t match ^c[0-9]{1,2}$' AS violation FROM c WHERE k >= 100
+UNION ALL SELECT k, 'segment: isn''t one of BUILDING, MACHINERY, AUTOMOBILE' FROM c WHERE s NOT IN ('BUILDING', 'MACHINERY', 'AUTOMOBILE')
+UNION ALL SELECT k, '(top): balance is missing' FROM c WHERE k % 7 = 0 UNION ALL SELECT k, 'balance: is less than 0' FROM c WHERE k % 7 > 0 AND b < 0
+UNION ALL SELECT k, '(top): extra isn''t allowed' FROM c WHERE k % 11 = 0
+UNION ALL SELECT k, 'nation/key: is more than 20' FROM c WHERE n > 20 UNION ALL SELECT k, 'nation/name: has fewer than 6 characters' FROM c WHERE length(name) < 6
+UNION ALL SELECT k, 'orders: has fewer than 1 items' FROM c WHERE k NOT IN (SELECT k FROM o)
+UNION ALL SELECT k, 'orders/' || i || ': price is missing' FROM o WHERE bad = 0
+UNION ALL SELECT k, 'orders/' || i || '/price: fits none of 2 alternatives' FROM o WHERE bad > 0 AND p > 200000
+UNION ALL SELECT k, 'orders/' || i || '/day: isn''t a date and time' FROM o WHERE bad = 1
+""")
+def document_violations(spark: SparkSession, d: str) -> DataFrame:
+    """Customers with their orders as JSON documents against a schema with references, alternatives and item paths; a row for each violation."""
+    k = F.col("o_orderkey")
+    price, day = F.when(k % 3 > 0, F.col("o_totalprice").cast("double")), F.when(k % 3 == 1, "yesterday").otherwise("2024-05-06T07:08:09Z")
+    orders = table(spark, d, "orders").groupBy(F.col("o_custkey").alias("c_custkey")).agg(F.array_sort(F.collect_list(F.struct("o_orderkey", price.alias("price"), day.alias("day")))).alias("orders"))
+    orders = orders.select("c_custkey", F.transform("orders", lambda o: F.struct(o.price.alias("price"), o.day.alias("day"))).alias("orders"))
+    rows = table(spark, d, "customer").join(table(spark, d, "nation"), F.col("c_nationkey") == F.col("n_nationkey")).join(orders, "c_custkey", "left")
+    c = F.col("c_custkey")
+    document = F.struct(
+        F.concat(F.lit("c"), c.cast("string")).alias("id"), F.col("c_mktsegment").alias("segment"), F.when(c % 7 > 0, F.col("c_acctbal").cast("double")).alias("balance"),
+        F.when(c % 11 == 0, 1).alias("extra"), F.struct(F.col("c_nationkey").alias("key"), F.col("n_name").alias("name")).alias("nation"), F.coalesce("orders", F.array().cast(dict(orders.dtypes)["orders"])).alias("orders"),
+    )
+    return rows.select("c_custkey", F.to_json(document).alias("doc")).select("c_custkey", F.explode(violations("doc", _CUSTOMER)).alias("violation"))

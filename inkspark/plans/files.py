@@ -23,19 +23,22 @@ def csv_standards(spark: SparkSession, d: str) -> DataFrame:
 
 
 @query("""
-SELECT n_regionkey AS workspace_id, n_nationkey AS project_id, c_name AS node_id, CASE WHEN c_custkey % 2 = 0 THEN n_name END AS parent_id, 'PART' AS level, n_name || '/' || c_name AS path FROM customer JOIN nation ON c_nationkey = n_nationkey
+SELECT n_regionkey AS workspace_id, n_nationkey AS project_id, row_number() OVER (PARTITION BY n_nationkey ORDER BY c_custkey) AS seq, c_name AS node_id, CASE WHEN c_custkey % 2 = 0 THEN n_name END AS parent_id, CASE WHEN c_custkey % 5 = 0 THEN 'SUB' ELSE 'PART' END AS level,
+  n_name || '/' || c_name AS path FROM customer JOIN nation ON c_nationkey = n_nationkey
 """)
 def project_trees(spark: SparkSession, d: str) -> DataFrame:
-    """Tree files in a folder for each workspace and project."""
+    """Tree files in a folder for each workspace and project; some nodes come again with another level, which counts at their first place."""
     root = scratch(spark, "trees")
     rows = table(spark, d, "customer").join(F.broadcast(table(spark, d, "nation")), F.col("c_nationkey") == F.col("n_nationkey"))  # 25 nations
-    rows = rows.select("n_regionkey", "n_nationkey", F.col("c_name").alias("node_id"), F.when(F.col("c_custkey") % 2 == 0, F.col("n_name")).alias("parent_id"), F.lit("PART").alias("level"), F.concat_ws("/", "n_name", "c_name").alias("path"))
+    again = F.explode(F.when(F.col("c_custkey") % 5 == 0, F.array(F.lit(0), F.lit(1))).otherwise(F.array(F.lit(0)))).alias("again")
+    rows = rows.select("n_regionkey", "n_nationkey", "c_custkey", again, "c_name", "n_name")
+    rows = rows.select("n_regionkey", "n_nationkey", "c_custkey", "again", F.col("c_name").alias("node_id"), F.when(F.col("c_custkey") % 2 == 0, F.col("n_name")).alias("parent_id"), F.when(F.col("again") == 1, "SUB").otherwise("PART").alias("level"), F.concat_ws("/", "n_name", "c_name").alias("path"))
     # the folder names of the layout carry no column name: one write per workspace and project of this small table
     for r in table(spark, d, "nation").select("n_regionkey", "n_nationkey").orderBy("n_nationkey").collect():
         own = rows.where((F.col("n_nationkey") == r["n_nationkey"]))
-        own.drop("n_regionkey", "n_nationkey").coalesce(1).write.csv(f"{root}/workspaces/{r['n_regionkey']}/projects/{r['n_nationkey']}/assembly_tree.csv", header=True)
-    found = readers.project_files(spark, root, "assembly_tree.csv", readers.TREE)
-    return found.withColumns({"workspace_id": F.col("workspace_id").cast("int"), "project_id": F.col("project_id").cast("int")})
+        own.coalesce(1).sortWithinPartitions("again", "c_custkey").drop("n_regionkey", "n_nationkey", "again", "c_custkey").write.csv(f"{root}/workspaces/{r['n_regionkey']}/projects/{r['n_nationkey']}/assembly_tree.csv", header=True)
+    found = readers.project_trees(spark, root)
+    return found.withColumns({"workspace_id": F.col("workspace_id").cast("int"), "project_id": F.col("project_id").cast("int"), "seq": F.col("seq").cast("long")})
 
 
 @query("SELECT p_size % 4 AS file, p_brand AS code, CASE WHEN p_partkey % 2 = 0 THEN 'text' ELSE 'symbol' END AS kind, p_name AS meaning, 'a|' || p_type AS aliases, CASE WHEN p_size = 7 THEN 'FILLET' END AS joint, count(*) AS n FROM part GROUP BY ALL")

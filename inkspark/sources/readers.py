@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -33,11 +35,66 @@ def dictionary(spark: SparkSession, path: str) -> DataFrame:
     return rows.select(F.posexplode("entries").alias("seq", "e")).select("seq", "e.*")
 
 
+def _found(read: Callable[[], DataFrame], spark: SparkSession, schema: str) -> DataFrame:
+    """The files of a pattern; an empty table if there are none."""
+    try:
+        return read()
+    except Exception as error:  # noqa: BLE001  Spark has no class of its own for a missing path here
+        if "PATH_NOT_FOUND" in str(error):
+            return spark.createDataFrame([], schema)
+        raise
+
+
+def _folder(name: str) -> Column:
+    return F.regexp_extract("_path", rf"/{name}/([^/]+)/", 1)
+
+
 def project_files(spark: SparkSession, root: str, name: str, schema: str) -> DataFrame:
-    """CSV files ``<root>/workspaces/<id>/projects/<id>/<name>`` with the ids of their folders."""
-    rows = spark.read.csv(f"{root}/workspaces/*/projects/*/{name}", schema=schema, header=True, emptyValue="", nullValue="")
-    part = lambda folder: F.regexp_extract(F.col("_metadata.file_path"), rf"/{folder}/([^/]+)/", 1)
-    return rows.select(part("workspaces").alias("workspace_id"), part("projects").alias("project_id"), *rows.columns)
+    """CSV files ``<root>/workspaces/<id>/projects/<id>/<name>`` with the ids of their folders and ``place``, the order of a file's rows.
+
+    A file may be read in pieces by several tasks: a row's place is where its piece starts, then its number in the task. No file, no rows.
+    """
+    columns = [f.name for f in spark.createDataFrame([], schema).schema]
+    path, start = F.col("_metadata.file_path").alias("_path"), F.col("_metadata.file_block_start").alias("_start")
+    read = lambda: spark.read.csv(f"{root}/workspaces/*/projects/*/{name}", schema=schema, header=True, emptyValue="", nullValue="").select(path, start, *columns)
+    rows = _found(read, spark, f"_path string, _start long, {schema}")
+    place = F.struct("_start", F.monotonically_increasing_id().alias("row")).alias("place")
+    return rows.select(_folder("workspaces").alias("workspace_id"), _folder("projects").alias("project_id"), place, *columns)
+
+
+def project_trees(spark: SparkSession, root: str) -> DataFrame:
+    """The nodes of all projects with ``seq`` from 1 in a project: of rows with one node_id the last counts, at the place of the first."""
+    rows = project_files(spark, root, "assembly_tree.csv", TREE).where("node_id IS NOT NULL")
+    keys = ["workspace_id", "project_id", "node_id"]
+    rest = [c for c in rows.columns if c not in (*keys, "place")]
+    last = rows.groupBy(*keys).agg(F.min("place").alias("place"), F.max_by(F.struct(*rest), "place").alias("r"))
+    seq = F.row_number().over(Window.partitionBy(*keys[:2]).orderBy("place"))
+    return last.select(*keys, seq.alias("seq"), *[F.col("r")[c].alias(c) for c in rest])
+
+
+def project_documents(spark: SparkSession, root: str, name: str, schema: str, items: str | None = None) -> DataFrame:
+    """JSON files ``<root>/workspaces/<id>/projects/<id>/<name>``, one document each, with the ids of their folders, which win over fields of
+    these names; with ``items`` the elements of that field, numbered by ``seq`` from 1."""
+    inner = f"{items} array<{spark.createDataFrame([], schema).schema.simpleString()}>" if items else schema
+    names = [c for c in spark.createDataFrame([], schema).columns if c not in ("workspace_id", "project_id")]
+    read = lambda: spark.read.json(f"{root}/workspaces/*/projects/*/{name}", schema=inner, multiLine=True).select(F.col("_metadata.file_path").alias("_path"), "*")
+    rows = _found(read, spark, f"_path string, {inner}")
+    ids = [_folder("workspaces").alias("workspace_id"), _folder("projects").alias("project_id")]
+    if items is None:
+        return rows.select(*ids, *names)
+    each = rows.select(*ids, F.posexplode(items).alias("seq", "e"))
+    return each.select("workspace_id", "project_id", (F.col("seq") + 1).alias("seq"), *[F.col("e")[c].alias(c) for c in names])
+
+
+def projects(spark: SparkSession, root: str, schema: str) -> DataFrame:
+    """``project.json`` of every project, numbered by ``position`` in the order of the folders' names."""
+    rows = project_documents(spark, root, "project.json", schema)
+    return rows.withColumn("position", F.row_number().over(Window.partitionBy("workspace_id").orderBy("project_id")))
+
+
+def project_jobs(spark: SparkSession, root: str, schema: str) -> DataFrame:
+    """The jobs of ``jobs.json`` of every project in their order; projects without the file have none."""
+    return project_documents(spark, root, "jobs.json", schema, "jobs")
 
 
 def collection(docs: DataFrame, name: str, schema: str) -> DataFrame:
