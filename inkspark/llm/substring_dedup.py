@@ -18,7 +18,8 @@
 A word is a run of characters other than ASCII white space, A-Z lower-cased. Positions count words of the whole text.
 
 Defined results: null, empty and short texts have no passages; the first document with a passage keeps it and isn't reported
-for it; repeats inside one document aren't reported. Rows that share id and text count as one. Rows that share an id but not
+for it; repeats inside one document aren't reported. A run that repeats (one word, or a few, over and over) is reported by the
+fewest pieces of each source that cover it, not by one for every shift. Rows that share id and text count as one. Rows that share an id but not
 the text are documents of their own (``keyed``): each is searched and cut by its own spans, reported under the shared id,
 and may be the source of another; one of them comes in the order of ids, the others after all ids, by a hash. Rows with a
 null id take no part and stay as they are. Other columns don't take part, whatever their names.
@@ -48,6 +49,7 @@ GAP_COST = 0.2
 EDGE, EDGE_OF_ONE, GRID = 128, 64, 32  # words fetched beyond a chain; a chain of one match has other seeds nearby if it goes on
 PIECE, IDENTITY = 15, 0.8
 MERGE_GAP = 4
+STEP = 8
 MIN_WORDS = 50
 
 _WORD = re.compile(r"[^\x20\x09-\x0D]+")
@@ -170,23 +172,45 @@ def chains(pos: np.ndarray, src: np.ndarray) -> list[np.ndarray]:
     return out
 
 
-_CHAINS = "doc_id long, src_id long, chain int, pos array<int>, src array<int>"
+_CHAINS = "doc_id long, src_id long, src_lo int, src_hi int, paths array<struct<pos:array<int>,src:array<int>>>"
+
+
+def _thinned(paths: list[tuple[np.ndarray, np.ndarray]]) -> list[tuple[np.ndarray, np.ndarray]]:
+    """The chains without most of the single matches of a run that repeats within ``STEP`` words: they lead from near places of the document to one
+    place of the source, and the first, the last and one in ``STEP`` words between reach as far together."""
+    out = [p for p in paths if len(p[0]) > 1]
+    single: dict[int, list[int]] = {}
+    for pos, src in paths:
+        if len(pos) == 1:
+            single.setdefault(int(src[0]), []).append(int(pos[0]))
+    for src, places in single.items():
+        places.sort()
+        last = None
+        for at, after in zip(places, [*places[1:], None]):
+            if last is None or after is None or after - last > STEP:
+                out.append((np.array([at]), np.array([src])))
+                last = at
+    return out
 
 
 def _chained(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """The chains of each document and source by the range of source words that they need."""
+    kinds = [pa.int64(), pa.int64(), pa.int32(), pa.int32(), pa.list_(pa.struct([("pos", pa.list_(pa.int32())), ("src", pa.list_(pa.int32()))]))]
     for batch in batches:
-        out: dict[str, list] = {k: [] for k in ("doc_id", "src_id", "chain", "pos", "src")}
+        out: dict[str, list] = {k: [] for k in ("doc_id", "src_id", "src_lo", "src_hi", "paths")}
         docs, srcs = batch.column("doc_id").to_pylist(), batch.column("src_id").to_pylist()
         pos, src = batch.column("pos"), batch.column("src")
         for i in range(batch.num_rows):
             a, b = pos[i].values.to_numpy().astype(np.int64), src[i].values.to_numpy().astype(np.int64)
-            for c, path in enumerate(chains(a, b)):
-                for k, v in zip(out, (docs[i], srcs[i], c, a[path].astype(np.int32), b[path].astype(np.int32))):
+            by_range: dict[tuple[int, int], list] = {}
+            for path in chains(a, b):
+                edge = EDGE_OF_ONE if len(path) == 1 else EDGE
+                lo, hi = max(0, (int(b[path].min()) - edge) // GRID * GRID), -(-(int(b[path].max()) + K + edge) // GRID) * GRID
+                by_range.setdefault((lo, hi), []).append((a[path], b[path]))
+            for (lo, hi), paths in by_range.items():
+                for k, v in zip(out, (docs[i], srcs[i], lo, hi, [{"pos": x.astype(np.int32), "src": y.astype(np.int32)} for x, y in _thinned(paths)])):
                     out[k].append(v)
-        yield pa.RecordBatch.from_arrays(
-            [pa.array(out["doc_id"], pa.int64()), pa.array(out["src_id"], pa.int64()), pa.array(out["chain"], pa.int32()), pa.array(out["pos"], pa.list_(pa.int32())), pa.array(out["src"], pa.list_(pa.int32()))],
-            names=list(out),
-        )
+        yield pa.RecordBatch.from_arrays([pa.array(v, t) for v, t in zip(out.values(), kinds)], names=list(out))
 
 
 def _short(h: np.ndarray) -> np.ndarray:
@@ -305,8 +329,26 @@ def parts(left: np.ndarray, right: np.ndarray) -> list[tuple[int, int, int, int,
 _PIECE = ["doc_id", "src_id", "start_word", "end_word", "source_start", "source_end", "matched"]
 
 
+def _covering(pieces: list[tuple]) -> list[tuple]:
+    """The fewest pieces of one source that cover the same words of the document: a run that repeats aligns with the source at every shift."""
+    left, kept, reach = sorted(set(pieces), key=lambda r: (r[2], -r[3])), [], -1
+    at = 0
+    while at < len(left):
+        best = None
+        if left[at][2] > reach:
+            best, at = left[at], at + 1
+        while at < len(left) and left[at][2] <= reach:
+            if left[at][3] > (best[3] if best else reach):
+                best = left[at]
+            at += 1
+        if best:
+            kept.append(best)
+            reach = best[3]
+    return kept
+
+
 def _aligned(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """The pieces of each document from its text and its chains, which carry the source's words."""
+    """The pieces of each document from its text and its chains, which come with the source's words."""
     for whole in batches:
         for batch in slices(whole, "text"):
             offsets, h = word_hashes(batch.column("text"))
@@ -314,17 +356,20 @@ def _aligned(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             ids, lists = batch.column("doc_id").to_pylist(), batch.column("chains")
             for i in range(batch.num_rows):
                 rows = lists[i].values
-                field = {k: rows.field(k) for k in ("src_id", "pos", "src", "src_lo", "src_words")}
+                field = {k: rows.field(k) for k in ("src_id", "src_lo", "src_words", "paths")}
                 text = h[offsets[i] : offsets[i + 1]]
+                found: dict[int, list[tuple]] = {}
                 for j in range(len(rows)):
-                    arr = lambda k: field[k][j].values.to_numpy()  # noqa: E731, B023
-                    src, lo = field["src_id"][j].as_py(), field["src_lo"][j].as_py()
-                    pos = arr("pos").astype(np.int64)
-                    # only the words that the source's range can reach
-                    a, b = max(0, int(pos[0]) - 2 * EDGE), int(pos[-1]) + K + 2 * EDGE
-                    for s, e, ss, se, m in parts(*align(text[a:b], arr("src_words"), pos - a, arr("src").astype(np.int64) - lo)):
-                        out.append((ids[i], src, s + a, e + a, ss + lo, se + lo, m))
-            out = list(dict.fromkeys(out))  # two chains of one source may end in the same piece
+                    src, lo, theirs = field["src_id"][j].as_py(), field["src_lo"][j].as_py(), field["src_words"][j].values.to_numpy()
+                    paths = field["paths"][j].values
+                    for all_pos, all_src in zip(paths.field("pos"), paths.field("src")):
+                        pos, at = all_pos.values.to_numpy().astype(np.int64), all_src.values.to_numpy().astype(np.int64)
+                        # only the words that the source's range can reach
+                        a, b = max(0, int(pos[0]) - 2 * EDGE), int(pos[-1]) + K + 2 * EDGE
+                        for s, e, ss, se, m in parts(*align(text[a:b], theirs, pos - a, at - lo)):
+                            found.setdefault(src, []).append((ids[i], src, s + a, e + a, ss + lo, se + lo, m))
+                for pieces in found.values():
+                    out += _covering(pieces)
             yield pa.RecordBatch.from_arrays([pa.array([r[j] for r in out], pa.int64()) for j in range(len(_PIECE))], names=_PIECE)
 
 
@@ -377,10 +422,7 @@ def repeated_pieces(texts: DataFrame) -> DataFrame:
         .agg(F.collect_set(F.struct("pos", "src")).alias("m"))
         .select("doc_id", "src_id", F.col("m.pos").alias("pos"), F.col("m.src").alias("src"))
     )
-    edge = F.when(F.size("src") == 1, EDGE_OF_ONE).otherwise(EDGE)
-    lo = F.greatest(F.lit(0), F.floor((F.array_min("src") - edge) / GRID) * GRID).cast("int")
-    hi = (F.ceil((F.array_max("src") + K + edge) / GRID) * GRID).cast("int")
-    found = written(grouped.mapInArrow(_chained, _CHAINS).withColumns({"src_lo": lo, "src_hi": hi}), "passage-chains")
+    found = written(grouped.mapInArrow(_chained, _CHAINS), "passage-chains")
 
     # the words of the sources first: few documents, each range once
     ranges = found.groupBy("src_id").agg(F.collect_set(F.struct(F.col("src_lo").alias("lo"), F.col("src_hi").alias("hi"))).alias("ranges"))
@@ -392,7 +434,7 @@ def repeated_pieces(texts: DataFrame) -> DataFrame:
     chained = (
         found.join(theirs.hint("merge"), ["src_id", "src_lo", "src_hi"])
         .groupBy("doc_id")
-        .agg(F.collect_list(F.struct("src_id", "pos", "src", "src_lo", "src_words")).alias("chains"))
+        .agg(F.collect_list(F.struct("src_id", "src_lo", "src_words", "paths")).alias("chains"))
     )
     ids = written(found.select("doc_id").distinct(), "passage-ids")
     near = with_keys_of(texts, ids, "doc_id", exact=False).groupBy("doc_id").agg(F.min("text").alias("text"))

@@ -63,3 +63,27 @@ def test_exact_copies_are_found_among_many_varying_forms(spark):
         wanted.add(len(rows) - 1)
     got = passages(spark, rows)
     assert set(got) == wanted and min(got.values()) >= 62
+
+
+def test_runs_that_repeat_give_few_rows(spark):
+    """One word or a few over and over, in the source, in the document, or in both: rows follow the length over the source's, and all is covered."""
+    rng = random.Random(9)
+    period = " ".join(make(rng, 3))
+    prose = make(rng, 60)
+    texts = {
+        1: "of " * 200, 2: "of " * 500, 3: "of " * 4000,  # the source is the shorter one
+        10: f"{period} " * 400, 11: f"{period} " * 30, 12: f"{period} " * 900,  # and the longer one
+        20: " ".join(prose), 21: " ".join(prose * 8),  # a source without repeats
+        30: " ".join(make(rng, 60) * 6), 31: "x",
+    }
+    texts[31] = " ".join(texts[30].split()[:60])
+    found = substring_dedup.repeated_passages(spark.createDataFrame(list(texts.items()), "doc_id long, text string")).collect()
+    by_doc = {i: [r for r in found if r.doc_id == i] for i in texts}
+    assert not by_doc[1] and not by_doc[10] and not by_doc[20] and not by_doc[30]
+    for i, most in ((2, 8), (3, 60), (11, 6), (12, 20), (21, 12), (31, 2)):
+        n = len(texts[i].split())
+        assert 0 < len(by_doc[i]) <= most, (i, len(by_doc[i]))
+        covered = set()
+        for r in by_doc[i]:
+            covered |= set(range(r.start_word, r.end_word))
+        assert len(covered) >= n - 4, (i, len(covered), n)
