@@ -128,7 +128,8 @@ def part_of(photos: DataFrame, readings: DataFrame, nodes: DataFrame, correction
     texts = readings.where("kind = 'text'")
     hits = tree.hits(texts, nodes, keys, tree_keys)
     best = tree.best_part(hits, keys).select(*keys, F.struct("node_id", "assembly_path", "level", "ref_ids", "other_ref_ids").alias("hit"))
-    repaired = hits.where("fixed IS NOT NULL").select(*keys, F.lit(True).alias("repaired")).distinct()
+    own = hits.where("fixed IS NOT NULL").join(best.select(*keys, F.col("hit.assembly_path").alias("own_path")), keys)
+    repaired = own.where(tree.on_path(F.col("node.path"), F.col("own_path"))).select(*keys, F.lit(True).alias("repaired")).distinct()
     fixed = corrections.where("target = 'part'").select(*keys, F.col("value").alias("fixed_path"))
     like = first_by(texts.where(normalize("value").rlike(PART_LIKE)).select(*keys, "value", "ref_id", "seq"), keys, "seq").select(*keys, F.struct("value", "ref_id").alias("like"))
     rows = photos

@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from inkspark.functions import geometry as G
+from inkspark.functions import quads
 from inkspark.functions import text as T
 from inkspark.functions.json_schema import violations
 from inkspark.operators import evaluation, metrics, scoring, search, tree, validate
@@ -299,3 +300,17 @@ def document_violations(spark: SparkSession, d: str) -> DataFrame:
         F.when(c % 11 == 0, 1).alias("extra"), F.struct(F.col("c_nationkey").alias("key"), F.col("n_name").alias("name")).alias("nation"), F.coalesce("orders", F.array().cast(dict(orders.dtypes)["orders"])).alias("orders"),
     )
     return rows.select("c_custkey", F.to_json(document).alias("doc")).select("c_custkey", F.explode(violations("doc", _CUSTOMER)).alias("violation"))
+
+
+@query("""
+WITH p AS (SELECT l_orderkey AS k, l_partkey % 97 AS x, l_suppkey % 61 AS y FROM lineitem UNION SELECT l_orderkey, l_partkey % 97 + 5, l_suppkey % 61 + l_linenumber FROM lineitem),
+e AS (SELECT a.k, a.x AS ax, a.y AS ay, b.x - a.x AS dx, b.y - a.y AS dy FROM p a JOIN p b ON a.k = b.k AND (a.x, a.y) <> (b.x, b.y)),
+s AS (SELECT e.k, ax, ay, dx, dy, min(dx * (p.y - ay) - dy * (p.x - ax)) AS low, max(dx * (p.y - ay) - dy * (p.x - ax)) AS high, max(dx * p.x + dy * p.y) - min(dx * p.x + dy * p.y) AS along FROM e JOIN p ON p.k = e.k GROUP BY ALL)
+SELECT k AS l_orderkey, round(min(along * high::DOUBLE / (dx * dx + dy * dy)), 6) AS area FROM s WHERE low = 0 GROUP BY k
+""")
+def least_quads(spark: SparkSession, d: str) -> DataFrame:
+    """The least rectangle around two points of each line of an order; the SQL tries every pair of points as a side."""
+    x, y = (F.col("l_partkey") % 97).cast("double"), (F.col("l_suppkey") % 61).cast("double")
+    points = F.explode(F.array(F.array(x, y), F.array(x + 5, y + F.col("l_linenumber"))))
+    polygons = table(spark, d, "lineitem").select("l_orderkey", points.alias("p")).groupBy("l_orderkey").agg(F.collect_list("p").alias("polygon"))
+    return polygons.select("l_orderkey", F.round(quads.quad_area(quads.least_quad("polygon")), 6).alias("area"))
