@@ -31,7 +31,7 @@ from inkspark.llm.byte_words import byte_classes, byte_words
 from inkspark.llm.store import dropped, source, written
 from inkspark.llm.words import hash_strings, mix, ngram_hashes, signed, slices
 
-SLICE_BYTES = 8 << 20
+SLICE_BYTES = 5 << 20
 CLASSES = byte_classes(b"\x20\x09", b".,;:!?\x0a\x0b\x0c\x0d")
 BLOCK = 1 << 14
 FEWEST_BUCKETS = 1 << 16
@@ -41,9 +41,9 @@ PASS_KIND = pa.schema([("lang", pa.string()), ("phrase", pa.string()), ("h", pa.
 
 
 def bucket_count(text_bytes: int, most: int) -> int:
-    """Buckets for so much text: a power of two, about one for eight bytes."""
+    """Buckets for so much text: a power of two, about one for sixteen bytes."""
     n = FEWEST_BUCKETS
-    while n < text_bytes // 8 and 2 * n <= most:
+    while n < text_bytes // 16 and 2 * n <= most:
         n *= 2
     return n
 
