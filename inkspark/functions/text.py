@@ -200,6 +200,11 @@ def natural_key(path: Column | str, width: int = 12) -> Column:
     )
 
 
+def collated(path: Column | str) -> Column:
+    """The text with the order that people expect in lists: letters before their capitals, accents beside their letters, scripts apart."""
+    return F.collate(_c(path), "UNICODE")
+
+
 def suffix(path: Column | str) -> Column:
     """What follows the last ``/``."""
     return F.substring_index(_c(path), "/", -1)

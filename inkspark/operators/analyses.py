@@ -104,12 +104,14 @@ def revision_chain(reviews: DataFrame, current: DataFrame, keys: list[str]) -> D
 def flow_errors(first: DataFrame, second: DataFrame) -> DataFrame:
     """(job_id, errors): what is wrong between a revision and the next one of a job.
 
-    Columns: job_id, workspace_id, image_id, revision, vision, status.
+    Columns: job_id, workspace_id, project_id, image_id, revision, vision, status.
     """
-    a = first.select("job_id", *[F.col(c).alias(f"a_{c}") for c in ("workspace_id", "image_id", "revision", "vision", "status")])
-    b = second.select("job_id", *[F.col(c).alias(f"b_{c}") for c in ("workspace_id", "image_id", "revision", "vision", "status")])
+    names = ("workspace_id", "project_id", "image_id", "revision", "vision", "status")
+    a = first.select("job_id", *[F.col(c).alias(f"a_{c}") for c in names])
+    b = second.select("job_id", *[F.col(c).alias(f"b_{c}") for c in names])
     rules = {
         "workspace_changed": F.col("a_workspace_id").eqNullSafe(F.col("b_workspace_id")),
+        "project_changed": F.col("a_project_id").eqNullSafe(F.col("b_project_id")),
         "image_changed": F.col("a_image_id").eqNullSafe(F.col("b_image_id")),
         "revision_number": F.col("b_revision") == F.col("a_revision") + 1,
         "vision_changed": F.col("a_vision").eqNullSafe(F.col("b_vision")),

@@ -86,13 +86,13 @@ def revision_chain(spark: SparkSession, d: str) -> DataFrame:
 
 
 @query("""
-SELECT o_orderkey AS job_id, concat_ws(',', CASE WHEN o_orderkey % 5 = 0 THEN 'workspace_changed' END, CASE WHEN o_orderkey % 7 = 0 THEN 'revision_number' END, CASE WHEN o_orderkey % 3 = 0 THEN 'vision_changed' END, CASE WHEN o_orderstatus <> 'F' THEN 'status_order' END) AS errors FROM orders
+SELECT o_orderkey AS job_id, concat_ws(',', CASE WHEN o_orderkey % 5 = 0 THEN 'workspace_changed' END, CASE WHEN o_orderkey % 4 = 1 THEN 'project_changed' END, CASE WHEN o_orderkey % 7 = 0 THEN 'revision_number' END, CASE WHEN o_orderkey % 3 = 0 THEN 'vision_changed' END, CASE WHEN o_orderstatus <> 'F' THEN 'status_order' END) AS errors FROM orders
 """)
 def flow_checks(spark: SparkSession, d: str) -> DataFrame:
     k = F.col("o_orderkey")
-    row = lambda space, rev, vision, status: table(spark, d, "orders").select(k.alias("job_id"), space.alias("workspace_id"), F.lit("img").alias("image_id"), rev.alias("revision"), vision.alias("vision"), status.alias("status"))
-    first = row(F.lit(1), F.lit(1), F.array(F.lit("a"), F.lit("b")), F.lit("needs_review"))
-    second = row(F.when(k % 5 == 0, 2).otherwise(1), F.when(k % 7 == 0, 3).otherwise(2), F.when(k % 3 == 0, F.array(F.lit("b"))).otherwise(F.array(F.lit("a"), F.lit("b"))), F.when(F.col("o_orderstatus") == "F", "awaiting_approval").otherwise("needs_review"))
+    row = lambda space, project, rev, vision, status: table(spark, d, "orders").select(k.alias("job_id"), space.alias("workspace_id"), project.cast("string").alias("project_id"), F.lit("img").alias("image_id"), rev.alias("revision"), vision.alias("vision"), status.alias("status"))
+    first = row(F.lit(1), F.lit("p"), F.lit(1), F.array(F.lit("a"), F.lit("b")), F.lit("needs_review"))
+    second = row(F.when(k % 5 == 0, 2).otherwise(1), F.when(k % 4 != 1, "p"), F.when(k % 7 == 0, 3).otherwise(2), F.when(k % 3 == 0, F.array(F.lit("b"))).otherwise(F.array(F.lit("a"), F.lit("b"))), F.when(F.col("o_orderstatus") == "F", "awaiting_approval").otherwise("needs_review"))
     return analyses.flow_errors(first, second).select("job_id", F.array_join("errors", ",").alias("errors"))
 
 

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from inkspark.functions import geometry as G
@@ -193,3 +193,16 @@ def leg_repairs(spark: SparkSession, d: str) -> DataFrame:
 
     digits = F.when(F.col("p_size") % 3 == 0, "55").when(F.col("p_size") % 3 == 1, "120").otherwise("6")
     return table(spark, d, "part").select("p_partkey", leg_fix(F.lit("F"), digits).alias("restored"), implausible_leg(digits).alias("size"), V.first_text(F.lit(" "), F.lit("F")).alias("first"))
+
+
+@query("""
+WITH n AS (SELECT c_custkey, c_nationkey, CASE c_custkey % 6 WHEN 0 THEN 'B/' WHEN 1 THEN 'b/' WHEN 2 THEN 'Ä/' WHEN 3 THEN '좌현/' WHEN 4 THEN '1' ELSE 'a' END || CASE WHEN c_custkey % 4 = 0 THEN lower(c_name) ELSE c_name END AS path FROM customer WHERE c_mktsegment <> 'BUILDING')
+SELECT c_custkey, row_number() OVER (PARTITION BY c_nationkey ORDER BY path COLLATE de) AS place FROM n
+""")
+def parent_picker(spark: SparkSession, d: str) -> DataFrame:
+    """Nodes that may be parents, by their paths as people order them: digits, Latin with capitals and accents, Korean."""
+    k = F.col("c_custkey")
+    head = F.get(F.array(*map(F.lit, ("B/", "b/", "Ä/", "좌현/", "1", "a"))), (k % 6).cast("int"))
+    rows = table(spark, d, "customer").where("c_mktsegment <> 'BUILDING'").withColumn("path", F.concat(head, F.when(k % 4 == 0, F.lower("c_name")).otherwise(F.col("c_name"))))
+    place = F.row_number().over(Window.partitionBy("c_nationkey").orderBy(T.collated("path")))
+    return rows.select("c_custkey", place.cast("long").alias("place"))
