@@ -9,6 +9,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from inkspark.functions.geometry import valid_box
 from inkspark.functions.text import normalize
 from inkspark.functions.values import json_text
 from inkspark.operators.validate import violations
@@ -182,7 +183,25 @@ def stable_ids(items: DataFrame, previous: DataFrame, known: DataFrame, echoes:
     used = old.groupBy(*keys).agg(F.collect_set(F.substring("old", 2, 18).cast("int")).alias("used"))
     rows = rows.join(used, keys, "left").withColumn("used", F.coalesce("used", F.array().cast("array<int>")))
     free = F.array_except(F.sequence(F.lit(1), F.size("used") + F.coalesce("nth", F.lit(1))), "used")
-    return rows.select(*keys, "seq", "kind", "value", F.coalesce("new_id", F.concat(F.lit("v"), F.get(free, F.col("nth") - 1).cast("string"))).alias("ref_id"))
+    return rows.select(*keys, "seq", "kind", "value", F.coalesce("new_id", F.concat(F.lit("v"), F.get(free, F.col("nth") - 1).cast("string"))).alias("ref_id"), F.col("ref_id").alias("said"))
+
+
+def resolved(items: DataFrame, previous: DataFrame, known: DataFrame, echoes: DataFrame, meanings: DataFrame, sizes: DataFrame, keys: list[str]) -> DataFrame:
+    """keys, seq, kind, value, ref_id, box, meaning: a second reader's answer with ids as ``stable_ids``, boxes of the original image and the meanings
+    that it gave, which name its own temporary ids.
+
+    ``items``: as there, with box array<double> instead of has_box. ``meanings``: keys, seq, ref_id, meaning; the last of an id counts. ``sizes``: keys,
+    width, height, scale_x, scale_y from the image that was sent to the original. A box that isn't four numbers from 0 on is null.
+    """
+    boxed = items.withColumn("has_box", valid_box(F.col("box")))
+    ids = stable_ids(boxed.drop("box"), previous, known, echoes, keys)
+    box = lambda i, scale, most: F.least(F.bround(F.col("box")[i] * F.col(scale)), F.col(most).cast("double"))
+    same = (F.col("scale_x") == 1) & (F.col("scale_y") == 1)
+    moved = F.when(same, F.col("box")).otherwise(F.array(box(0, "scale_x", "width"), box(1, "scale_y", "height"), box(2, "scale_x", "width"), box(3, "scale_y", "height")))
+    rows = ids.join(boxed.select(*keys, "seq", "box", "has_box"), [*keys, "seq"]).join(sizes, keys).withColumn("box", F.when(F.col("has_box"), moved))
+    named = ids.where("said <> ref_id").groupBy(*keys, F.col("said").alias("ref_id")).agg(F.max_by("ref_id", "seq").alias("now"))
+    told = meanings.where("trim(meaning) <> ''").join(named, [*keys, "ref_id"], "left").groupBy(*keys, F.coalesce("now", "ref_id").alias("ref_id")).agg(F.trim(F.max_by("meaning", "seq")).alias("meaning"))
+    return rows.join(told, [*keys, "ref_id"], "left").select(*keys, "seq", "kind", "value", "ref_id", "box", "meaning")
 
 
 def kept_corrected(resolved: DataFrame, previous: DataFrame, corrections: DataFrame, keys: list[str]) -> DataFrame:

@@ -138,15 +138,8 @@ def reader_probabilities(spark: SparkSession, d: str) -> DataFrame:
     return g.select("user_id", "token_prob", prob.alias("reader_prob"), analyses.mean_probability(F.col("logs")).alias("geometric"))
 
 
-@query("""
-WITH i AS (SELECT user_id, event_id, event_type AS value, CASE WHEN event_id % 4 = 0 THEN 't' || event_id ELSE 'new' END AS ref, event_id % 2 = 0 AS boxed FROM events WHERE NOT (event_type = 'error' AND event_id % 2 = 1)),
-p AS (SELECT *, CASE WHEN ref <> 'new' THEN ref END AS own FROM i),
-o AS (SELECT *, CASE WHEN own IS NULL AND value = 'click' AND row_number() OVER (PARTITION BY user_id, value, own IS NULL ORDER BY event_id) = 1 THEN 'v10' ELSE own END AS id FROM p),
-n AS (SELECT *, row_number() OVER (PARTITION BY user_id, id IS NULL ORDER BY event_id) AS nth FROM o)
-SELECT user_id, event_id, coalesce(id, 'v' || CASE WHEN nth >= 10 THEN nth + 1 ELSE nth END) AS ref_id FROM n
-""")
-def stable_reading_ids(spark: SparkSession, d: str) -> DataFrame:
-    """Ids of second readings: known refs stay, one marking keeps v10, its last id of the revision before, not v9; the rest take free numbers."""
+def _second_items(spark: SparkSession, d: str) -> tuple[DataFrame, DataFrame, DataFrame, DataFrame]:
+    """Events as a second reader's items, the ids of the revision before, those of the first reader, and what a person gave."""
     k = F.col("event_id")
     e = table(spark, d, "events")
     items = e.select("user_id", k.alias("seq"), F.when(k % 4 == 0, F.concat(F.lit("t"), k.cast("string"))).otherwise("new").alias("ref_id"), F.lit("text").alias("kind"), F.col("event_type").alias("value"), (k % 2 == 0).alias("has_box"))
@@ -155,9 +148,43 @@ def stable_reading_ids(spark: SparkSession, d: str) -> DataFrame:
     previous = before(1, "v9").union(before(2, "v10"))
     echoes = users.select("user_id", F.lit("text").alias("kind"), F.lit("Error").alias("value"))
     known = e.where("event_id % 4 = 0").select("user_id", F.concat(F.lit("t"), k.cast("string")).alias("ref_id"))
+    return items, previous, known, echoes
+
+
+_STABLE = """
+WITH i AS (SELECT user_id, event_id, event_type AS value, CASE WHEN event_id % 4 = 0 THEN 't' || event_id ELSE 'new' END AS ref, event_id % 2 = 0 AS boxed FROM events WHERE NOT (event_type = 'error' AND event_id % 2 = 1)),
+p AS (SELECT *, CASE WHEN ref <> 'new' THEN ref END AS own FROM i),
+o AS (SELECT *, CASE WHEN own IS NULL AND value = 'click' AND row_number() OVER (PARTITION BY user_id, value, own IS NULL ORDER BY event_id) = 1 THEN 'v10' ELSE own END AS id FROM p),
+n AS (SELECT *, row_number() OVER (PARTITION BY user_id, id IS NULL ORDER BY event_id) AS nth FROM o)
+SELECT user_id, event_id, coalesce(id, 'v' || CASE WHEN nth >= 10 THEN nth + 1 ELSE nth END) AS ref_id FROM n
+"""
+
+
+@query(_STABLE)
+def stable_reading_ids(spark: SparkSession, d: str) -> DataFrame:
+    """Ids of second readings: known refs stay, one marking keeps v10, its last id of the revision before, not v9; the rest take free numbers."""
+    items, previous, known, echoes = _second_items(spark, d)
     return analyses.stable_ids(items, previous, known, echoes, ["user_id"]).select("user_id", F.col("seq").alias("event_id"), "ref_id")
 
 
+@query(f"""
+WITH s AS ({_STABLE}), e AS (SELECT user_id, event_id, event_type AS value, CASE WHEN event_id % 4 = 0 THEN 't' || event_id ELSE 'new' END AS said FROM events),
+a AS (SELECT user_id, arg_max(ref_id, event_id) AS now FROM s JOIN e USING (user_id, event_id) WHERE said = 'new' GROUP BY user_id),
+m AS (SELECT user_id, event_id, coalesce(CASE WHEN said = 'new' THEN now END, said) AS ref_id, 'means ' || event_id AS meaning FROM e LEFT JOIN a USING (user_id) WHERE event_id % 3 = 0),
+l AS (SELECT user_id, ref_id, arg_max(meaning, event_id) AS meaning FROM m GROUP BY ALL)
+SELECT s.user_id, s.event_id, s.ref_id, CASE WHEN s.event_id % 2 = 0 THEN least(round_even((s.event_id % 50 + 5) * 2.5::DOUBLE, 0), 100) END AS x2, CASE WHEN s.event_id % 2 = 0 THEN least((s.event_id % 30 + 7) * 2.0::DOUBLE, 60) END AS y2, l.meaning FROM s LEFT JOIN l ON l.user_id = s.user_id AND l.ref_id = s.ref_id
+""")
+def resolved_readings(spark: SparkSession, d: str) -> DataFrame:
+    """The same items with boxes of the sent image and meanings under their temporary ids."""
+    items, previous, known, echoes = _second_items(spark, d)
+    n = F.col("seq").cast("double")
+    items = items.withColumn("box", F.when(F.col("has_box"), F.array(n % 50, n % 30, n % 50 + 5, n % 30 + 7)).otherwise(F.array(n, -n))).drop("has_box")
+    meanings = items.where("seq % 3 = 0").select("user_id", "seq", "ref_id", F.concat(F.lit("means "), F.col("seq").cast("string")).alias("meaning"))
+    sizes = items.select("user_id", F.lit(100).alias("width"), F.lit(60).alias("height"), F.lit(2.5).alias("scale_x"), F.lit(2.0).alias("scale_y")).distinct()
+    found = analyses.resolved(items, previous, known, echoes, meanings, sizes, ["user_id"])
+    return found.select("user_id", F.col("seq").alias("event_id"), "ref_id", F.get("box", 2).alias("x2"), F.get("box", 3).alias("y2"), "meaning")
+
+
 @query("""
 SELECT user_id, 'v' || event_id AS ref_id, false AS kept FROM events WHERE event_id % 3 = 0 UNION ALL SELECT user_id, 'v' || event_id, true FROM events WHERE event_id % 3 <> 0 AND event_id % 5 = 0
 """)
