@@ -19,7 +19,19 @@ def _c(value: Column | str) -> Column:
 
 def short_number(value: Column | str) -> Column:
     """A number with at most six significant digits and without closing zeros (``%g``): 1234.5678 is ``1234.57``, 1234567 is ``1.23457e+06``."""
-    return bound(F.format_string("%.5e", _c(value).cast("double")), _plain_digits)
+    return bound(bound(_c(value).cast("double"), _six_digits), _plain_digits)
+
+
+def _six_digits(x: Column) -> Column:
+    """``d.ddddde+xx`` as C rounds it: by the exact binary value, halves to the even digit (``format_number`` sends halves up)."""
+    six, seven = (F.call_function("format_number", x, F.lit(f"0.{'0' * n}E00")) for n in (5, 6))
+    digits = F.regexp_replace(F.regexp_extract(seven, r"([0-9.]+)E", 1), r"\.", "").try_cast("long")
+    k = F.regexp_extract(seven, "E(.*)$", 1).try_cast("int") - 6
+    # odd digits times ten to the k are a double of their own if five to the k divides them, or leaves at most 53 bits
+    whole = F.when(k < 0, F.pmod(digits, F.pow(F.lit(5.0), F.least(-k, F.lit(12))).cast("long")) == 0).otherwise(digits * F.pow(F.lit(5.0), F.least(k, F.lit(30))) < float(1 << 53))
+    half = seven.rlike("[02468]5E") & (seven.try_cast("double") == x) & whole
+    text = F.when(half, F.regexp_replace(seven, "5E", "E")).otherwise(six)
+    return F.replace(F.regexp_replace(text, "E([0-9])", "e+$1"), F.lit("E"), F.lit("e"))
 
 
 def _plain_digits(text: Column) -> Column:
@@ -30,7 +42,7 @@ def _plain_digits(text: Column) -> Column:
     below = F.concat(F.lit("0."), F.repeat(F.lit("0"), -1 - power), digits)
     within = F.concat(F.substring(digits, F.lit(1), power + 1), F.lit("."), F.substring(digits, power + 2, F.lit(6)))
     return (
-        F.when(power.isNull(), F.lower(text))
+        F.when(power.isNull(), F.lower(F.replace(text, F.lit("∞"), F.lit("inf"))))
         .when((power < -4) | (power > 5), F.concat(sign, bare(F.regexp_extract(text, r"([0-9]\.[0-9]{5})", 1)), F.regexp_extract(text, "(e.*)$", 1)))
         .otherwise(F.concat(sign, bare(F.when(power < 0, below).otherwise(within))))
     )

@@ -45,6 +45,15 @@ def test_short_numbers(spark):
     assert [r.s for r in df.select(V.short_number("x").alias("s")).collect()] == [f"{c:g}" for c in cases]
 
 
+def test_short_numbers_between_two_values(spark):
+    """Halves go to the even digit, as the double's exact value says."""
+    rng = random.Random(3)
+    cases = [1000785.0, 1001785.0, 1000775.0, -1000785.0, 0.1234565, 123456.5, 123455.5, 9999995.0, -0.0, float("inf")]
+    cases += [(rng.randrange(10**6) * 10 + 5) * 10.0 ** rng.randrange(-12, 20) for _ in range(3000)] + [(rng.randrange(10**6) * 2 + 1) / 2 ** rng.randrange(1, 9) for _ in range(1000)]
+    df = spark.createDataFrame([(c,) for c in cases], "x double")
+    assert [r.s for r in df.select(V.short_number("x").alias("s")).collect()] == [f"{c:g}" for c in cases]
+
+
 def test_utc_texts_in_another_zone(spark):
     keep = spark.conf.get("spark.sql.session.timeZone")
     spark.conf.set("spark.sql.session.timeZone", "Asia/Seoul")
