@@ -91,10 +91,10 @@ def centre_matches(preds: DataFrame, truths: DataFrame, margin: float = 0.1) ->
     """photo, truth, preds, found: the truths of a photo in order take the free predictions whose centre lies in their widened box.
 
     A prediction goes to the first truth that holds it: no loop is needed. ``preds``: photo, pred (in reading order), box. ``truths``: photo,
-    truth (in order), box.
+    truth (in order), box. A truth or prediction of several boxes counts once, with all of them.
     """
     t = truths.select("photo", "truth", F.col("box").alias("truth_box"))
     pairs = preds.join(t, "photo").where(centre_inside(F.col("box"), F.col("truth_box"), margin))
     taken = pairs.groupBy("photo", "pred").agg(F.min("truth").alias("truth"))
     parts = taken.groupBy("photo", "truth").agg(F.array_sort(F.collect_list("pred")).alias("preds"))
-    return truths.select("photo", "truth").join(parts, ["photo", "truth"], "left").withColumn("found", F.col("preds").isNotNull())
+    return truths.select("photo", "truth").distinct().join(parts, ["photo", "truth"], "left").withColumn("found", F.col("preds").isNotNull())

@@ -445,7 +445,7 @@ def centre_match(spark: SparkSession, d: str) -> DataFrame:
     b = _boxes(spark, d).withColumn("id", F.col("l_partkey") * 10 + F.col("l_linenumber")).withColumn("photo", F.col("l_orderkey"))
     preds = b.where("l_linenumber % 2 = 0").select("photo", F.col("id").alias("pred"), "box")
     truths = b.where("l_linenumber % 2 = 1").select("photo", F.col("id").alias("truth"), "box")
-    found = matching.centre_matches(preds, truths.dropDuplicates(["photo", "truth"]))
+    found = matching.centre_matches(preds, truths)
     return found.withColumn("preds", F.array_join(F.transform("preds", lambda x: x.cast("string")), "|"))
 
 
