@@ -117,10 +117,14 @@ def combined_strength(steps: Column) -> Column:
 
 
 def candidate_shares(candidates: DataFrame, keys: list[str], text: str, prob: str, n: int = 5, least: float = 0.02) -> DataFrame:
-    """Candidates merged by text, as shares of their sum; the ``n`` largest of at least ``least``."""
-    merged = candidates.groupBy(*keys, text).agg(F.sum(prob).alias("p"))
+    """Candidates merged by text, as shares of their sum; the ``n`` largest of at least ``least``.
+
+    Sums are decimal: texts of equal sums are equal whatever order they were added in, and go by text. Where all is 0, shares are NaN.
+    """
+    merged = candidates.groupBy(*keys, text).agg(F.sum(F.col(prob).cast("decimal(28,18)")).alias("p"))
     w = Window.partitionBy(*keys)
-    ranked = merged.withColumn("share", F.col("p") / F.sum("p").over(w)).withColumn("rank", F.row_number().over(w.orderBy(F.desc("p"), text)))
+    p, total = F.col("p").cast("double"), F.sum("p").over(w).cast("double")
+    ranked = merged.withColumn("share", F.when(total == 0, float("nan")).otherwise(F.try_divide(p, total))).withColumn("rank", F.row_number().over(w.orderBy(F.desc("p"), text)))
     return ranked.where((F.col("rank") <= n) & (F.col("share") >= least)).select(*keys, text, "rank", "share")
 
 
