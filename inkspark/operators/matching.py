@@ -1,27 +1,50 @@
 """Greedy one-to-one matching of predicted and true boxes.
 
-Which truth a prediction takes depends on what was taken before, so the last step is a loop; it runs once for each photo (and
-label) over that photo's candidate pairs only, which an equi-join and the overlap predicate have found before.
+Which truth a prediction takes depends on what was taken before, so the last step is a loop. An equi-join and the overlap predicate find the
+candidate pairs; they are sorted by photo and order of taking, and tasks read them as a stream, which holds the ids taken in one photo.
 """
 
 from __future__ import annotations
 
-import pandas as pd
+from collections.abc import Iterator
+from functools import partial
+
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from inkspark.functions.geometry import centre_inside, iou
 from inkspark.operators.metrics import average_precision
-
-
-def _greedy(pdf: pd.DataFrame) -> pd.DataFrame:
-    taken_p, taken_t, rows = set(), set(), []
-    for r in pdf.sort_values(["first", "pred", "second", "truth"], kind="stable").itertuples(index=False):
-        if r.pred not in taken_p and r.truth not in taken_t:
-            taken_p.add(r.pred)
-            taken_t.add(r.truth)
-            rows.append((r.photo, r.label, r.pred, r.truth, r.overlap))
-    return pd.DataFrame(rows, columns=["photo", "label", "pred", "truth", "overlap"])
+from inkspark.sources.scratch import written
+
+
+def _greedy(batches: Iterator[pa.RecordBatch], overlaps: tuple[float, ...]) -> Iterator[pa.RecordBatch]:
+    """The pairs that are taken for each least overlap, of pairs in order."""
+    group, taken = None, []
+    for batch in batches:
+        photo, label, pred, truth, overlap = (batch.column(n).to_pylist() for n in ("photo", "label", "pred", "truth", "overlap"))
+        at, least = [], []
+        for i, own in enumerate(zip(photo, label)):
+            if own != group:
+                group, taken = own, [(x, set(), set()) for x in overlaps]
+            for x, preds, truths in taken:
+                if overlap[i] >= x and pred[i] not in preds and truth[i] not in truths:
+                    preds.add(pred[i])
+                    truths.add(truth[i])
+                    at.append(i)
+                    least.append(x)
+        rows = batch.select(["photo", "label", "pred", "truth", "overlap"]).take(pa.array(at, pa.int64()))
+        yield pa.RecordBatch.from_arrays([*rows.columns, pa.array(least, pa.float64())], names=[*rows.schema.names, "least_overlap"])
+
+
+def _taken(pairs: DataFrame, overlaps: tuple[float, ...]) -> DataFrame:
+    """photo, label, pred, truth, overlap, least_overlap: for each least overlap the pairs taken by falling ``score``, then by pred, falling overlap and truth."""
+    order = [F.desc("score"), F.asc("pred"), F.desc("overlap"), F.asc("truth")]
+    pairs = pairs.select("photo", "label", "pred", "truth", "overlap", "score").repartition("photo", "label").sortWithinPartitions("photo", "label", *order)
+    kinds = dict(pairs.dtypes)
+    return pairs.mapInArrow(
+        partial(_greedy, overlaps=overlaps), f"photo {kinds['photo']}, label {kinds['label']}, pred {kinds['pred']}, truth {kinds['truth']}, overlap double, least_overlap double"
+    )
 
 
 def iou_matches(preds: DataFrame, truths: DataFrame, least: float = 0.5) -> DataFrame:
@@ -31,20 +54,7 @@ def iou_matches(preds: DataFrame, truths: DataFrame, least: float = 0.5) -> Data
     """
     t = truths.select("photo", "label", "truth", F.col("box").alias("truth_box"))
     pairs = preds.join(t, ["photo", "label"]).withColumn("overlap", iou(F.col("box"), F.col("truth_box"))).where(F.col("overlap") >= least)
-    pairs = pairs.select("photo", "label", "pred", "truth", "overlap", (-F.col("score")).alias("first"), (-F.col("overlap")).alias("second"))
-    kinds = dict(pairs.dtypes)
-    return pairs.groupBy("photo", "label").applyInPandas(
-        _greedy, f"photo {kinds['photo']}, label {kinds['label']}, pred {kinds['pred']}, truth {kinds['truth']}, overlap double"
-    )
-
-
-def _takers(pairs: Column, least: float) -> Column:
-    """The predictions that take a truth: a fold over pairs in the order (score, pred, overlap, truth) of those that overlap enough."""
-    pair = lambda p: F.struct(p.pred.alias("pred"), p.truth.alias("truth"))
-    enough = F.filter(pairs, lambda p: p.second <= -least)
-    free = lambda taken, p: ~F.exists(taken, lambda x: (x.pred == p.pred) | (x.truth == p.truth))
-    empty = F.filter(F.transform(enough, pair), lambda x: F.lit(False))
-    return F.aggregate(enough, empty, lambda taken, p: F.when(free(taken, p), F.concat(taken, F.array(pair(p)))).otherwise(taken))
+    return _taken(pairs, (least,)).drop("least_overlap")
 
 
 def decisions(preds: DataFrame, truths: DataFrame, overlaps: tuple[float, ...]) -> DataFrame:
@@ -55,12 +65,9 @@ def decisions(preds: DataFrame, truths: DataFrame, overlaps: tuple[float, ...])
     """
     t = truths.select("photo", F.col("label").alias("truth_label"), "truth", F.col("box").alias("truth_box"))
     pairs = preds.join(t, "photo").withColumn("overlap", iou(F.col("box"), F.col("truth_box"))).where(F.col("overlap") >= min(overlaps))
-    groups = lambda own: F.explode(F.when(own, F.array("label", F.lit("any"))).otherwise(F.array(F.lit("any"))))
-    pairs = pairs.withColumn("group", groups(F.col("label") == F.col("truth_label")))
-    pairs = pairs.select("photo", "group", "pred", "truth", (-F.col("score")).alias("first"), (-F.col("overlap")).alias("second"))
-    lists = pairs.groupBy("photo", "group").agg(F.array_sort(F.collect_list(F.struct("first", "pred", "second", "truth"))).alias("pairs"))  # of one photo
-    taken = F.explode(F.array(*[F.struct(F.lit(least).alias("least_overlap"), _takers(F.col("pairs"), least).alias("taken")) for least in overlaps]))
-    hits = lists.select("photo", "group", taken.alias("t")).select("photo", "group", "t.least_overlap", F.explode("t.taken.pred").alias("pred"))
+    own = F.col("label") == F.col("truth_label")
+    pairs = pairs.withColumn("label", F.explode(F.when(own, F.array("label", F.lit("any"))).otherwise(F.array(F.lit("any")))))
+    hits = _taken(pairs, overlaps).select("photo", F.col("label").alias("group"), "least_overlap", "pred")
     every = preds.select("photo", F.explode(F.array("label", F.lit("any"))).alias("group"), "pred", "score", F.explode(F.array(*map(F.lit, overlaps))).alias("least_overlap"))
     return every.join(hits.withColumn("hit", F.lit(True)), ["photo", "group", "least_overlap", "pred"], "left").withColumn("hit", F.coalesce("hit", F.lit(False)))
 
@@ -71,10 +78,10 @@ def threshold_report(preds: DataFrame, truths: DataFrame, overlaps: tuple[float,
     Shares are null where nothing is counted; ap is null without truths and 0 without predictions.
     """
     keys = ["group", "least_overlap"]
-    decided = decisions(preds, truths, overlaps)
+    decided = written(decisions(preds, truths, overlaps), "decisions")  # read by three steps
     gt = truths.select(F.explode(F.array("label", F.lit("any"))).alias("group")).groupBy("group").agg(F.count(F.lit(1)).alias("gt"))
-    at = F.explode(F.array(*[F.struct(F.lit(s).alias("least_score"), (F.col("score") >= s).alias("kept")) for s in scores])).alias("at")
-    counts = decided.select(*keys, "hit", at).groupBy(*keys, "at.least_score").agg(F.count_if(F.col("at.kept")).alias("kept"), F.count_if(F.col("at.kept") & F.col("hit")).alias("tp"))
+    at = [F.struct(F.lit(s).alias("least_score"), F.count_if(F.col("score") >= s).alias("kept"), F.count_if((F.col("score") >= s) & F.col("hit")).alias("tp")) for s in scores]
+    counts = decided.groupBy(*keys).agg(F.array(*at).alias("at")).select(*keys, F.explode("at").alias("at")).select(*keys, "at.*")
     scored = decided.join(F.broadcast(gt), "group", "left").select(*keys, "hit", "score", F.struct("photo", "pred").alias("tie"), F.coalesce("gt", F.lit(0)).alias("positives"))  # a row for each label
     ap = average_precision(scored, keys, "hit", "score", "tie").select(*keys, F.bround("ap", 4).alias("ap"))
     labels = gt.select("group").union(decided.select("group").distinct()).union(preds.sparkSession.range(1).select(F.lit("any"))).distinct()

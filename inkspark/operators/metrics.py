@@ -7,6 +7,8 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql.types import IntegerType
 
+from inkspark.operators.ordering import in_slices
+
 
 @F.pandas_udf(IntegerType())
 def wildcard_distance(truth: pd.Series, read: pd.Series) -> pd.Series:
@@ -42,27 +44,29 @@ def error_report(rows: DataFrame, keys: list[str], truth: str, read: str, wildca
     )
 
 
-def average_precision(scored: DataFrame, keys: list[str], hit: str, score: str, tie: str, buckets: int = 256) -> DataFrame:
+def average_precision(scored: DataFrame, keys: list[str], hit: str, score: str, tie: str) -> DataFrame:
     """Area under the precision envelope of predictions by falling score, then ``tie``; ``positives`` per key counts the truths.
 
-    ``scored`` has keys, ``hit`` (boolean), ``positives``, a number ``score`` and ``tie``. A key's predictions are cut into buckets of about equal
-    size at quantiles of the score: ranks and maxima run inside a bucket, and what a bucket needs of the others are a count and a
-    maximum for each, so that no task sorts a whole key.
+    ``scored`` has keys, ``hit`` (boolean), ``positives``, a number ``score`` and ``tie``. Rows are written in order, in slices of about equal
+    size: a row's place in its slice is known, and precision rises at hits only, so that the running steps read hits alone. What a
+    slice needs of the others are two counts and a maximum for each, so that no task sorts a whole key.
     """
-    cuts = scored.groupBy(*keys).agg(F.percentile_approx(F.col(score).cast("double"), F.array(*[F.lit(i / buckets) for i in range(1, buckets)]), F.lit(10_000)).alias("cuts"))
-    rows = scored.join(cuts, keys).withColumn("bucket", F.size(F.filter("cuts", lambda c: c > F.col(score)))).drop("cuts")
-    within = Window.partitionBy(*keys, "bucket").orderBy(F.desc(score), F.asc(tie))
-    before = Window.partitionBy(*keys).orderBy("bucket").rowsBetween(Window.unboundedPreceding, -1)  # a row for each bucket
-    totals = rows.groupBy(*keys, "bucket").agg(F.count_if(hit).alias("hits"), F.count(F.lit(1)).alias("rows"))
-    totals = totals.select(*keys, "bucket", F.coalesce(F.sum("hits").over(before), F.lit(0)).alias("hits_before"), F.coalesce(F.sum("rows").over(before), F.lit(0)).alias("rows_before"))
-    curve = rows.join(totals, [*keys, "bucket"])
-    curve = curve.withColumn("tp", F.sum(F.col(hit).cast("int")).over(within.rowsBetween(Window.unboundedPreceding, 0)) + F.col("hits_before"))
-    curve = curve.withColumn("precision", F.col("tp") / (F.row_number().over(within) + F.col("rows_before")))
-    tops = curve.groupBy(*keys, "bucket").agg(F.max("precision").alias("top"))
-    tops = tops.select(*keys, "bucket", F.max("top").over(Window.partitionBy(*keys).orderBy("bucket").rowsBetween(1, Window.unboundedFollowing)).alias("later"))
-    curve = curve.withColumn("envelope", F.max("precision").over(within.rowsBetween(0, Window.unboundedFollowing))).join(tops, [*keys, "bucket"])
-    step = F.try_divide(F.col(hit).cast("double"), F.col("positives"))
-    return curve.groupBy(*keys).agg(F.sum(step * F.greatest("envelope", "later")).alias("ap"), F.count(F.lit(1)).alias("n"))
+    rows = in_slices(scored.select(*keys, F.col(hit).alias("hit"), "positives", F.col(score).alias("score"), F.col(tie).alias("tie")), [*keys, F.desc("score"), "tie"], "precision-order")
+    totals = rows.groupBy(*keys, "slice").agg(F.count_if("hit").alias("hits"), F.count(F.lit(1)).alias("rows"), F.min("place").alias("start"), F.max("positives").alias("positives"))
+    before = Window.partitionBy(*keys).orderBy("slice").rowsBetween(Window.unboundedPreceding, -1)  # a row for each slice
+    starts = totals.select(*keys, "slice", "start", F.coalesce(F.sum("hits").over(before), F.lit(0)).alias("hits_before"), F.coalesce(F.sum("rows").over(before), F.lit(0)).alias("rows_before"))
+    within = Window.partitionBy(*keys, "slice").orderBy("place")
+    curve = rows.where("hit").select(*keys, "slice", "place").join(F.broadcast(starts), [*keys, "slice"])  # a row for each slice and key
+    curve = curve.withColumn("precision", (F.row_number().over(within) + F.col("hits_before")) / (F.col("place") - F.col("start") + 1 + F.col("rows_before")))
+    # from the last row back: Spark reads a frame that ends behind the last row anew for each row
+    back = Window.partitionBy(*keys, "slice").orderBy(F.desc("place")).rowsBetween(Window.unboundedPreceding, 0)
+    curve = curve.select(*keys, "slice", "precision", F.max("precision").over(back).alias("envelope"))
+    tops = curve.groupBy(*keys, "slice").agg(F.max("precision").alias("top"))
+    later = F.max("top").over(Window.partitionBy(*keys).orderBy(F.desc("slice")).rowsBetween(Window.unboundedPreceding, -1))
+    tops = tops.select(*keys, "slice", later.alias("later"))
+    area = curve.join(F.broadcast(tops), [*keys, "slice"]).groupBy(*keys).agg(F.sum(F.greatest("envelope", "later")).alias("area"))
+    whole = totals.groupBy(*keys).agg(F.sum("rows").alias("n"), F.max("positives").alias("positives"))
+    return whole.join(area, keys, "left").select(*keys, F.try_divide(F.coalesce("area", F.lit(0.0)), F.col("positives")).alias("ap"), "n")
 
 
 def consensus(items: DataFrame, keys: list[str], run: str, item: str) -> DataFrame:

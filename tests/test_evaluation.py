@@ -23,3 +23,23 @@ def test_shares_of_equal_sums_go_by_text(spark):
     got = sorted((r.k, r.rank, r.text, r.share) for r in metrics.candidate_shares(spark.createDataFrame(rows, "k int, text string, p double"), ["k"], "text", "p").collect())
     assert got[:2] == [(1, 1, "a", 0.5), (1, 2, "b", 0.5)]
     assert got[2][:3] == (2, 1, "x") and got[2][3] != got[2][3]
+
+
+def test_precision_of_one_long_key(spark):
+    """40000 rows of one key, as one slice: the frame that was read anew for each row took minutes here."""
+    import time
+
+    n = 40_000
+    rows = spark.range(n).select(F.lit("a").alias("k"), (F.col("id") % 7 < 3).alias("hit"), F.lit(n).alias("positives"), (F.col("id") * 37 % n % 10).alias("score"), F.col("id").alias("tie")).coalesce(1)
+    started = time.time()
+    got = metrics.average_precision(rows, ["k"], "hit", "score", "tie").first()
+    assert time.time() - started < 60
+    order, hits, curve = sorted(range(n), key=lambda i: (-(i * 37 % n % 10), i)), 0, []
+    for r, i in enumerate(order, 1):
+        hits += i % 7 < 3
+        curve.append((i % 7 < 3, hits / r))
+    top, area = 0.0, 0.0
+    for hit, p in reversed(curve):
+        top = max(top, p)
+        area += top * hit
+    assert got.n == n and abs(got.ap - area / n) < 1e-9
