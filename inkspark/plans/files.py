@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from inkspark.operators.ordering import numbered_whole
 from inkspark.plans.queries import query, table
 from inkspark.sources import readers, writers
 from inkspark.sources.scratch import folder as scratch
@@ -54,7 +55,6 @@ def json_dictionary(spark: SparkSession, d: str) -> DataFrame:
 @query("SELECT o_custkey AS workspace_id, o_orderkey AS job_id, o_orderstatus AS status, CASE WHEN o_orderkey % 3 > 0 THEN o_orderpriority END AS name, row_number() OVER (ORDER BY o_orderkey) AS seq FROM orders QUALIFY seq > 0")
 def document_store(spark: SparkSession, d: str) -> DataFrame:
     """Snapshot of a collection as JSON documents in a store, copied to an empty store, and rehydrated by its composite keys."""
-    from pyspark.sql import Window
 
     path = scratch(spark, "store")
     rows = table(spark, d, "orders").select(F.col("o_custkey").alias("ws"), F.col("o_orderkey").alias("id"), F.col("o_orderstatus").alias("status"), F.when(F.col("o_orderkey") % 3 > 0, F.col("o_orderpriority")).alias("name"), F.col("o_orderkey").alias("n"))
@@ -65,7 +65,7 @@ def document_store(spark: SparkSession, d: str) -> DataFrame:
     found = readers.collection(docs, "jobs", "status string, name string")
     typed = found.select(*readers.key_parts("key", "workspace_id", "job_id"), "status", "name", "seq")
     typed = typed.withColumns({"workspace_id": F.col("workspace_id").cast("long"), "job_id": F.col("job_id").cast("long")})
-    return typed.withColumn("seq", F.row_number().over(Window.orderBy("seq")))  # the order of one collection of the test store
+    return numbered_whole(typed.withColumnRenamed("seq", "at"), ["at"], "seq").drop("at")  # the order of one collection
 
 
 @query("""
