@@ -12,7 +12,10 @@ from pyspark.sql import functions as F
 from inkspark.functions.geometry import valid_box
 from inkspark.functions.text import normalize
 from inkspark.functions.values import json_text
+from inkspark.operators.broadcasts import small
+from inkspark.operators.ordering import sized_slices
 from inkspark.operators.validate import violations
+from inkspark.sources.scratch import written
 
 # The fields of a welding condition, what an approval and an export need, who approves by rule.
 CONDITION_FIELDS = ("joint_type", "process", "position", "current_a", "voltage_v", "speed_cm_min")
@@ -59,15 +62,20 @@ def raw_text(boxed: DataFrame, unplaced: DataFrame, keys: list[str]) -> DataFram
     return rows.groupBy(*keys).agg(F.array_join(texts, " ").alias("raw_text"))
 
 
-def context_input(jobs: DataFrame, entries: DataFrame, nodes: DataFrame, standards: DataFrame, key: str = "workspace_id") -> DataFrame:
+def context_input(jobs: DataFrame, entries: DataFrame, nodes: DataFrame, standards: DataFrame, key: str = "workspace_id", shown: dict[str, Column] | None = None) -> DataFrame:
     """One row per job with everything that its interpretation reads: the workspace's dictionary, tree and the standards, each in order.
 
-    The lists are per workspace; they are small reference data and are joined by their key.
+    The lists are per workspace; they are small reference data and are joined by their key. ``shown`` names columns derived from
+    ``symbols``, ``tree`` and ``standards``, to have in their place: they are computed once for each workspace, not for each job.
     """
     listed = lambda df, name, cols: df.groupBy(key).agg(F.transform(F.array_sort(F.collect_list(F.struct("seq", *cols))), lambda r: F.struct(*[r[c].alias(c) for c in cols])).alias(name))
     rules = standards.agg(F.array_sort(F.collect_list(F.struct("seq", *[c for c in standards.columns if c != "seq"]))).alias("standards"))
-    rows = jobs.join(listed(entries, "symbols", ["code", "meaning"]), key, "left").join(listed(nodes, "tree", ["path"]), key, "left")
-    return rows.join(F.broadcast(rules.withColumn("one", F.lit(1))), F.lit(1) == F.col("one")).drop("one")
+    asked = jobs.select(key).distinct()
+    spaces = asked.join(listed(entries, "symbols", ["code", "meaning"]), key, "left").join(listed(nodes, "tree", ["path"]), key, "left").crossJoin(F.broadcast(rules))
+    if shown is not None:
+        spaces = spaces.select(key, *[c.alias(n) for n, c in shown.items()])
+    spaces = small(written(spaces, "workspaces").withColumnRenamed(key, "_key"), 64 << 20)
+    return jobs.join(spaces, F.col(key).eqNullSafe(F.col("_key")), "left").drop("_key")
 
 
 def manual_condition(values: DataFrame, standards: DataFrame, fields: tuple[str, ...] = CONDITION_FIELDS) -> DataFrame:
@@ -249,6 +257,7 @@ def approvals(requests: DataFrame, jobs: DataFrame, order: list[str]) -> DataFra
 
     ``requests``: job_id, acknowledge. ``jobs``: job_id, status.
     """
+    requests = requests.transform(sized_slices, "job_id")  # the sorts below hold a slice of at most some rows, however many there are
     rows = requests.join(jobs.select("job_id", "status"), "job_id", "left")
     valid = (F.col("status") == "awaiting_approval") | ((F.col("status") == "needs_review") & F.col("acknowledge"))
     rows = rows.withColumn("valid", F.coalesce(valid, F.lit(False)))

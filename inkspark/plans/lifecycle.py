@@ -53,9 +53,9 @@ def context_inputs(spark: SparkSession, d: str) -> DataFrame:
     entries = table(spark, d, "part").select(F.col("p_size").alias("workspace_id"), F.col("p_partkey").alias("seq"), F.col("p_brand").alias("code"), F.col("p_name").alias("meaning"))
     nodes = table(spark, d, "supplier").select(F.col("s_nationkey").alias("workspace_id"), F.col("s_suppkey").alias("seq"), F.col("s_name").alias("path"))
     standards = spark.createDataFrame([(1, "FILLET"), (2, "BUTT"), (3, "FILLET")], "seq int, joint_type string")
-    rows = analyses.context_input(jobs, entries, nodes, standards)
-    size = lambda c: F.greatest(F.coalesce(F.size(c), F.lit(0)), F.lit(0)).cast("long").alias(c)
-    return rows.select("job_id", "workspace_id", size("symbols"), F.array_join(F.transform("symbols", lambda s: s.code), ",").alias("codes"), size("tree"), size("standards"))
+    size = lambda c: F.greatest(F.coalesce(F.size(c), F.lit(0)), F.lit(0)).cast("long")
+    shown = {"symbols": size("symbols"), "codes": F.array_join(F.transform("symbols", lambda s: s.code), ","), "tree": size("tree"), "standards": size("standards")}
+    return analyses.context_input(jobs, entries, nodes, standards, shown=shown).select("job_id", "workspace_id", *shown)
 
 
 @query("SELECT p_partkey, p_size % 3 = 0 AND p_brand = 'Brand#11' OR p_size % 3 = 1 AND p_brand = 'Brand#12' AS standard_matched FROM part")
