@@ -6,6 +6,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from inkspark.functions.text import normalize, ocr_variants
+from inkspark.operators.broadcasts import small
+from inkspark.sources.scratch import written
 
 LEVELS = ("BLOCK", "LARGE", "MID", "SUB", "PART")
 
@@ -63,10 +65,14 @@ def hits(readings: DataFrame, tree: DataFrame, keys: list[str], tree_keys: list[
     idx = index(tree, tree_keys, seq)
     plain = lambda form: F.array_distinct(F.array(form, F.replace(form, F.lit("-"), F.lit(""))))
     forms = F.concat(F.array(normalize("value")), ocr_variants("value"))
-    own = [*keys, "ref_id", "seq", "value", "prob"]
-    tried = readings.select(*own, *[k for k in tree_keys if k not in own], F.posexplode(forms).alias("place", "form")).withColumn("key", F.explode(plain(F.col("form"))))
-    rows = tried.join(idx, [*tree_keys, "key"]).groupBy(*keys, "ref_id").agg(
-        F.min_by(F.struct("seq", "value", "prob", "place", "form", "node"), F.struct("place", F.col("key") != F.col("form"))).alias("r")
+    own = list(dict.fromkeys([*keys, "ref_id", "seq", "value", "prob", *tree_keys]))
+    # readings repeat: forms and their node are found once for each distinct value of a tree
+    values = readings.select(*tree_keys, "value").distinct()
+    tried = values.select(*tree_keys, "value", F.posexplode(forms).alias("place", "form")).withColumn("key", F.explode(plain(F.col("form"))))
+    named = F.min_by(F.struct("place", "form", "node", (F.col("key") != F.col("form")).alias("dashed")), F.struct("place", F.col("key") != F.col("form"))).alias("t")
+    known = small(written(tried.join(idx, [*tree_keys, "key"]).groupBy(*tree_keys, "value").agg(named), "tree-values"))
+    rows = readings.select(*own).join(known, [*tree_keys, "value"]).groupBy(*keys, "ref_id").agg(
+        F.min_by(F.struct("seq", "value", "prob", "t.place", "t.form", "t.node"), F.struct("t.place", "t.dashed")).alias("r")
     )
     place = F.col("r.place")
     direct = rows.select(

@@ -26,3 +26,14 @@ def test_context_is_derived_once_for_each_workspace(spark):
     got = sorted((r.job_id, r.codes, r.rules) for r in analyses.context_input(jobs, entries, nodes, rules, shown=shown).collect())
     assert got == [(1, "a,b", 1), (2, "a,b", 1), (3, None, 1), (4, None, 1)]
     assert analyses.context_input(jobs, entries, nodes, rules).where("job_id = 3").first().tree[0].path == "p"
+
+
+def test_tree_readings_are_repaired_once_for_each_value(spark):
+    from inkspark.operators import tree
+
+    nodes = spark.createDataFrame([(1, 1, "B-1", "B-1", "BLOCK"), (2, 1, "C2", "C2", "BLOCK")], "ws int, seq int, node_id string, path string, level string")
+    none = F.array().cast("array<struct<text:string,prob:double>>")
+    rows = [(k, ws, "t1", 1, "b1", 0.5) for k, ws in ((1, 1), (2, 1), (3, 2))] + [(4, 2, "t1", 1, "c2", 0.5), (4, 2, "t1", 2, "none", 0.5), (5, 2, "t1", 1, None, 0.5)]
+    df = spark.createDataFrame(rows, "k int, ws int, ref_id string, seq int, value string, prob double").withColumn("candidates", none)
+    found = tree.hits(df, nodes, ["k"], ["ws"])
+    assert sorted((r.k, r.seq, r.value, r.node.node_id, r.prob) for r in found.collect()) == [(1, 1, "b1", "B-1", 0.5), (2, 1, "b1", "B-1", 0.5), (4, 1, "c2", "C2", 0.5)]
