@@ -229,15 +229,14 @@ def split_of(name: Column | str, share: float = 0.2) -> Column:
 
 def spans(tokens: Column | str, longest: int = 3) -> Column:
     """All runs of up to ``longest`` neighbouring tokens, joined by a space, each once."""
-    t = _c(tokens)
 
-    def of(k: int) -> Column:
+    def of(t: Column, k: int) -> Column:
         starts = F.sequence(F.lit(1), F.greatest(F.size(t) - (k - 1), F.lit(1)))
         found = F.transform(starts, lambda i: F.array_join(F.slice(t, i, k), " "))
         return F.when(F.size(t) >= k, found).otherwise(F.array().cast("array<string>"))
 
-    runs = [of(k) for k in range(1, longest + 1)]
-    return F.array_distinct(F.concat(*runs))
+    # bound: the tokens may be an expression, which each run would evaluate again
+    return bound(_c(tokens), lambda t: F.array_distinct(F.concat(*[of(t, k) for k in range(1, longest + 1)])))
 
 
 def leg_values(text: Column | str) -> Column:
