@@ -3,13 +3,11 @@
 from __future__ import annotations
 
 import numpy as np
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 from pyspark.sql.types import ArrayType, DoubleType
 
-from inkspark.functions.geometry import clockwise
-
 
 def hull(points: np.ndarray) -> np.ndarray:
     """Corners of the convex hull, counter-clockwise from the leftmost; points on an edge aren't corners."""
@@ -42,16 +40,90 @@ def least_rectangle(points: np.ndarray) -> np.ndarray:
     return np.array([at(low, near), at(high, near), at(high, far), at(low, far)])
 
 
-@F.pandas_udf(ArrayType(ArrayType(DoubleType())))
-def _least(polygons: pd.Series) -> pd.Series:
-    return polygons.map(lambda p: least_rectangle(np.array([list(x) for x in p], float)).tolist() if p is not None and len(p) else None)
+def _hulls(rows: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """``hull`` of many polygons of as many different, sorted points (polygons x points x 2): numbers of their corners, and how many there are."""
+    n, each = rows.shape[1], np.arange(len(rows))
+    if n < 3:
+        return np.tile(np.arange(n), (len(rows), 1)), np.full(len(rows), n)
+    found, size = np.empty((len(rows), 2 * n), np.int64), np.zeros(len(rows), np.int64)
+    for order in (range(n), range(n - 1, -1, -1)):
+        base = size.copy()
+        for t in order:
+            left = np.flatnonzero(size - base > 1)
+            while len(left):
+                a, b, p = rows[left, found[left, size[left] - 2]], rows[left, found[left, size[left] - 1]], rows[left, t]
+                left = left[(b[:, 0] - a[:, 0]) * (p[:, 1] - a[:, 1]) <= (b[:, 1] - a[:, 1]) * (p[:, 0] - a[:, 0])]
+                size[left] -= 1
+                left = left[size[left] - base[left] > 1]
+            found[each, size] = t
+            size += 1
+        size -= 1  # a chain's last point is the other's first
+    return found, size
+
+
+def _rectangles(corners: np.ndarray) -> np.ndarray:
+    """``least_rectangle`` of many hulls of as many corners (hulls x corners x 2)."""
+    edges = np.roll(corners, -1, axis=1) - corners if corners.shape[1] > 1 else np.tile([[[1.0, 0.0]]], (len(corners), 1, 1))
+    along = edges / np.hypot(edges[..., 0], edges[..., 1])[..., None]
+    across = np.stack([-along[..., 1], along[..., 0]], -1)
+    on = lambda axis: corners[:, :, None, 0] * axis[:, None, :, 0] + corners[:, :, None, 1] * axis[:, None, :, 1]
+    u, v = on(along), on(across)  # hulls x points x edges
+    low, high, near, far = u.min(1), u.max(1), v.min(1), v.max(1)
+    best = np.argmin(np.round((high - low) * (far - near), 9), axis=1)
+    pick = lambda a: a[np.arange(len(a)), best]
+    at = lambda a, b: pick(a)[:, None] * pick(along) + pick(b)[:, None] * pick(across)
+    return np.stack([at(low, near), at(high, near), at(high, far), at(low, far)], 1)
+
+
+def least_rectangles(points: np.ndarray, owner: np.ndarray, count: int) -> np.ndarray:
+    """``least_rectangle`` of many polygons at once (count x 4 x 2): ``owner`` numbers each point's polygon. Those of one size go together."""
+    out = np.full((count, 4, 2), np.nan)
+    odd = np.unique(owner[~np.isfinite(points).all(1)])
+    for k in odd:
+        out[k] = least_rectangle(points[owner == k])
+    even = ~np.isin(owner, odd)
+    points, owner = points[even], owner[even]
+    order = np.lexsort((points[:, 1], points[:, 0], owner))
+    points, owner = points[order], owner[order]
+    new = np.ones(len(points), bool)
+    new[1:] = (owner[1:] != owner[:-1]) | (points[1:] != points[:-1]).any(1)
+    points, owner = points[new], owner[new]
+    ids, first, sizes = np.unique(owner, return_index=True, return_counts=True)
+    for n in np.unique(sizes):
+        mine = np.flatnonzero(sizes == n)
+        rows = points[first[mine][:, None] + np.arange(n)]
+        found, corners = _hulls(rows)
+        for h in np.unique(corners):
+            at = np.flatnonzero(corners == h)
+            out[ids[mine[at]]] = _rectangles(rows[at[:, None], found[at, :h]])
+    return out
+
+
+def _clockwise(quads: np.ndarray) -> np.ndarray:
+    """``geometry.clockwise`` of many quads."""
+    by_x = np.take_along_axis(quads, np.lexsort((quads[..., 1], quads[..., 0]), axis=-1)[..., None], 1)
+    left, right = (np.take_along_axis(s, np.lexsort((s[..., 0], s[..., 1]), axis=-1)[..., None], 1) for s in (by_x[:, :2], by_x[:, 2:]))
+    return np.stack([left[:, 0], right[:, 0], right[:, 1], left[:, 1]], 1)
+
+
+@F.arrow_udf(ArrayType(ArrayType(DoubleType())))
+def _least(polygons: pa.Array) -> pa.Array:
+    pairs = polygons.flatten()
+    if (np.asarray(pairs.value_lengths()) != 2).any():
+        raise ValueError("points have two numbers each")
+    points = pairs.flatten().to_numpy(zero_copy_only=False).reshape(-1, 2)
+    sizes = polygons.value_lengths().fill_null(0).to_numpy(zero_copy_only=False)
+    found = _clockwise(least_rectangles(points, np.repeat(np.arange(len(sizes)), sizes), len(sizes)))
+    none = sizes == 0
+    corners = found[~none].reshape(-1)
+    inner = pa.ListArray.from_arrays(pa.array(np.arange(0, len(corners) + 1, 2), pa.int32()), pa.array(corners))
+    return pa.ListArray.from_arrays(pa.array(np.concatenate([[0], np.cumsum(~none * 4)]), pa.int32()), inner, mask=pa.array(none))
 
 
 def least_quad(polygon: Column | str) -> Column:
     """The least rectangle around an array of points (two numbers each), clockwise from the top left; null without points."""
     points = F.col(polygon) if isinstance(polygon, str) else polygon
-    quad = _least(F.transform(points, lambda p: F.transform(p, lambda x: x.cast("double"))))
-    return F.when(quad.isNotNull(), clockwise(quad))
+    return _least(points.cast("array<array<double>>"))
 
 
 def quad_area(quad: Column | str) -> Column:
