@@ -43,7 +43,19 @@ def _compatible() -> tuple[str, str, dict[str, str]]:
     return "".join(one), "".join(one.values()), several
 
 
+def _ranges(chars) -> str:
+    """A pattern's class of characters, neighbours as ranges: a class of single ones is tried one by one."""
+    out: list[list[int]] = []
+    for n in sorted(map(ord, chars)):
+        if out and out[-1][1] == n - 1:
+            out[-1][1] = n
+        else:
+            out.append([n, n])
+    return "".join(f"\\x{{{a:x}}}-\\x{{{b:x}}}" for a, b in out)
+
+
 _WIDE, _NARROW, _SEVERAL = _compatible()
+_SEVERAL_CLASS = _ranges(_SEVERAL)
 # a translate without surrogate pairs costs nothing for plain text; texts with characters that become several take a slower way
 
 
@@ -76,11 +88,11 @@ def _ascii(value: Column) -> Column:
 def compatible(value: Column) -> Column:
     """Each character in its compatibility form."""
     plain = _ascii(value)
-    folded = F.translate(value, _WIDE, _NARROW)
-    classes = "".join(sorted(_SEVERAL))
     names = F.from_json(F.lit(json.dumps(_SEVERAL, ensure_ascii=False)), "map<string,string>")
-    slow = F.array_join(F.transform(F.split(folded, ""), lambda c: F.coalesce(F.try_element_at(names, c), c)), "")
-    return F.when(plain, value).when(folded.rlike(f"[{classes}]"), slow).otherwise(folded)
+    # the list of names is long: only characters that are in it are looked up
+    one = lambda c: F.when((c < "\xa0") | ~c.rlike(f"[{_SEVERAL_CLASS}]"), c).otherwise(F.coalesce(F.try_element_at(names, c), c))
+    slow = lambda folded: F.when(folded.rlike(f"[{_SEVERAL_CLASS}]"), F.array_join(F.transform(F.split(folded, ""), one), "")).otherwise(folded)
+    return F.when(plain, value).otherwise(bound(F.translate(value, _WIDE, _NARROW), slow))
 
 
 def normalize(value: Column | str, full: bool = False) -> Column:
