@@ -1,9 +1,10 @@
 """Benchmark decontamination by latent semantic retrieval with subsequence and answer checks.
 
 1. Counts: document frequencies of hashed words over all documents, added up per partition.
-2. Latent space: randomised SVD of TF-IDF passages. A random test matrix is pushed through A'A over the passages of a
-   sample of about ``SAMPLE_DOCS`` documents and of all benchmark items; every partition adds up its own part. The driver
-   only orthogonalises and diagonalises matrices whose size is fixed (``BUCKETS`` x ``RANK + OVERSAMPLE``).
+2. Latent space: randomised SVD of TF-IDF passages. A random test matrix W is pushed through A'A over the passages of all
+   documents and benchmark items in one scan; every partition adds up its own part, and the parts of a bucket are added by group.
+   With Y = A'A W, A'A is Y (W'Y)^-1 Y' (Nystrom), so that no second scan is needed. The driver only diagonalises
+   matrices whose size is fixed (``BUCKETS`` x ``RANK + OVERSAMPLE``).
 3. Search: every document is cut into windows of the items' lengths, each a sum of its words' latent vectors, at steps of a
    quarter of a window or less. Windows whose cosine with an item of that length is at least ``COSINE`` are candidates.
    The items are a stated query set: up to ``ITEM_BLOCK`` of them are tried in one scan of the documents, and nothing is
@@ -37,14 +38,15 @@ from inkspark.llm.store import source, written
 from inkspark.llm.words import slices, word_hashes
 
 BUCKETS, RANK, OVERSAMPLE = 1 << 15, 64, 8
-SAMPLE_DOCS, SVD_WINDOW = 2000, 32
+SVD_WINDOW, FIT_PARTS = 32, 256  # words of a passage; tasks of the fit, each of which sends BUCKETS rows or less
 STEP = 4  # words to the smallest unit of a window
 LENGTHS = (8, 12, 16, 24, 32, 48, 64)
 COSINE = 0.5  # of recall 0.95 or more against brute force at 20 to 45% replaced words; the checks decide
 VERBATIM, PARAPHRASE, SHORT, RARE = 0.75, 0.55, 8, 5
 RARER = 0.7  # of an item's words; the rest may be anywhere
 ITEM_BLOCK, CELLS = 20_000, 1 << 20
-SVD_BYTES, SEARCH_BYTES = 1 << 18, 1 << 19  # of text at once: every word has a vector of RANK numbers
+ROUNDS, GROUP = 32, 64  # of a bucket's passages added one by one; buckets whose parts are added together
+TEXT_BYTES = 1 << 19  # of text at once: every word has a vector of RANK numbers in the search
 SEED = 5
 
 
@@ -75,14 +77,16 @@ def _test_matrix() -> np.ndarray:
     return np.random.default_rng(SEED).standard_normal((BUCKETS, RANK + OVERSAMPLE)).astype(np.float32)
 
 
-def _svd_words(batch: pa.RecordBatch) -> tuple[np.ndarray, np.ndarray]:
-    """(bucket, passage) of every word that a passage has, once each, by passage."""
+def _passages(batch: pa.RecordBatch) -> np.ndarray:
+    """A row per passage: the buckets of its words, once each; the rest is ``BUCKETS``."""
     offsets, h = word_hashes(batch.column("text"))
-    within = np.arange(len(h)) - np.repeat(offsets[:-1], np.diff(offsets))
-    owner = np.repeat(np.arange(len(offsets) - 1), np.diff(offsets))
-    passage = np.cumsum(np.r_[True, (np.diff(owner) != 0) | (within[1:] // SVD_WINDOW != within[:-1] // SVD_WINDOW)])[: len(h)] - 1
-    both = np.unique(passage * BUCKETS + _buckets(h))
-    return both % BUCKETS, both // BUCKETS
+    lens = np.diff(offsets)
+    first = np.r_[0, np.cumsum(-(-lens // SVD_WINDOW))] * SVD_WINDOW
+    out = np.full(first[-1], BUCKETS, np.uint16)
+    out[np.repeat(first[:-1] - offsets[:-1], lens) + np.arange(len(h))] = _buckets(h)
+    out = np.sort(out.reshape(-1, SVD_WINDOW), axis=1)
+    out[:, 1:][out[:, 1:] == out[:, :-1]] = BUCKETS
+    return out
 
 
 def _sums(rows: np.ndarray, of: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -91,64 +95,87 @@ def _sums(rows: np.ndarray, of: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return of[first], np.add.reduceat(rows, first, axis=0)
 
 
-def _range_part(batches: Iterator[pa.RecordBatch], idf: np.ndarray) -> Iterator[pa.RecordBatch]:
-    """This partition's part of A'(A W), in rows of 512 buckets."""
-    test, out = _test_matrix() * idf[:, None], np.zeros((BUCKETS, RANK + OVERSAMPLE), np.float32)
-    for whole in batches:
-        for batch in slices(whole, "text", SVD_BYTES):
-            b, passage = _svd_words(batch)
-            if len(b):
-                y = _sums(test[b], passage)[1]
-                order = np.argsort(b, kind="stable")
-                some, add = _sums(y[passage[order]], b[order])
-                out[some] += add * idf[some, None]
-    parts = out.reshape(-1, 512 * out.shape[1])
-    yield pa.RecordBatch.from_arrays([pa.array(np.arange(len(parts))), pa.array([p.tobytes() for p in parts], pa.binary())], names=["part", "sums"])
-
-
-def _gram_part(batches: Iterator[pa.RecordBatch], basis: np.ndarray) -> Iterator[pa.RecordBatch]:
-    """This partition's part of (A Q)'(A Q); ``basis`` is Q scaled by the inverse document frequencies."""
-    out = np.zeros((basis.shape[1], basis.shape[1]))
-    for whole in batches:
-        for batch in slices(whole, "text", SVD_BYTES):
-            b, passage = _svd_words(batch)
-            if len(b):
-                y = _sums(basis[b], passage)[1].astype(np.float64)
-                out += y.T @ y
-    yield pa.RecordBatch.from_arrays([pa.array([0]), pa.array([out.tobytes()], pa.binary())], names=["part", "sums"])
+def _bucket_sums(y: np.ndarray, passages: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(the buckets of the passages, the sum of the rows ``y`` of the passages that have each)."""
+    flat = passages.ravel()
+    order = np.argsort(flat, kind="stable")
+    order = order[: np.count_nonzero(flat < BUCKETS)]
+    bucket, row = flat[order], order // SVD_WINDOW
+    start = np.flatnonzero(np.r_[True, bucket[1:] != bucket[:-1]])
+    run = np.diff(np.r_[start, len(bucket)])
+    by_run = np.argsort(-run, kind="stable")  # the first ROUNDS of each bucket at once, longest runs first; what is left of long runs at the end
+    start, run = start[by_run], run[by_run]
+    out = y[row[start]]
+    for r in range(1, min(ROUNDS, int(run[0]))):
+        n = np.searchsorted(-run, -r)
+        out[:n] += y[row[start[:n] + r]]
+    n = np.searchsorted(-run, -ROUNDS)
+    if n:
+        left = run[:n] - ROUNDS
+        at = np.r_[0, np.cumsum(left)]
+        places = np.arange(at[-1]) + np.repeat(start[:n] + ROUNDS - at[:-1], left)
+        out[:n] += np.add.reduceat(y[row[places]], at[:-1], axis=0)
+    return bucket[start], out
 
 
-def _added(df: DataFrame, dtype) -> np.ndarray:
-    """Sums of the parts by number, over all partitions."""
+def _range_part(batches: Iterator[pa.RecordBatch], idf: np.ndarray) -> Iterator[pa.RecordBatch]:
+    """This partition's part of A'(A W), a row per bucket that it has."""
+    width = RANK + OVERSAMPLE
+    test = np.vstack([_test_matrix() * idf[:, None], np.zeros((1, width), np.float32)])
+    out, seen = np.zeros((BUCKETS, width), np.float32), np.zeros(BUCKETS, bool)
+    for whole in batches:
+        for batch in slices(whole, "text", TEXT_BYTES):
+            passages = _passages(batch)
+            if len(passages):
+                y, of_word = test[passages[:, 0]], np.empty((len(passages), width), np.float32)
+                for k in range(1, SVD_WINDOW):
+                    y += np.take(test, passages[:, k], axis=0, out=of_word, mode="clip")  # in range; without a mode, take copies once more
+                some, add = _bucket_sums(y, passages)
+                out[some] += add
+                seen[some] = True
+    some = np.flatnonzero(seen)
+    for a in range(0, len(some), 4096):
+        part = some[a : a + 4096]
+        sums = out[part] * idf[part, None]
+        yield pa.RecordBatch.from_arrays([pa.array(part // GROUP), pa.array(part), pa.array([s.tobytes() for s in sums], pa.binary())], names=["part", "bucket", "sums"])
+
+
+def _added(df: DataFrame) -> np.ndarray:
+    """Sums of the rows of each bucket, over all partitions; ``GROUP`` buckets are a group."""
+    width = RANK + OVERSAMPLE
 
     def total(part: pa.Table) -> pa.Table:
-        sums = sum(np.frombuffer(s.as_py(), dtype) for chunk in part["sums"].chunks for s in chunk)
-        return pa.table({"part": part["part"].slice(0, 1).combine_chunks(), "sums": pa.array([sums.tobytes()], pa.binary())})
+        bucket = part["bucket"].to_numpy()
+        order = np.argsort(bucket, kind="stable")
+        sums = np.frombuffer(b"".join(part["sums"].to_pylist()), np.float32).reshape(-1, width)[order].astype(np.float64)
+        some, added = _sums(sums, bucket[order])
+        return pa.table({"bucket": pa.array(some), "sums": pa.array([s.tobytes() for s in added], pa.binary())})
 
-    rows = df.groupBy("part").applyInArrow(total, "part long, sums binary").toArrow()
-    order = np.argsort(rows["part"].to_numpy())
-    sums = rows["sums"].to_pylist()
-    return np.concatenate([np.frombuffer(sums[i], dtype) for i in order])
+    rows = df.groupBy("part").applyInArrow(total, "bucket long, sums binary").toArrow()
+    out = np.zeros((BUCKETS, width))
+    out[rows["bucket"].to_numpy()] = np.frombuffer(b"".join(rows["sums"].to_pylist())).reshape(-1, width)
+    return out
 
 
 def latent_space(docs: DataFrame, items: DataFrame) -> tuple[np.ndarray, np.ndarray]:
-    """((BUCKETS, RANK) latent vectors of the hashed words, scaled by their weights; the weights: squared inverse document frequencies)."""
+    """((BUCKETS, RANK or fewer) latent vectors of the hashed words, scaled by their weights; the weights: squared inverse document frequencies)."""
     counts = docs.mapInArrow(_document_counts, "bucket long, n long").groupBy("bucket").agg(F.sum("n").alias("n")).toArrow()
     bucket, n = counts["bucket"].to_numpy(), counts["n"].to_numpy()
     total = int(n[bucket == -1].sum())
     df = np.zeros(BUCKETS)
     df[bucket[bucket >= 0]] = n[bucket >= 0]
     idf = (np.log((1 + total) / (1 + df)) ** 2).astype(np.float32)
-    share = min(1 << 20, -(-SAMPLE_DOCS * (1 << 20) // max(1, total)))
-    sample = docs.where(F.pmod(F.xxhash64("doc_id", F.lit(SEED)), F.lit(1 << 20)) < share).select("text").union(items.select("text"))
-    sample = written(sample.repartition(4), "latent-sample")
-    y = _added(sample.mapInArrow(partial(_range_part, idf=idf), "part long, sums binary"), np.float32).reshape(BUCKETS, -1)
-    q = np.linalg.qr(y.astype(np.float64))[0]
-    gram = _added(sample.mapInArrow(partial(_gram_part, basis=(q * idf[:, None]).astype(np.float32)), "part long, sums binary"), np.float64).reshape(q.shape[1], -1)
-    values, vectors = np.linalg.eigh(gram)
-    values, vectors = values[::-1][:RANK], vectors[:, ::-1][:, :RANK]
-    scale = np.maximum(values, max(values[0], 1e-12) * 1e-9) ** -0.25  # the root of the singular values: common words weigh less
-    return ((q @ vectors) * idf[:, None] * scale).astype(np.float32), idf
+    texts = docs.select("text").union(items.select("text")).coalesce(FIT_PARTS)
+    y = _added(texts.mapInArrow(partial(_range_part, idf=idf), "part long, bucket long, sums binary"))
+    core = _test_matrix().astype(np.float64).T @ y
+    values, vectors = np.linalg.eigh((core + core.T) / 2)
+    kept = values > max(values[-1] * 1e-5, 1e-12)  # fewer directions than columns: the others are rounding
+    if not kept.any():
+        return np.zeros((BUCKETS, 1), np.float32), idf
+    q, root, _ = np.linalg.svd(y @ (vectors[:, kept] / np.sqrt(values[kept])), full_matrices=False)  # A'A = (Q root)(Q root)'
+    values = root[:RANK] ** 2
+    scale = np.maximum(values, values[0] * 1e-9) ** -0.25  # the root of the singular values: common words weigh less
+    return (q[:, :RANK] * idf[:, None] * scale).astype(np.float32), idf
 
 
 @dataclass
@@ -233,7 +260,7 @@ def _searched(batches: Iterator[pa.RecordBatch], items: list[Item], latent: np.n
             by_length.append((length, np.concatenate([items[k].pieces for k in own]).astype(np.float32), np.array([k for k in own for _ in items[k].pieces])))
     names = ["doc_id", "item_id", "cosine", "common_words", "item_words", "window_start", "answer_found"]
     for whole in batches:
-        for batch in slices(whole, "text", SEARCH_BYTES):
+        for batch in slices(whole, "text", TEXT_BYTES):
             offsets, h = word_hashes(batch.column("text"))
             lens = np.diff(offsets)
             units = -(-lens // STEP)

@@ -2,6 +2,7 @@
 
 import random
 
+import numpy as np
 import pyarrow as pa
 
 from inkspark.llm import decontaminate
@@ -73,3 +74,49 @@ def test_items_of_one_sentence_and_short_last_sentences(spark):
         if decontaminate.judged(decontaminate._item(k, t, None, latent, weight), word_hashes(pa.array([text]))[1])[0]
     }
     assert found == wanted and not any(d >= 200 for d, _ in found)
+
+
+def test_the_latent_space_is_that_of_all_passages(spark):
+    """Passages of 40 kinds, some of them a few times in thousands of documents: A'A has rank 40, and its roots must come out whole."""
+    rng = random.Random(12)
+    kinds = [" ".join(f"k{rng.randrange(400)}" for _ in range(30)) for _ in range(40)]
+    texts = [kinds[min(39, int(rng.expovariate(0.2)))] for _ in range(6000)] + kinds
+    rng.shuffle(texts)
+    docs, items = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string"), spark.createDataFrame([(0, "k1 k2 k3")], "item_id long, text string")
+    latent, weight = decontaminate.latent_space(docs.repartition(7), items)
+    a = np.zeros((len(texts) + 1, decontaminate.BUCKETS), np.float32)
+    for i, text in enumerate([*texts, "k1 k2 k3"]):
+        a[i, decontaminate._buckets(word_hashes(pa.array([text]))[1])] = 1
+    df = a[:-1].sum(0)
+    assert np.allclose(weight, np.log((1 + len(texts)) / (1 + df)) ** 2, rtol=1e-5)
+    some = np.flatnonzero(a.any(0))
+    a = a[:, some].astype(np.float64) * weight[some]
+    values, vectors = np.linalg.eigh(a.T @ a)
+    own = values > values[-1] * 1e-10
+    assert own.sum() == 41
+    wanted = vectors[:, own] * weight[some, None] * values[own] ** -0.25
+    got, wanted = latent[some].astype(np.float64) @ latent[some].T, wanted @ wanted.T
+    assert np.abs(got - wanted).max() < 0.01 * np.abs(wanted).max()
+
+
+def test_every_word_of_the_documents_has_a_vector(spark):
+    texts = [" ".join(f"d{i}x{k}" for k in range(4)) for i in range(5000)]
+    docs, items = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string"), spark.createDataFrame([(0, "d1x1 d2x2")], "item_id long, text string")
+    latent, _ = decontaminate.latent_space(docs, items)
+    seen = np.unique(decontaminate._buckets(word_hashes(pa.array(texts))[1]))
+    assert (np.abs(latent[seen]).max(axis=1) > 0).all()
+
+
+def test_sums_by_bucket_equal_dense_products(spark):
+    rng = random.Random(13)
+    texts = [" ".join(f"w{int(rng.expovariate(0.05))}" for _ in range(rng.randrange(0, 200))) for _ in range(300)] + [None, "", "a", "a a a"]
+    passages = decontaminate._passages(pa.record_batch({"text": pa.array(texts)}))
+    cut = [w[a : a + decontaminate.SVD_WINDOW] for t in texts for w in [(t or "").split()] for a in range(0, len(w), decontaminate.SVD_WINDOW)]
+    assert len(passages) == len(cut)
+    dense = np.zeros((len(cut), decontaminate.BUCKETS))
+    for i, words in enumerate(cut):
+        dense[i, decontaminate._buckets(word_hashes(pa.array([" ".join(words)]))[1])] = 1
+    y = np.random.default_rng(1).standard_normal((len(cut), 5))
+    bucket, sums = decontaminate._bucket_sums(y, passages)
+    assert dense.sum(0).max() > decontaminate.ROUNDS and sorted(bucket) == np.flatnonzero(dense.any(0)).tolist()
+    assert np.allclose(sums, (dense.T @ y)[bucket])
