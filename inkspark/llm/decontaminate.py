@@ -3,8 +3,8 @@
 1. Counts: document frequencies of hashed words over all documents, added up per partition.
 2. Latent space: randomised SVD of TF-IDF passages. A random test matrix W is pushed through A'A over the passages of all
    documents and benchmark items in one scan; every partition adds up its own part, and the parts of a bucket are added by group.
-   With Y = A'A W, A'A is Y (W'Y)^-1 Y' (Nystrom), so that no second scan is needed. The driver only diagonalises
-   matrices whose size is fixed (``BUCKETS`` x ``RANK + OVERSAMPLE``).
+   With Y = A'A W, A'A is Y (W'Y)^-1 Y' (Nystrom), so that no second scan is needed. The driver diagonalises
+   W'Y and Y'Y (``RANK + OVERSAMPLE`` squared); Y stays a table, and only the vectors are sent (``BUCKETS`` x ``RANK``).
 3. Search: every document is cut into windows of the items' lengths, each a sum of its words' latent vectors, at steps of a
    quarter of a window or less. Windows whose cosine with an item of that length is at least ``COSINE`` are candidates.
    The items are a stated query set: up to ``ITEM_BLOCK`` of them are tried in one scan of the documents, and nothing is
@@ -45,7 +45,7 @@ COSINE = 0.5  # of recall 0.95 or more against brute force at 20 to 45% replaced
 VERBATIM, PARAPHRASE, SHORT, RARE = 0.75, 0.55, 8, 5
 RARER = 0.7  # of an item's words; the rest may be anywhere
 ITEM_BLOCK, CELLS = 20_000, 1 << 20
-ROUNDS, GROUP = 32, 64  # of a bucket's passages added one by one; buckets whose parts are added together
+ROUNDS, GROUP, SUM_PARTS = 32, 64, 8  # of a bucket's passages added one by one; buckets whose parts are added together; tasks that turn the sums
 TEXT_BYTES = 1 << 19  # of text at once: every word has a vector of RANK numbers in the search
 SEED = 5
 
@@ -140,21 +140,35 @@ def _range_part(batches: Iterator[pa.RecordBatch], idf: np.ndarray) -> Iterator[
         yield pa.RecordBatch.from_arrays([pa.array(part // GROUP), pa.array(part), pa.array([s.tobytes() for s in sums], pa.binary())], names=["part", "bucket", "sums"])
 
 
-def _added(df: DataFrame) -> np.ndarray:
-    """Sums of the rows of each bucket, over all partitions; ``GROUP`` buckets are a group."""
-    width = RANK + OVERSAMPLE
+def _total(part: pa.Table) -> pa.Table:
+    """Sums of the rows of each bucket over all partitions; ``GROUP`` buckets are a group."""
+    bucket = part["bucket"].to_numpy()
+    order = np.argsort(bucket, kind="stable")
+    sums = np.frombuffer(b"".join(part["sums"].to_pylist()), np.float32).reshape(-1, RANK + OVERSAMPLE)[order].astype(np.float64)
+    some, added = _sums(sums, bucket[order])
+    return pa.table({"bucket": pa.array(some), "sums": pa.array([s.tobytes() for s in added], pa.binary())})
 
-    def total(part: pa.Table) -> pa.Table:
-        bucket = part["bucket"].to_numpy()
-        order = np.argsort(bucket, kind="stable")
-        sums = np.frombuffer(b"".join(part["sums"].to_pylist()), np.float32).reshape(-1, width)[order].astype(np.float64)
-        some, added = _sums(sums, bucket[order])
-        return pa.table({"bucket": pa.array(some), "sums": pa.array([s.tobytes() for s in added], pa.binary())})
 
-    rows = df.groupBy("part").applyInArrow(total, "bucket long, sums binary").toArrow()
-    out = np.zeros((BUCKETS, width))
-    out[rows["bucket"].to_numpy()] = np.frombuffer(b"".join(rows["sums"].to_pylist())).reshape(-1, width)
-    return out
+def _of_sums(batch: pa.RecordBatch) -> tuple[np.ndarray, np.ndarray]:
+    """(buckets, rows of Y)."""
+    return batch.column("bucket").to_numpy(), np.frombuffer(b"".join(batch.column("sums").to_pylist())).reshape(-1, RANK + OVERSAMPLE)
+
+
+def _products(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """This partition's parts of W'Y and Y'Y."""
+    both = np.zeros((2, RANK + OVERSAMPLE, RANK + OVERSAMPLE))
+    for batch in batches:
+        bucket, y = _of_sums(batch)
+        both += np.stack([_test_matrix()[bucket].astype(np.float64).T @ y, y.T @ y])
+    yield pa.RecordBatch.from_arrays([pa.array([both.tobytes()], pa.binary())], names=["both"])
+
+
+def _turned(batches: Iterator[pa.RecordBatch], turn: np.ndarray, idf: np.ndarray) -> Iterator[pa.RecordBatch]:
+    """Latent vectors of the buckets of this partition."""
+    for batch in batches:
+        bucket, y = _of_sums(batch)
+        vectors = (y @ turn * idf[bucket, None]).astype(np.float32)
+        yield pa.RecordBatch.from_arrays([pa.array(bucket), pa.array([v.tobytes() for v in vectors], pa.binary())], names=["bucket", "vector"])
 
 
 def latent_space(docs: DataFrame, items: DataFrame) -> tuple[np.ndarray, np.ndarray]:
@@ -166,16 +180,25 @@ def latent_space(docs: DataFrame, items: DataFrame) -> tuple[np.ndarray, np.ndar
     df[bucket[bucket >= 0]] = n[bucket >= 0]
     idf = (np.log((1 + total) / (1 + df)) ** 2).astype(np.float32)
     texts = docs.select("text").union(items.select("text")).coalesce(FIT_PARTS)
-    y = _added(texts.mapInArrow(partial(_range_part, idf=idf), "part long, bucket long, sums binary"))
-    core = _test_matrix().astype(np.float64).T @ y
+    parts = texts.mapInArrow(partial(_range_part, idf=idf), "part long, bucket long, sums binary")
+    y = written(parts.groupBy("part").applyInArrow(_total, "bucket long, sums binary"), "latent-sums").coalesce(SUM_PARTS)
+    both = np.zeros((2, RANK + OVERSAMPLE, RANK + OVERSAMPLE))
+    for row in y.mapInArrow(_products, "both binary").toArrow()["both"].to_pylist():
+        both += np.frombuffer(row).reshape(both.shape)
+    core, gram = both
     values, vectors = np.linalg.eigh((core + core.T) / 2)
     kept = values > max(values[-1] * 1e-5, 1e-12)  # fewer directions than columns: the others are rounding
     if not kept.any():
         return np.zeros((BUCKETS, 1), np.float32), idf
-    q, root, _ = np.linalg.svd(y @ (vectors[:, kept] / np.sqrt(values[kept])), full_matrices=False)  # A'A = (Q root)(Q root)'
-    values = root[:RANK] ** 2
-    scale = np.maximum(values, values[0] * 1e-9) ** -0.25  # the root of the singular values: common words weigh less
-    return (q[:, :RANK] * idf[:, None] * scale).astype(np.float32), idf
+    root = vectors[:, kept] / np.sqrt(values[kept])  # A'A = (Y root)(Y root)'
+    values, vectors = np.linalg.eigh(root.T @ gram @ root)
+    values, vectors = values[::-1][:RANK], vectors[:, ::-1][:, :RANK]
+    values = np.maximum(values, values[0] * 1e-9)
+    turn = root @ vectors * values**-0.75  # to length 1, then by the root of the singular values: common words weigh less
+    out = np.zeros((BUCKETS, len(values)), np.float32)
+    for batch in y.mapInArrow(partial(_turned, turn=turn, idf=idf), "bucket long, vector binary").toArrow().to_batches(4096):
+        out[batch.column("bucket").to_numpy()] = np.frombuffer(b"".join(batch.column("vector").to_pylist()), np.float32).reshape(-1, len(values))
+    return out, idf
 
 
 @dataclass
@@ -239,16 +262,30 @@ def judged(item: Item, around: np.ndarray) -> tuple[bool, int, bool]:
     return common >= VERBATIM * n or (common >= PARAPHRASE * n and found), common, found
 
 
-def _possible(item: Item, order: np.ndarray, begin: np.ndarray, words: np.ndarray, lo: np.ndarray, hi: np.ndarray) -> np.ndarray:
+@dataclass
+class Places:
+    """Where a slice has the items' rarer words: the places of word k of ``words`` are ``order[begin[k]:begin[k + 1]]``."""
+
+    order: np.ndarray
+    begin: np.ndarray
+
+
+def _places(h: np.ndarray, words: np.ndarray) -> Places:
+    code = np.minimum(np.searchsorted(words, h), max(0, len(words) - 1))
+    at = np.flatnonzero(words[code] == h) if len(words) else np.zeros(0, np.int64)
+    code = code[at].astype(np.uint16 if len(words) < 1 << 16 else np.int64)
+    return Places(at[np.argsort(code, kind="stable")], np.r_[0, np.cumsum(np.bincount(code, minlength=len(words)))])
+
+
+def _possible(item: Item, rarer: list[int], places: Places, lo: np.ndarray, hi: np.ndarray) -> np.ndarray:
     """Which of the ranges [lo, hi) hold enough of the item's rarer words.
 
     A common subsequence has no more words than the range has places of the rarer ones, and all the others: ranges with fewer can't leak.
-    ``order`` lists the places of the slice's distinct ``words``, each word's from ``begin`` on.
+    ``rarer`` are their numbers in ``places``.
     """
-    at = np.minimum(np.searchsorted(words, item.rarer), max(0, len(words) - 1))
-    at = at[words[at] == item.rarer]
-    places = np.sort(np.concatenate([order[begin[i] : begin[i + 1]] for i in at.tolist()] or [order[:0]]))
-    return np.searchsorted(places, hi) - np.searchsorted(places, lo) >= item.least - item.others
+    own = np.concatenate([places.order[places.begin[i] : places.begin[i + 1]] for i in rarer])
+    own.sort()
+    return np.searchsorted(own, hi) - np.searchsorted(own, lo) >= item.least - item.others
 
 
 def _searched(batches: Iterator[pa.RecordBatch], items: list[Item], latent: np.ndarray) -> Iterator[pa.RecordBatch]:
@@ -258,6 +295,8 @@ def _searched(batches: Iterator[pa.RecordBatch], items: list[Item], latent: np.n
         own = [k for k, i in enumerate(items) if i.length == length]
         if own:
             by_length.append((length, np.concatenate([items[k].pieces for k in own]).astype(np.float32), np.array([k for k in own for _ in items[k].pieces])))
+    rarer_words = np.unique(np.concatenate([i.rarer for i in items])) if items else np.zeros(0, np.uint64)
+    rarer = [np.searchsorted(rarer_words, i.rarer).tolist() for i in items]
     names = ["doc_id", "item_id", "cosine", "common_words", "item_words", "window_start", "answer_found"]
     for whole in batches:
         for batch in slices(whole, "text", TEXT_BYTES):
@@ -268,11 +307,12 @@ def _searched(batches: Iterator[pa.RecordBatch], items: list[Item], latent: np.n
             place = np.repeat(unit_off[:-1] * STEP - offsets[:-1], lens) + np.arange(len(h))
             idx = np.full(unit_off[-1] * STEP, BUCKETS, np.int64)
             idx[place] = _buckets(h)
-            sums = table[idx[0::STEP]]
+            run = np.zeros((unit_off[-1] + 1, latent.shape[1]), np.float32)
+            sums = np.take(table, idx[0::STEP], axis=0, out=run[1:], mode="clip")  # in range; without a mode, take copies once more
+            of_word = np.empty_like(sums)
             for k in range(1, STEP):
-                sums += table[idx[k::STEP]]
-            run = np.zeros((len(sums) + 1, latent.shape[1]), np.float32)
-            np.cumsum(sums, axis=0, out=run[1:])
+                sums += np.take(table, idx[k::STEP], axis=0, out=of_word, mode="clip")
+            np.cumsum(sums, axis=0, out=sums)
             end_of = np.repeat(unit_off[1:], units)
             first_of = np.repeat(unit_off[:-1], units)
             hits = [np.zeros((4, 0))]  # document, item, cosine, first word
@@ -283,25 +323,29 @@ def _searched(batches: Iterator[pa.RecordBatch], items: list[Item], latent: np.n
                 many = max(64, CELLS // len(wanted))
                 for at in range(0, len(start), many):
                     part = start[at : at + many]
-                    v = run[np.minimum(part + m, end_of[part])] - run[part]
-                    v /= np.maximum(np.linalg.norm(v, axis=1, keepdims=True), 1e-12)
-                    cosine = v @ wanted.T
-                    w, j = np.nonzero(cosine >= COSINE)
-                    if len(w):
+                    v = np.take(run, np.minimum(part + m, end_of[part]), axis=0, mode="clip")
+                    v -= np.take(run, part, axis=0, mode="clip")
+                    norm = np.maximum(np.sqrt(np.einsum("ij,ij->i", v, v)), 1e-12)
+                    dots = v @ wanted.T
+                    cell = np.flatnonzero(dots >= (COSINE * norm)[:, None])
+                    if len(cell):
+                        w, j = np.divmod(cell, len(wanted))
                         doc = np.searchsorted(unit_off, part[w], side="right") - 1
-                        hits.append(np.stack([doc, of[j], cosine[w, j], (part[w] - unit_off[doc]) * STEP]))
+                        hits.append(np.stack([doc, of[j], dots.ravel()[cell] / norm[w], (part[w] - unit_off[doc]) * STEP]))
             doc, which, cosine, first = np.concatenate(hits, axis=1)
-            order = np.lexsort((first, -cosine, doc, which))
-            doc, which, cosine, first = doc[order].astype(np.int64), which[order].astype(np.int64), cosine[order], first[order].astype(np.int64)
-            words, code = np.unique(h, return_inverse=True)
-            places, begin = np.argsort(code, kind="stable"), np.r_[0, np.cumsum(np.bincount(code, minlength=len(words)))]
+            doc, which, first = doc.astype(np.int64), which.astype(np.int64), first.astype(np.int64)
+            order = np.argsort(which.astype(np.uint16) if len(items) < 1 << 16 else which, kind="stable")
+            doc, which, cosine, first = doc[order], which[order], cosine[order], first[order]
+            places = _places(h, rarer_words)
+            begin = offsets[doc] + first
             out, ids, leaked = [], batch.column("doc_id").to_pylist(), set()
             cuts = np.flatnonzero(np.r_[True, which[1:] != which[:-1]]) if len(which) else np.zeros(0, np.int64)
             for a, b in zip(cuts.tolist(), [*cuts[1:].tolist(), len(which)]):
-                item, d = items[which[a]], doc[a:b]
-                at, n = offsets[d] + first[a:b], len(item.words)
+                item, n = items[which[a]], len(items[which[a]].words)
+                d, at = doc[a:b], begin[a:b]
                 lo, hi = np.maximum(offsets[d], at - n), np.minimum(offsets[d + 1], at + item.length + n)
-                for k in np.flatnonzero(_possible(item, places, begin, words, lo, hi)).tolist():  # of a document in falling cosine
+                some = np.flatnonzero(_possible(item, rarer[which[a]], places, lo, hi))
+                for k in some[np.lexsort((first[a + some], -cosine[a + some], d[some]))].tolist():  # of a document in falling cosine
                     if (d[k], item.item_id) in leaked:
                         continue
                     leak, common, found = judged(item, h[lo[k] : hi[k]])

@@ -120,3 +120,38 @@ def test_sums_by_bucket_equal_dense_products(spark):
     bucket, sums = decontaminate._bucket_sums(y, passages)
     assert dense.sum(0).max() > decontaminate.ROUNDS and sorted(bucket) == np.flatnonzero(dense.any(0)).tolist()
     assert np.allclose(sums, (dense.T @ y)[bucket])
+
+
+def test_places_of_rarer_words_equal_a_plain_count(spark):
+    rng = random.Random(14)
+    vocab = [f"t{i}" for i in range(400)]
+    make = lambda n: [rng.choice(vocab) for _ in range(n)]
+    weight = np.random.default_rng(2).random(decontaminate.BUCKETS).astype(np.float32)
+    latent = np.ones((decontaminate.BUCKETS, 4), np.float32)
+    items = [decontaminate._item(i, " ".join(make(n)), None, latent, weight) for i, n in enumerate((3, 20, 36, 70))]
+    words = np.unique(np.concatenate([i.rarer for i in items]))
+    h = word_hashes(pa.array([" ".join(make(3000))]))[1]
+    places = decontaminate._places(h, words)
+    lo = np.arange(0, 2900, 7)
+    seen = 0
+    for item in items:
+        hi = np.minimum(lo + 3 * len(item.words), len(h))
+        got = decontaminate._possible(item, np.searchsorted(words, item.rarer).tolist(), places, lo, hi)
+        wanted = [int(np.isin(h[a:b], item.rarer).sum()) >= item.least - item.others for a, b in zip(lo, hi)]
+        assert got.tolist() == wanted
+        seen += sum(wanted)
+    assert 0 < seen < 4 * len(lo)
+    none = decontaminate._places(h[:0], words)
+    assert not decontaminate._possible(items[1], np.searchsorted(words, items[1].rarer).tolist(), none, np.zeros(1, int), np.zeros(1, int)).any()
+
+
+def test_the_driver_gets_the_vectors_alone(spark, monkeypatch):
+    """Not the sums that they are made of, which are larger by half and in double precision."""
+    texts = [" ".join(f"d{i}x{k}" for k in range(4)) for i in range(5000)]
+    docs, items = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string"), spark.createDataFrame([(0, "d1x1 d2x2")], "item_id long, text string")
+    sent, to_arrow = [], type(docs).toArrow
+    monkeypatch.setattr(type(docs), "toArrow", lambda df: sent.append(to_arrow(df)) or sent[-1])
+    latent, _ = decontaminate.latent_space(docs, items)
+    seen = np.unique(decontaminate._buckets(word_hashes(pa.array(texts))[1]))
+    assert latent.shape[1] == decontaminate.RANK and (np.abs(latent[seen]).max(axis=1) > 0).all()
+    assert max(t.nbytes for t in sent) < len(seen) * (4 * decontaminate.RANK + 32)
