@@ -120,15 +120,23 @@ def combined_strength(steps: Column) -> Column:
     return F.bround(1 - F.aggregate(steps, F.lit(1.0), lambda a, s: a * (1 - s)), 3)
 
 
-def candidate_shares(candidates: DataFrame, keys: list[str], text: str, prob: str, n: int = 5, least: float = 0.02) -> DataFrame:
-    """Candidates merged by text, as shares of their sum; the ``n`` largest of at least ``least``.
+def candidate_shares(candidates: DataFrame, keys: list[str], text: str, prob: str, n: int = 5, least: float = 0.02, order: list[str] | None = None) -> DataFrame:
+    """Candidates merged by text, as shares of their sum; the ``n`` largest of at least ``least``, texts of equal sums by text, none last.
 
-    Sums are decimal: texts of equal sums are equal whatever order they were added in, and go by text. Where all is 0, shares are NaN.
+    Sums are decimal, so that texts of equal sums are equal whatever order they were added in; with ``order`` (columns that number the rows),
+    they are of doubles, added in that order as SQL adds them, so that last digits decide as they do there. Where all is 0, shares are NaN;
+    where it cancels to 0, they are infinite.
     """
-    merged = candidates.groupBy(*keys, text).agg(F.sum(F.col(prob).cast("decimal(28,18)")).alias("p"))
+    if order is None:
+        merged = candidates.groupBy(*keys, text).agg(F.sum(F.col(prob).cast("decimal(28,18)")).alias("p"))
+    else:
+        so_far = Window.partitionBy(*keys, text).orderBy(*order).rowsBetween(Window.unboundedPreceding, Window.currentRow)
+        added = candidates.withColumn("so_far", F.sum(F.col(prob).cast("double")).over(so_far))
+        merged = added.groupBy(*keys, text).agg(F.max_by("so_far", F.struct(*order)).alias("p"))
     w = Window.partitionBy(*keys)
     p, total = F.col("p").cast("double"), F.sum("p").over(w).cast("double")
-    ranked = merged.withColumn("share", F.when(total == 0, float("nan")).otherwise(F.try_divide(p, total))).withColumn("rank", F.row_number().over(w.orderBy(F.desc("p"), text)))
+    share = F.when(total == 0, p * float("inf")).otherwise(F.try_divide(p, total))
+    ranked = merged.withColumn("share", share).withColumn("rank", F.row_number().over(w.orderBy(F.desc("p"), F.asc_nulls_last(text))))
     return ranked.where((F.col("rank") <= n) & (F.col("share") >= least)).select(*keys, text, "rank", "share")
 
 

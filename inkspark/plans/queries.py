@@ -555,7 +555,7 @@ WITH m AS (SELECT user_id, event_type, sum(value) AS p FROM events GROUP BY ALL)
 SELECT user_id, event_type, rank, round(share, 9) AS share FROM r WHERE rank <= 5 AND share >= 0.02
 """)
 def candidate_shares(spark: SparkSession, d: str) -> DataFrame:
-    return metrics.candidate_shares(table(spark, d, "events"), ["user_id"], "event_type", "value").withColumn("share", F.round("share", 9))
+    return metrics.candidate_shares(table(spark, d, "events"), ["user_id"], "event_type", "value", order=["event_id"]).withColumn("share", F.round("share", 9))
 
 
 @query("""

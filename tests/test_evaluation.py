@@ -25,6 +25,22 @@ def test_shares_of_equal_sums_go_by_text(spark):
     assert got[2][:3] == (2, 1, "x") and got[2][3] != got[2][3]
 
 
+def test_shares_equal_their_sql_in_the_last_digits(spark, tmp_path):
+    """Sums that are equal but for the order of addition, nothing at all, what cancels, no value, no type."""
+    import duckdb
+
+    from inkspark.plans import queries as plans
+
+    rows = [(1, "b", x) for x in (0.1, 0.2, 0.3)] + [(1, "a", 0.6)] + [(2, "a", x) for x in (0.3, 0.2, 0.1)] + [(2, "b", 0.6)]
+    rows += [(3, "x", 0.0), (3, "y", None), (3, None, 0.0), (4, "x", 5.0), (4, "y", -5.0), (5, "x", None), (6, "y", 1e-25), (6, "x", 3e-25), (7, "y", 1e12), (7, "x", float("nan"))]
+    con = duckdb.connect()
+    con.execute("CREATE TABLE events (event_id BIGINT, user_id BIGINT, event_type VARCHAR, value DOUBLE)")
+    con.executemany("INSERT INTO events VALUES (?, ?, ?, ?)", [(i, *r) for i, r in enumerate(rows)])
+    spark.createDataFrame([(i, *r) for i, r in enumerate(rows)], "event_id long, user_id long, event_type string, value double").repartition(5, "value").write.parquet(f"{tmp_path}/events.parquet")
+    got = sorted(map(repr, map(tuple, plans.QUERIES["candidate_shares"](spark, str(tmp_path)).collect())))
+    assert got == sorted(map(repr, con.execute(plans.ORACLE["candidate_shares"]).fetchall())) and len(got) == 11
+
+
 def test_precision_of_one_long_key(spark):
     """40000 rows of one key, as one slice: the frame that was read anew for each row took minutes here."""
     import time
