@@ -23,6 +23,8 @@ REQUIRED_FOR_APPROVAL = ("assembly_path", "marking", "welding_condition")
 REQUIRED_FOR_EXPORT = ("assembly_path", "marking", "welding_condition", "confidence", "approved_by")
 AUTO_APPROVER = "auto"
 ERROR_CHARS = 1000
+SLICE_BYTES = 1 << 30
+DICTIONARY_BYTES = 1 << 20  # Parquet's default for the dictionary page of a column
 
 
 # --- job fields ----------------------------------------------------------------------
@@ -67,6 +69,9 @@ def context_input(jobs: DataFrame, entries: DataFrame, nodes: DataFrame, standar
 
     The lists are per workspace; they are small reference data and are joined by their key. ``shown`` names columns derived from
     ``symbols``, ``tree`` and ``standards``, to have in their place: they are computed once for each workspace, not for each job.
+
+    The output grows with jobs times entries, but repeats a workspace's lists. Jobs of a workspace stand together, in slices of about ``SLICE_BYTES``
+    with few workspaces each, so that Parquet writes lists that fit its dictionary page once for each slice, and not for each job.
     """
     listed = lambda df, name, cols: df.groupBy(key).agg(F.transform(F.array_sort(F.collect_list(F.struct("seq", *cols))), lambda r: F.struct(*[r[c].alias(c) for c in cols])).alias(name))
     rules = standards.agg(F.array_sort(F.collect_list(F.struct("seq", *[c for c in standards.columns if c != "seq"]))).alias("standards"))
@@ -74,8 +79,13 @@ def context_input(jobs: DataFrame, entries: DataFrame, nodes: DataFrame, standar
     spaces = asked.join(listed(entries, "symbols", ["code", "meaning"]), key, "left").join(listed(nodes, "tree", ["path"]), key, "left").crossJoin(F.broadcast(rules))
     if shown is not None:
         spaces = spaces.select(key, *[c.alias(n) for n, c in shown.items()])
-    spaces = small(written(spaces, "workspaces").withColumnRenamed(key, "_key"), 64 << 20)
-    return jobs.join(spaces, F.col(key).eqNullSafe(F.col("_key")), "left").drop("_key")
+    spaces = written(spaces, "workspaces").withColumnRenamed(key, "_key")
+    same = F.col(key).eqNullSafe(F.col("_key"))
+    sizes = spaces.select("_key", F.octet_length(F.to_json(F.struct(*spaces.columns))).cast("long").alias("size"))
+    told = jobs.groupBy(key).agg(F.count(F.lit(1)).alias("n")).join(sizes, same).agg(F.sum(F.col("n") * F.col("size")).alias("out"), F.sum("size").alias("once")).first()
+    slices = max(1, -(-(told.out or 0) // SLICE_BYTES), -(-2 * (told.once or 0) // DICTIONARY_BYTES))
+    placed = jobs.repartitionByRange(slices, key, F.xxhash64(*jobs.columns)).sortWithinPartitions(key)  # a number given is kept as it is
+    return placed.join(small(spaces, 64 << 20), same, "left").drop("_key")
 
 
 def manual_condition(values: DataFrame, standards: DataFrame, fields: tuple[str, ...] = CONDITION_FIELDS) -> DataFrame:
